@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from dossier.functions.rules import alias_of
-from dossier.functions.text import norm_ws, strip
+from dossier.functions.text import let, norm_ws, strip
 
 NUMBER_RE = r"(-?[\d,]+(?:\.\d+)?)"
 NOT_DISCLOSED_RE = r"(?i)not disclosed|not available|n/a"
@@ -37,9 +37,8 @@ def kv_pairs(c: Column) -> Column:
         strip(F.substring_index(p, "=", 1)).alias("k"),
         strip(F.substring(p, F.locate("=", p) + 1, F.length(p))).alias("v"),
         p.contains("=").alias("ok"))), lambda e: e["ok"] & (e["k"] != ""))
-    keys = F.array_distinct(F.transform(ents, lambda e: e["k"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(
-        F.filter(ents, lambda e: e["k"] == k), -1)["v"]))
+    return let(ents, lambda es: let(F.array_distinct(F.transform(es, lambda e: e["k"])), lambda keys: F.map_from_arrays(
+        keys, F.transform(keys, lambda k: F.element_at(F.filter(es, lambda e: e["k"] == k), -1)["v"]))))
 
 
 def numbers_in_text(c: Column) -> Column:

@@ -13,6 +13,11 @@ TOKEN_RE = "([가-힣]+|[a-zA-Z0-9_]+)"
 SPACES = " \t\n\r\f\u000b"
 
 
+def let(value: Column, body) -> Column:
+    """Bind an expression once; a lambda that names it would evaluate it per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
@@ -37,9 +42,9 @@ def token_set(c: Column) -> Column:
 
 def ngrams_of(c: Column, n: int = 2) -> Column:
     """All n-character windows of a string, in order (empty when shorter)."""
-    return F.when(F.length(c) >= n, F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))),
-        lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return let(c, lambda s: F.when(F.length(s) >= n, F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))),
+        lambda i: F.substring(s, i, F.lit(n)))).otherwise(F.array().cast("array<string>")))
 
 
 def bigram_tokens(c: Column) -> Column:
@@ -169,11 +174,10 @@ def best_snippet(text: Column, hint: Column, max_len: int = 320) -> Column:
     t = norm_ws(text)
     rx = F.lit("([a-z0-9À-ɏ]+)")
     hints = F.array_distinct(F.regexp_extract_all(F.lower(hint), rx, F.lit(1)))
-    sents = F.transform(F.split(t, r"(?<=[.!?])\s+"), lambda s, i: F.struct(
+    best = let(hints, lambda h: F.array_max(F.transform(F.split(t, r"(?<=[.!?])\s+"), lambda s, i: F.struct(
         F.when(F.length(s) < 12, 0).otherwise(F.size(F.array_intersect(
-            hints, F.array_distinct(F.regexp_extract_all(F.lower(s), rx, F.lit(1)))))).alias("ov"),
-        (-i).alias("neg"), s.alias("s")))
-    best = F.array_max(sents)
+            h, F.array_distinct(F.regexp_extract_all(F.lower(s), rx, F.lit(1)))))).alias("ov"),
+        (-i).alias("neg"), s.alias("s")))))
     return F.when(F.length(t) <= max_len, t).when(
         best["ov"] > 0, F.substring(best["s"], 1, max_len)).otherwise(F.substring(t, 1, max_len))
 
@@ -182,7 +186,7 @@ def extractive_answer(question: Column, text: Column, insufficient: str = "insuf
     """First two sentences sharing two question words, else the first two sentences."""
     qs = token_set(question)
     sents = F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+")
-    good = F.slice(F.filter(sents, lambda s: F.size(F.array_intersect(qs, token_set(s))) >= 2), 1, 2)
+    good = let(qs, lambda q: F.slice(F.filter(sents, lambda s: F.size(F.array_intersect(q, token_set(s))) >= 2), 1, 2))
     pick = F.when(F.size(good) > 0, F.transform(good, lambda s: strip(s))).otherwise(F.slice(sents, 1, 2))
     out = strip(F.array_join(pick, " "))
     return F.when(out == "", F.lit(insufficient)).otherwise(out)

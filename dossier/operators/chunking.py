@@ -4,18 +4,21 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dossier.functions.text import norm_ws, strip
+from dossier.functions.text import let, norm_ws, strip
 
 
 def word_windows(text: Column, size: int = 400, overlap: int = 80) -> Column:
     """Array of word windows; the window that reaches the end is the last one."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    n = F.size(words)
     step = max(1, size - overlap)
-    count = F.when(n == 0, 0).when(n <= size, 1).otherwise(1 + F.ceil((n - size) / step))
-    starts = F.when(count > 0, F.sequence(F.lit(0).cast("long"), (count - 1).cast("long"))).otherwise(
-        F.array().cast("array<bigint>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, (i * step + 1).cast("int"), size), " "))
+    return let(words, lambda ws: F.transform(_starts(F.size(ws), size, step), lambda i: F.array_join(
+        F.slice(ws, (i * step + 1).cast("int"), size), " ")))
+
+
+def _starts(n: Column, size: int, step: int) -> Column:
+    """Window numbers 0.. for a text of ``n`` items; the last window is the first to reach the end."""
+    last = F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / step)).cast("long")
+    return F.when(n > 0, F.sequence(F.lit(0).cast("long"), last)).otherwise(F.array().cast("array<bigint>"))
 
 
 def char_windows(text: Column, size: int = 900, overlap: int = 150) -> Column:
@@ -23,14 +26,10 @@ def char_windows(text: Column, size: int = 900, overlap: int = 150) -> Column:
 
     ``pos`` is the raw window number, so ids do not shift over blanks.
     """
-    n = F.length(text)
     step = max(1, size - overlap)
-    count = F.when(n == 0, 0).when(n <= size, 1).otherwise(1 + F.ceil((n - size) / step))
-    starts = F.when(count > 0, F.sequence(F.lit(0).cast("long"), (count - 1).cast("long"))).otherwise(
-        F.array().cast("array<bigint>"))
-    out = F.transform(starts, lambda i: F.struct(
-        i.alias("pos"), strip(F.substring(text, (i * step + 1).cast("int"), F.lit(size))).alias("text")))
-    return F.filter(out, lambda w: w["text"] != "")
+    return let(text, lambda t: F.filter(F.transform(_starts(F.length(t), size, step), lambda i: F.struct(
+        i.alias("pos"), strip(F.substring(t, (i * step + 1).cast("int"), F.lit(size))).alias("text"))),
+        lambda w: w["text"] != ""))
 
 
 def chunk_words(df: DataFrame, text: str = "text", size: int = 400, overlap: int = 80) -> DataFrame:
@@ -170,9 +169,10 @@ def table_rows(text: Column) -> Column:
     """Pipe tables: array of struct(header, cells); data starts at the third pipe line."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda s: strip(s)), lambda ln: ln.startswith("|"))
     cells = lambda ln: F.transform(F.split(F.regexp_replace(ln, r"^\|+|\|+$", ""), r"\|"), lambda s: strip(s))
-    return F.when(F.size(lines) >= 3, F.filter(F.transform(
-        F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(1))), lambda ln: F.struct(
-            cells(lines[0]).alias("header"), cells(ln).alias("cells"))), lambda r: F.size(r["cells"]) >= 2)).otherwise(
+    rows = let(lines, lambda ls: let(cells(F.get(ls, F.lit(0))), lambda head: F.filter(F.transform(
+        F.slice(ls, 3, F.greatest(F.size(ls) - 2, F.lit(1))), lambda ln: F.struct(
+            head.alias("header"), cells(ln).alias("cells"))), lambda r: F.size(r["cells"]) >= 2)))
+    return F.when(text.contains("|"), rows).otherwise(
         F.array().cast("array<struct<header:array<string>,cells:array<string>>>"))
 
 
@@ -229,11 +229,11 @@ def label_line_groups(lines: Column, label_re: str, total_re: str, n_values: int
 
 def fixed_offset_records(lines: Column, key_re: str, names: list[str]) -> Column:
     """A key line (e.g. sex) anchors a record; fields stand at fixed offsets, name is one line above."""
-    idx = F.transform(lines, lambda ln, i: F.struct(i.alias("i"), ln.alias("ln")))
-    hits = F.filter(idx, lambda e: e["ln"].rlike(key_re) & (e["i"] > 0))
-    return F.transform(hits, lambda e: F.struct(
-        F.get(lines, e["i"] - 1).alias("name"), e["ln"].alias("key"),
-        *[F.get(lines, e["i"] + k + 1).alias(n) for k, n in enumerate(names)]))
+    return let(lines, lambda ls: F.transform(
+        F.filter(F.transform(ls, lambda ln, i: F.struct(i.alias("i"), ln.alias("ln"))),
+                 lambda e: e["ln"].rlike(key_re) & (e["i"] > 0)),
+        lambda e: F.struct(F.get(ls, e["i"] - 1).alias("name"), e["ln"].alias("key"),
+                           *[F.get(ls, e["i"] + k + 1).alias(n) for k, n in enumerate(names)])))
 
 
 def question_candidates(df: DataFrame, text: str, rules: list[tuple[str, str, str]], keep: list[str],

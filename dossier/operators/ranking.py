@@ -20,14 +20,18 @@ TIE = 9  # scores equal to this many places are ties, broken by key
 
 def tokenized(chunks: DataFrame, key: list[str], text: str, tenant: str | None = None) -> DataFrame:
     cols = key + ([tenant] if tenant and tenant not in key else [])
-    return chunks.select(*cols, tokenize(F.col(text)).alias("toks")).repartition(*key)
+    t = chunks.select(*cols, tokenize(F.col(text)).alias("toks"))
+    return t.select(*cols, "toks", F.size("toks").alias("dl"), F.size(F.array_distinct("toks")).alias("dt")).repartition(*key)
 
 
 def postings(toks: DataFrame, key: list[str], tenant: str | None = None) -> DataFrame:
-    """(chunk, term) -> tf with chunk length and distinct count; keeps the partitioning by chunk."""
+    """(chunk, term) -> tf with chunk length and distinct count; keeps the partitioning by chunk.
+
+    Lengths are columns from below the shuffle: beside ``explode`` they would be
+    worked out again for every token.
+    """
     cols = key + ([tenant] if tenant and tenant not in key else [])
-    return (toks.select(*cols, F.size("toks").alias("dl"), F.size(F.array_distinct("toks")).alias("dt"),
-                        F.explode("toks").alias("term"))
+    return (toks.select(*cols, "dl", "dt", F.explode("toks").alias("term"))
             .groupBy(*cols, "dl", "dt", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -38,7 +42,7 @@ def term_weights(toks: DataFrame, post: DataFrame, tenant: str | None = None) ->
     corpus; their joins are left to adaptive execution, which sees real sizes.
     """
     t = [tenant] if tenant else []
-    stats = toks.groupBy(*t).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl"))
+    stats = toks.groupBy(*t).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = post.groupBy(*t, "term").agg(F.count(F.lit(1)).alias("df"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     if tenant:
@@ -317,7 +321,8 @@ def per_doc_topk(scores: DataFrame, qid: str, doc: str, score: str, key: list[st
     role = top_k(scores.filter("planned"), [qid, doc], order, per_doc, "_r").withColumn("_first", F.lit(1)).drop("_r")
     glob = top_k(scores, [qid], order, total, "_r").withColumn("_first", F.lit(0)).drop("_r")
     both = role.unionByName(glob)
-    one = both.groupBy(qid, *key).agg(F.max("_first").alias("_first"), F.first(doc).alias(doc), F.max(score).alias(score))
+    grp = key if doc in key else [doc, *key]
+    one = both.groupBy(qid, *grp).agg(F.max("_first").alias("_first"), F.max(score).alias(score))
     picked = top_k(one, [qid], [F.col("_first").desc(), *order], total, "_r").drop("_r", "_first")
     return top_k(picked, [qid], order, total)
 

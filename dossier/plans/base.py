@@ -60,11 +60,11 @@ def sql_bm25(chunks: str, queries: str, key: str = "doc_id, chunk_id", tenant: s
     qt = f"q.{tenant}, " if tenant else ""
     return rf"""
     ck AS ({chunks}), qs AS ({queries}),
-    tk AS (SELECT {key}, {t_} {sql_tokens('text')} AS toks FROM ck),
-    st AS (SELECT {t_} count(*) AS n, sum(len(toks)) / count(*) AS avgdl FROM tk {grp}),
-    po AS (SELECT {key}, {t_} term, dl, dt, count(*) AS tf FROM
-            (SELECT {key}, {t_} len(toks) AS dl, len(list_distinct(toks)) AS dt, unnest(toks) AS term FROM tk)
-           GROUP BY ALL),
+    tk0 AS MATERIALIZED (SELECT {key}, {t_} {sql_tokens('text')} AS toks FROM ck),
+    tk AS MATERIALIZED (SELECT *, len(toks) AS dl, len(list_distinct(toks)) AS dt FROM tk0),
+    st AS MATERIALIZED (SELECT {t_} count(*) AS n, sum(dl) / count(*) AS avgdl FROM tk {grp}),
+    po AS MATERIALIZED (SELECT {key}, {t_} term, dl, dt, count(*) AS tf FROM
+            (SELECT {key}, {t_} dl, dt, unnest(toks) AS term FROM tk) GROUP BY ALL),
     dfq AS (SELECT {t_} term, count(*) AS df FROM po GROUP BY ALL),
     ri AS (SELECT {t_} term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM dfq {js}),
     mi AS (SELECT {t_} avg(idf) AS mean_idf FROM ri {grp}),
