@@ -16,6 +16,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if small else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when a scan has fewer splits than cores; no change on a large table."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def hot_keys(df: DataFrame, keys: list[str], threshold: int) -> DataFrame:
     """Keys held by more than ``threshold`` rows (counts combine before the shuffle)."""
     return df.groupBy(*keys).count().filter(F.col("count") > threshold).select(*keys)

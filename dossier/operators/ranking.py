@@ -1,8 +1,9 @@
 """Retrieval: a table of queries against a table of chunks.
 
-Layout of the lexical path: token lists are hash-partitioned by chunk once;
-term counts, (query, chunk) sums and the per-task top-k all run on that
-partitioning, so what travels afterwards is k rows per query and task.
+Layout of the lexical path: a first pass counts the vocabulary; a second one
+hash-partitions token lists by chunk once, and term counts, (query, chunk) sums
+and the per-task top-k all run on that partitioning, so what travels afterwards
+is k rows per query and task.
 """
 from __future__ import annotations
 
@@ -18,42 +19,54 @@ MAX_QUERY_TERMS = 2_000_000  # broadcast bound for the query side
 TIE = 9  # scores equal to this many places are ties, broken by key
 
 
+def _slots(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def tokenized(chunks: DataFrame, key: list[str], text: str, tenant: str | None = None) -> DataFrame:
+    """Token lists with length and distinct count.
+
+    Both numbers are worked out here: beside ``explode`` they would be worked
+    out again for every token.
+    """
     cols = key + ([tenant] if tenant and tenant not in key else [])
     t = chunks.select(*cols, tokenize(F.col(text)).alias("toks"))
-    return t.select(*cols, "toks", F.size("toks").alias("dl"), F.size(F.array_distinct("toks")).alias("dt")).repartition(*key)
+    return t.select(*cols, "toks", F.size("toks").alias("dl"), F.size(F.array_distinct("toks")).alias("dt"))
 
 
 def postings(toks: DataFrame, key: list[str], tenant: str | None = None) -> DataFrame:
-    """(chunk, term) -> tf with chunk length and distinct count; keeps the partitioning by chunk.
-
-    Lengths are columns from below the shuffle: beside ``explode`` they would be
-    worked out again for every token.
-    """
+    """(chunk, term) -> tf; one shuffle by chunk, whose partitioning all later steps keep."""
     cols = key + ([tenant] if tenant and tenant not in key else [])
-    return (toks.select(*cols, "dl", "dt", F.explode("toks").alias("term"))
+    return (toks.repartition(_slots(toks), *key).select(*cols, "dl", "dt", F.explode_outer("toks").alias("term"))
             .groupBy(*cols, "dl", "dt", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def term_weights(toks: DataFrame, post: DataFrame, tenant: str | None = None) -> DataFrame:
-    """idf per term with the average length beside it; negative idf is floored at a quarter of the mean.
+def vocabulary(toks: DataFrame, tenant: str | None = None) -> DataFrame:
+    """(term, df) of the corpus in one pass; the row of the empty term carries chunk and token totals.
 
-    Sides here are as large as the vocabulary and the tenant list, never the
-    corpus; their joins are left to adaptive execution, which sees real sizes.
+    Counts combine in each task, so the shuffle moves vocabularies, not tokens.
     """
     t = [tenant] if tenant else []
-    stats = toks.groupBy(*t).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = post.groupBy(*t, "term").agg(F.count(F.lit(1)).alias("df"))
-    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    terms = F.concat(F.array(F.lit("")), F.array_distinct("toks"))
+    return toks.select(*t, "dl", F.explode(terms).alias("term")).groupBy(*t, "term").agg(
+        F.count(F.lit(1)).alias("df"), F.sum("dl").alias("dl_sum"))
+
+
+def term_weights(vocab: DataFrame, tenant: str | None = None) -> DataFrame:
+    """idf per term with the average length beside it; negative idf is floored at a quarter of the mean."""
+    n = F.max(F.when(F.col("term") == "", F.col("df")))
+    tot = F.max(F.when(F.col("term") == "", F.col("dl_sum")))
+    stats = F.struct(n.alias("n"), (tot / n).alias("avgdl")).alias("_s")
+    raw = F.when(F.col("term") != "", F.log(F.col("_s.n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     if tenant:
-        idf = df.join(stats, tenant).withColumn("raw", raw)
+        idf = vocab.join(vocab.groupBy(tenant).agg(stats), tenant).withColumn("raw", raw)
         idf = idf.join(idf.groupBy(tenant).agg(F.avg("raw").alias("mean_idf")), tenant)
     else:
-        idf = df.withColumn("_s", stats.select(F.struct("n", "avgdl")).scalar()).select(
-            "term", "df", "_s.n", "_s.avgdl").withColumn("raw", raw)
+        idf = vocab.withColumn("_s", vocab.agg(stats).scalar()).withColumn("raw", raw)
         idf = idf.withColumn("mean_idf", idf.agg(F.avg("raw")).scalar())
-    return idf.select(*t, "term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(
-        F.col("raw")).alias("idf"))
+    t = [tenant] if tenant else []
+    return idf.select(*t, "term", F.col("_s.n").alias("n"), F.col("_s.avgdl").alias("avgdl"), "raw", "mean_idf",
+                      F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
 
 
 def _few(df: DataFrame, rows: int) -> bool:
@@ -65,21 +78,21 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame, key: list[str], text:
     """(query, chunk) with ``bm25`` (Okapi) and ``overlap`` for every pair sharing a term.
 
     Repeated query terms count as often as they occur. With ``tenant`` every
-    statistic is per tenant and a query only meets chunks of its own.
+    statistic is per tenant and a query only meets chunks of its own. The corpus
+    is read twice: once for the vocabulary, once for the scores.
     """
     t = [tenant] if tenant else []
     toks = tokenized(chunks, key, text, tenant)
-    post = postings(toks, key, tenant)
-    idf = term_weights(toks, post, tenant)
-    qt = (queries.select(F.col(qid), *t, F.explode(tokenize(F.col(qtext))).alias("term"))
-          .groupBy(qid, *t, "term").agg(F.count(F.lit(1)).alias("qtf")))
-    qd = qt.groupBy(qid).agg(F.count(F.lit(1)).alias("qd"))
+    idf = term_weights(vocabulary(toks, tenant), tenant)
+    qs = queries.select(F.col(qid), *t, tokenize(F.col(qtext)).alias("_t"))
+    qs = qs.select(qid, *t, F.size(F.array_distinct("_t")).alias("qd"), F.explode_outer("_t").alias("term"))
+    qt = qs.groupBy(qid, *t, "qd", "term").agg(F.count(F.lit(1)).alias("qtf"))
     hint = F.broadcast if _few(qt, MAX_QUERY_TERMS) else (lambda d: d)
-    w = hint(qt.join(qd, qid)).join(idf, [*t, "term"]).select(
+    w = hint(qt).join(idf, [*t, "term"]).select(
         qid, *t, "term", "qd", "avgdl", (F.col("qtf") * F.col("idf")).alias("w"))
     part = F.col("w") * F.col("tf") * (K1 + 1) / (
         F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    agg = post.join(hint(w), [*t, "term"]).groupBy(qid, *key, "qd", "dt").agg(
+    agg = postings(toks, key, tenant).join(hint(w), [*t, "term"]).groupBy(qid, *key, "qd", "dt").agg(
         F.sum(part).alias("bm25"), F.count(F.lit(1)).alias("common"))
     return agg.select(qid, *key, "bm25", overlap_from_counts(
         F.col("common"), F.col("qd"), F.col("dt")).alias("overlap"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import signals as S, text as T
 from dossier.operators import chunking as C, joins as J, ranking as R
-from dossier.operators.bounds import top_k
+from dossier.operators.bounds import spread, top_k
 from dossier.plans.base import WS, query, sql_bm25, sql_char_chunks, sql_tokens, table
 
 KEY = ["doc_id", "chunk_id"]
@@ -13,7 +13,7 @@ TEXT_SQL = f"trim(substr(d.text, chunk_id * 750 + 1, 900), {WS})"
 
 
 def corpus(spark, sf):
-    return C.chunk_chars(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"))
+    return C.chunk_chars(spread(table(spark, sf, "documents").select("doc_id", "source", "lang", "text")))
 
 
 def items(spark, sf):
@@ -52,14 +52,10 @@ def mm(c, part="query_id"):
 SELECT any_value(n) AS n_chunks, round(any_value(avgdl), 6) AS avgdl, (SELECT count(*) FROM dfq) AS vocabulary,
  round(any_value(mean_idf), 6) AS mean_idf, (SELECT count(*) FROM ri WHERE idf < 0) AS n_negative FROM st CROSS JOIN mi""")
 def corpus_statistics(spark, sf):
-    toks = R.tokenized(corpus(spark, sf), KEY, "text")
-    post = R.postings(toks, KEY)
-    stats = toks.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("s", stats.select(F.struct("n", "avgdl")).scalar())
-    idf = F.log(F.col("s.n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    return df.agg(F.first("s.n").alias("n_chunks"), F.round(F.first("s.avgdl"), 6).alias("avgdl"),
-                  F.count(F.lit(1)).alias("vocabulary"), F.round(F.avg(idf), 6).alias("mean_idf"),
-                  F.count_if(idf < 0).alias("n_negative"))
+    v = R.term_weights(R.vocabulary(R.tokenized(corpus(spark, sf), KEY, "text")))
+    return v.filter("term <> ''").agg(F.first("n").alias("n_chunks"), F.round(F.first("avgdl"), 6).alias("avgdl"),
+                                      F.count(F.lit(1)).alias("vocabulary"), F.round(F.first("mean_idf"), 6).alias("mean_idf"),
+                                      F.count_if(F.col("raw") < 0).alias("n_negative"))
 
 
 @query("bm25_topk", BM + rk() + "SELECT query_id, rank, doc_id, chunk_id, round(bm25, 6) AS score FROM rk WHERE rank <= 5")
@@ -133,7 +129,7 @@ LINES_SQL = f"""SELECT doc_id, pos AS chunk_id, trim(s, {WS}) AS text FROM (SELE
 @query("catalog_line_pick", "WITH " + sql_bm25(LINES_SQL, ITEMS_SQL) + rk("overlap") +
        "SELECT query_id, doc_id, chunk_id AS line, round(overlap, 6) AS score FROM rk WHERE rank = 1 AND overlap > 0.18")
 def catalog_line_pick(spark, sf):
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_id", "text")).filter(
+    lines = spread(table(spark, sf, "documents")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_id", "text")).filter(
         T.strip(F.col("text")) != "")
     s = R.lexical_scores(lines, items(spark, sf), KEY)
     return R.ranked(s, "query_id", "overlap", KEY, 1).filter("overlap > 0.18").select(
@@ -193,7 +189,7 @@ ORD = "row_number() OVER (PARTITION BY query_id ORDER BY round({}, 9) DESC, doc_
 
 
 def doc_sides(spark, sf, pool=24):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     lex_all = R.lexical_scores(docs, items(spark, sf), ["doc_id"])
     lex = R.ranked(lex_all, "query_id", "bm25", ["doc_id"], pool).drop("rank")
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
