@@ -1,3 +1,3 @@
 """Runnable queries over the driver tables, each with its SQL twin."""
 from dossier.plans.base import ORACLES, QUERIES  # noqa: F401
-from dossier.plans import chunks, text, ranking, sources, evaluation  # noqa: F401
+from dossier.plans import chunks, text, ranking, sources, evaluation, windows, joins  # noqa: F401
