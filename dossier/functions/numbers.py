@@ -33,12 +33,16 @@ def metric_from_question(c: Column) -> Column:
 
 def kv_pairs(c: Column) -> Column:
     """`k=v | k=v` to a map, trimmed; a repeated key keeps its last value."""
-    ents = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\s*\|\s*"), lambda p: F.struct(
+    parts = F.filter(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda p: F.locate("=", p) > 1)
+    ents = F.filter(F.transform(parts, lambda p: F.struct(
         strip(F.substring_index(p, "=", 1)).alias("k"),
-        strip(F.substring(p, F.locate("=", p) + 1, F.length(p))).alias("v"),
-        p.contains("=").alias("ok"))), lambda e: e["ok"] & (e["k"] != ""))
-    return let(ents, lambda es: let(F.array_distinct(F.transform(es, lambda e: e["k"])), lambda keys: F.map_from_arrays(
-        keys, F.transform(keys, lambda k: F.element_at(F.filter(es, lambda e: e["k"] == k), -1)["v"]))))
+        strip(F.substring(p, F.locate("=", p) + 1, F.length(p))).alias("v"))), lambda e: e["k"] != "")
+    def build(es):
+        keys = F.array_distinct(F.transform(es, lambda e: e["k"]))
+        last = let(keys, lambda ks: F.map_from_arrays(ks, F.transform(
+            ks, lambda k: F.element_at(F.filter(es, lambda e: e["k"] == k), -1)["v"])))
+        return F.when(F.size(keys) == F.size(es), F.map_from_entries(es)).otherwise(last)
+    return let(ents, build)
 
 
 def numbers_in_text(c: Column) -> Column:

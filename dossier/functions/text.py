@@ -213,6 +213,24 @@ def token_estimate(c: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(c) / 4)).cast("long")
 
 
+def occurrences(c: Column, pattern: str, context: int) -> Column:
+    """Array of struct(match, snippet) for every place of a pattern, with characters around it.
+
+    Places come from one split of the text, so the cost is linear; a pattern
+    with the context inside it would try every start again.
+    """
+    found = let(F.split(c, pattern), lambda parts: let(
+        F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1)), lambda ms: F.transform(ms, lambda m, i: let(
+            _lengths(F.slice(parts, 1, i + 1)) + _lengths(F.slice(ms, 1, i)), lambda at: F.struct(
+                m.alias("match"), F.substring(c, F.greatest(at - context, F.lit(0)) + 1,
+                                              F.length(m) + F.least(at, F.lit(context)) + context).alias("snippet"))))))
+    return F.when(c.rlike(pattern), found).otherwise(F.array().cast("array<struct<match:string,snippet:string>>"))
+
+
+def _lengths(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
+
+
 def strip_header_lines(c: Column, prefixes=("record_id:", "doc_id:", "company:", "year:", "source:", "source_path:")) -> Column:
     """Text without the metadata lines put before it."""
     rx = "^(?:" + "|".join(prefixes) + ")"

@@ -29,32 +29,37 @@ def guard(abstain: Column, n_items: Column, n_answerable: Column) -> Column:
     return ladder([(abstain, "abstain_recommended"), (n_items == 0, "no_items"), (n_answerable == 0, "no_answerable_item")], None)
 
 
-def pair_resolution(ds_value: Column, ds_abstain: Column, ds_hit: Column, ds_correct: Column, in_value: Column,
+def pair_resolution(df: DataFrame, ds_value: Column, ds_abstain: Column, ds_hit: Column, ds_correct: Column, in_value: Column,
                     in_ok: Column, in_conf: Column, in_resolved: Column, ds_there: Column, in_there: Column,
-                    auto: float = 0.85, candidate: float = 0.5) -> Column:
-    """Six outcomes of two answers to one question: match, two backfills, conflict, insufficient, none."""
+                    auto: float = 0.85, candidate: float = 0.5) -> DataFrame:
+    """Adds status (match, two backfills, conflict, insufficient, none), best answer, origin, auto-confirm, owner.
+
+    The status is a column of its own, so the later ladders read it instead of
+    repeating the value comparison.
+    """
     blank = lambda c: F.coalesce(F.trim(c.cast("string")), F.lit("")) == ""
     no = F.lit(False)
     ds = ds_there & ~F.coalesce(ds_abstain, no) & ~blank(ds_value)
     inn = in_there & F.coalesce(in_ok, no) & ~blank(in_value) & ~F.coalesce(in_value.rlike(NOT_DISCLOSED_RE), no)
     partial = (ds_there & ~F.coalesce(ds_abstain, no) & F.coalesce(ds_hit, no)) | (in_there & (F.coalesce(in_conf, F.lit(0.0)) >= candidate))
-    same = F.coalesce(policy_equivalent(ds_value, in_value), no)
-    status = ladder([(~ds & ~inn & partial, "INSUFFICIENT_EVIDENCE"), (~ds & ~inn, "NO_ANSWER_FOUND"),
-                     (ds & ~inn, "BACKFILL_FROM_DATASET"), (inn & ~ds, "BACKFILL_FROM_INTERNAL"),
-                     (same, "MATCH_CONFIRMED")], "CONFLICT_REVIEW_REQUIRED")
-    internal_auto = (F.coalesce(in_conf, F.lit(0.0)) >= auto) & F.coalesce(in_resolved, no)
-    auto_c = ladder([(status == "BACKFILL_FROM_DATASET", F.coalesce(ds_correct, F.lit(True))),
-                     (status == "BACKFILL_FROM_INTERNAL", internal_auto), (status == "MATCH_CONFIRMED", F.lit(True))], False)
-    best = ladder([(status.isin("BACKFILL_FROM_DATASET", "MATCH_CONFIRMED"), ds_value),
-                   (status == "BACKFILL_FROM_INTERNAL", in_value),
-                   (status == "INSUFFICIENT_EVIDENCE", F.coalesce(F.when(~blank(ds_value), ds_value), in_value))], F.lit(None).cast("string"))
-    origin = ladder([(status == "INSUFFICIENT_EVIDENCE", "candidate"), (status == "BACKFILL_FROM_DATASET", "dataset"),
-                     (status == "BACKFILL_FROM_INTERNAL", "internal_doc"), (status == "MATCH_CONFIRMED", "both_confirmed"),
-                     (status == "CONFLICT_REVIEW_REQUIRED", "unresolved")], None)
-    owner = ladder([(status == "INSUFFICIENT_EVIDENCE", "RAG"), (status == "CONFLICT_REVIEW_REQUIRED", "SME"),
-                    ((status == "BACKFILL_FROM_INTERNAL") & ~internal_auto, "SME")], None)
-    return F.struct(status.alias("status"), best.alias("best_answer"), origin.alias("origin"), auto_c.alias("auto_confirm"),
-                    owner.alias("review_owner"))
+    d = df.withColumns({"_ds": ds, "_in": inn, "_part": partial, "_same": F.coalesce(policy_equivalent(ds_value, in_value), no),
+                        "_auto": (F.coalesce(in_conf, F.lit(0.0)) >= auto) & F.coalesce(in_resolved, no)})
+    c = F.col
+    d = d.withColumn("status", ladder([
+        (~c("_ds") & ~c("_in") & c("_part"), "INSUFFICIENT_EVIDENCE"), (~c("_ds") & ~c("_in"), "NO_ANSWER_FOUND"),
+        (~c("_in"), "BACKFILL_FROM_DATASET"), (~c("_ds"), "BACKFILL_FROM_INTERNAL"), (c("_same"), "MATCH_CONFIRMED")], "CONFLICT_REVIEW_REQUIRED"))
+    st = c("status")
+    return d.withColumns({
+        "best_answer": ladder([(st.isin("BACKFILL_FROM_DATASET", "MATCH_CONFIRMED"), ds_value), (st == "BACKFILL_FROM_INTERNAL", in_value),
+                               (st == "INSUFFICIENT_EVIDENCE", F.coalesce(F.when(~blank(ds_value), ds_value), in_value))], F.lit(None).cast("string")),
+        "origin": ladder([(st == "INSUFFICIENT_EVIDENCE", "candidate"), (st == "BACKFILL_FROM_DATASET", "dataset"),
+                          (st == "BACKFILL_FROM_INTERNAL", "internal_doc"), (st == "MATCH_CONFIRMED", "both_confirmed"),
+                          (st == "CONFLICT_REVIEW_REQUIRED", "unresolved")], None),
+        "auto_confirm": ladder([(st == "BACKFILL_FROM_DATASET", F.coalesce(ds_correct, F.lit(True))), (st == "BACKFILL_FROM_INTERNAL", c("_auto")),
+                                (st == "MATCH_CONFIRMED", F.lit(True))], False),
+        "review_owner": ladder([(st == "INSUFFICIENT_EVIDENCE", "RAG"), (st == "CONFLICT_REVIEW_REQUIRED", "SME"),
+                                ((st == "BACKFILL_FROM_INTERNAL") & ~c("_auto"), "SME")], None),
+    }).drop("_ds", "_in", "_part", "_same", "_auto")
 
 
 def conflict_status(resolved: Column, n_flags: Column, sufficiency: Column, n_confirming: Column, n_roles: Column,

@@ -1,12 +1,14 @@
 """Values out of tables, key=value lines and prose; resolution across documents."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import re
 
-from dossier.functions.numbers import (NOT_DISCLOSED_RE, amount, format_number, kv_pairs, metric_label_key,
+from pyspark.sql import Column, DataFrame, functions as F
+
+from dossier.functions.numbers import (NOT_DISCLOSED_RE, format_number, kv_pairs, metric_label_key,
                                        numbers_agree, numeric_core, numeric_values_equivalent, period_value, scale_unit, to_int)
 from dossier.functions.rules import ladder
-from dossier.functions.text import let, norm_ws, strip, token_set
+from dossier.functions.text import norm_ws, occurrences, strip, token_set
 from dossier.operators.bounds import best_per_key, top_k
 from dossier.operators.chunking import table_rows, year_columns
 
@@ -68,10 +70,15 @@ def table_candidates(units: DataFrame, keep: list[str], text: str, years: list[i
 
 
 def narrative_candidates(units: DataFrame, keep: list[str], text: str, patterns: list[tuple[str, str]], context: int = 40) -> DataFrame:
-    """(hint, value, snippet) for every place a pattern holds; group 1 of the pattern is the value."""
-    found = F.flatten(F.array(*[F.transform(
-        F.regexp_extract_all(F.col(text), F.lit(r"(?s)(.{0,%d}(?:%s).{0,%d})" % (context, p, context)), F.lit(1)),
-        lambda s, p=p, h=h: F.struct(F.lit(h).alias("hint"), F.regexp_extract(s, p, 1).alias("value"), s.alias("snippet"))) for h, p in patterns]))
+    """(hint, value, snippet) for every place a pattern holds; group 1 of the pattern is the value.
+
+    Patterns are given without a capturing group around the whole.
+    """
+    def one(hint, pat):
+        bare = re.sub(r"(?<!\\)\((?!\?)", "(?:", pat)
+        return F.transform(occurrences(F.col(text), bare, context), lambda m: F.struct(
+            F.lit(hint).alias("hint"), F.regexp_extract(m["match"], pat, 1).alias("value"), m["snippet"].alias("snippet")))
+    found = F.flatten(F.array(*[one(h, p) for h, p in patterns]))
     out = units.select(*keep, F.posexplode(found).alias("pos", "_m")).select(*keep, "pos", "_m.*")
     return out.filter((F.col("value") != "") & ~F.col("snippet").rlike("(?i)not disclosed")).withColumn(
         "year", F.nullif(F.regexp_extract("snippet", r"(20\d{2})", 1), F.lit("")).cast("int"))
@@ -243,4 +250,6 @@ def policy_boost(fields: DataFrame, docs: DataFrame, rules: list[tuple[str, str,
 
 
 def text_occurrences(df: DataFrame, keep: list[str], text: str, pattern: str, context: int = 80) -> DataFrame:
-    return df.select(*keep, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(r"(?s)(.{0,%d}(?:%s).{0,%d})" % (context, pattern, context)), F.lit(1))).alias("pos", "snippet"))
+    """Every occurrence of a pattern with the characters around it."""
+    return df.select(*keep, F.posexplode(occurrences(F.col(text), pattern, context)).alias("pos", "_o")).select(
+        *keep, "pos", "_o.match", "_o.snippet")

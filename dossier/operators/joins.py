@@ -156,7 +156,7 @@ def resolve_paths(rows: DataFrame, listing: DataFrame, key: str, candidates: str
     c = rows.select(key, F.posexplode(candidates).alias("_p", path))
     direct = c.join(listing.select(path), path).groupBy(key).agg(F.min_by(path, "_p").alias("direct"))
     by_name = listing.groupBy(name).agg(F.count(F.lit(1)).alias("_n"), F.min(path).alias("_np"))
-    nm = rows.select(key, F.substring_index(F.element_at(candidates, 1), "/", -1).alias(name)).join(by_name, name, "left")
+    nm = rows.select(key, F.substring_index(F.get(candidates, F.lit(0)), "/", -1).alias(name)).join(by_name, name, "left")
     out = rows.select(key).join(direct, key, "left").join(nm.select(key, "_n", "_np"), key, "left")
     return out.select(key, F.coalesce("direct", F.when(F.col("_n") == 1, F.col("_np"))).alias(path),
                       F.when(F.col("direct").isNotNull(), "candidate").when(F.col("_n") == 1, "file_name").when(

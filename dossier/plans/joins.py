@@ -66,7 +66,7 @@ s AS (SELECT *, CASE WHEN NOT coalesce(dsp, false) AND NOT coalesce(inp, false)
 SELECT bk, join_type, status, CASE WHEN status = 'BACKFILL_FROM_INTERNAL' THEN conf >= 0.85 AND res ELSE status IN ('BACKFILL_FROM_DATASET', 'MATCH_CONFIRMED') END AS auto_confirm,
  CASE WHEN status = 'INSUFFICIENT_EVIDENCE' THEN 'RAG' WHEN status = 'CONFLICT_REVIEW_REQUIRED' THEN 'SME' WHEN status = 'BACKFILL_FROM_INTERNAL' AND NOT (conf >= 0.85 AND res) THEN 'SME' END AS review_owner FROM s""")
 def pair_resolution(spark, sf):
-    return resolved_pairs(spark, sf).select("bk", "join_type", "r.status", "r.auto_confirm", "r.review_owner")
+    return resolved_pairs(spark, sf).select("bk", "join_type", "status", "auto_confirm", "review_owner")
 
 
 def resolved_pairs(spark, sf):
@@ -79,8 +79,8 @@ def resolved_pairs(spark, sf):
                                        (k % 3 != 0).alias("ok"), (0.4 + (k % 6) * 0.1).alias("conf"), (k % 2 == 1).alias("res"), F.lit(True).alias("it"), k.alias("io"))
     j = J.resolution_join(ds, ins, "qid", "bk", F.col("do"), F.col("io"))
     t = lambda c: F.coalesce(F.col(c), F.lit(False))
-    return j.withColumn("r", CL.pair_resolution(F.col("v"), F.col("abst"), F.col("hit"), F.lit(None).cast("boolean"), F.col("w"), F.col("ok"),
-                                                F.col("conf"), F.col("res"), t("dt"), t("it")))
+    return CL.pair_resolution(j, F.col("v"), F.col("abst"), F.col("hit"), F.lit(None).cast("boolean"), F.col("w"), F.col("ok"),
+                              F.col("conf"), F.col("res"), t("dt"), t("it"))
 
 
 @query("resolution_breakdown", f"""WITH {SIDES}, j AS (SELECT coalesce(d.qid, i.qid) IS NULL AS nob, count(*) AS n FROM ds d FULL JOIN ins i ON (d.qid = i.qid OR (d.qid IS NULL AND i.qid IS NULL AND d.bk = i.bk)) GROUP BY ALL)
