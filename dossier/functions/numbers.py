@@ -140,13 +140,15 @@ def numeric_core(c: Column) -> Column:
 
 def canonical_value(c: Column, variants: dict[str, str] | None = None) -> Column:
     """Canonical key of a surface value: registry variant, grade, scope, year, number, token."""
-    raw = norm_ws(c, lower=True)
-    variants = variants or {}
+    return let(norm_ws(c, lower=True), lambda raw: _canonical(raw, variants or {}))
+
+
+def _canonical(raw: Column, variants: dict[str, str]) -> Column:
     reg = F.lit(None).cast("string")
     if variants:
         m = F.create_map(*[F.lit(x) for kv in variants.items() for x in (kv[0].lower(), kv[1])])
         reg = F.try_element_at(m, raw)
-    return (F.when(c.isNull() | (raw == ""), F.lit(None))
+    return (F.when(raw == "", F.lit(None))
             .when(raw.rlike(r"^a\+$"), "esg_grade_a_plus").when(raw.rlike(r"^a$"), "esg_grade_a")
             .when(reg.isNotNull(), reg)
             .when(raw.rlike(r"^[a-z][+]?$"), F.concat(F.lit("grade:"), F.upper(raw)))
@@ -156,28 +158,21 @@ def canonical_value(c: Column, variants: dict[str, str] | None = None) -> Column
 
 
 def values_equivalent(a: Column, b: Column, variants: dict[str, str] | None = None) -> Column:
-    na, nb = norm_ws(a, lower=True), norm_ws(b, lower=True)
+    """Same canonical key, same text, or the same without spaces or commas."""
     bare = lambda x, ch: F.replace(x, F.lit(ch), F.lit(""))
-    return F.when(a.isNull() | b.isNull(), F.lit(False)).otherwise(
-        F.coalesce(canonical_value(a, variants) == canonical_value(b, variants), F.lit(False))
-        | (na == nb) | (bare(na, " ") == bare(nb, " ")) | (bare(na, ",") == bare(nb, ",")))
-
-
-def numbers_agree(x: Column, y: Column, tol: float = 0.001) -> Column:
-    """Relative tolerance, also with a factor of 1000 either way."""
-    one = F.lit(1.0)
-    return ((F.abs(x - y) / F.greatest(F.abs(x), F.abs(y), one) <= tol)
-            | (F.abs(x * 1000 - y) / F.greatest(F.abs(y), one) <= tol)
-            | (F.abs(y * 1000 - x) / F.greatest(F.abs(x), one) <= tol))
+    pair = F.struct(norm_ws(a, lower=True).alias("a"), norm_ws(b, lower=True).alias("b"))
+    same = let(pair, lambda p: (p["a"] == p["b"]) | (bare(p["a"], " ") == bare(p["b"], " ")) | (bare(p["a"], ",") == bare(p["b"], ","))
+               | F.coalesce(_canonical(p["a"], variants or {}) == _canonical(p["b"], variants or {}), F.lit(False)))
+    return F.when(a.isNull() | b.isNull(), F.lit(False)).otherwise(same)
 
 
 def numeric_values_equivalent(a: Column, b: Column, variants: dict[str, str] | None = None,
                               tol: float = 0.001) -> Column:
-    ca, cb = numeric_core(a), numeric_core(b)
-    fa, fb = ca.try_cast("double"), cb.try_cast("double")
-    return values_equivalent(a, b, variants) | F.coalesce(
-        F.when(fa.isNotNull() & fb.isNotNull(), numbers_agree(fa, fb, tol)).otherwise(F.lower(ca) == F.lower(cb)),
-        F.lit(False))
+    """``values_equivalent``, or numbers that agree with the scale rule, or equal text without a unit."""
+    pair = F.struct(numeric_core(a).alias("a"), numeric_core(b).alias("b"))
+    num = let(pair, lambda p: let(F.struct(p["a"].try_cast("double").alias("x"), p["b"].try_cast("double").alias("y")), lambda n: F.when(
+        n["x"].isNotNull() & n["y"].isNotNull(), numbers_agree(n["x"], n["y"], tol)).otherwise(F.lower(p["a"]) == F.lower(p["b"]))))
+    return values_equivalent(a, b, variants) | F.coalesce(num, F.lit(False))
 
 
 def policy_value(c: Column) -> Column:

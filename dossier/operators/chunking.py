@@ -277,3 +277,27 @@ def one_factor_grid(spark, base: dict[str, str], dims: dict[str, list[str]]) ->
         part = spark.range(1).select(*row, F.explode(F.array(*[F.lit(v) for v in vals])).alias(name)).select(*base)
         out = part if out is None else out.unionByName(part)
     return out.distinct()
+
+
+def fact_candidates(df: DataFrame, text: str, keep: list[str], catalog: list[dict], anchors: str, banned: list[str],
+                    min_len: int = 40) -> DataFrame:
+    """Sentence -> first fact of an ordered catalog -> specific question, with its quality gates as columns.
+
+    ``catalog``: dicts with pattern, fact, question, blockers (pattern or None).
+    """
+    s = sentences_of(df.select(*keep, text), text, min_len)
+    low = F.lower("sentence")
+    pick = None
+    for e in catalog:
+        ok = low.rlike(e["pattern"])
+        if e.get("blockers"):
+            ok = ok & ~low.rlike(e["blockers"])
+        val = F.struct(F.lit(e["fact"]).alias("fact"), F.lit(e["question"]).alias("question"))
+        pick = F.when(ok, val) if pick is None else pick.when(ok, val)
+    out = s.withColumn("_f", pick).filter(F.col("_f").isNotNull()).select(*keep, "sentence_pos", "sentence", "_f.*")
+    generic = F.lit(False)
+    for b in banned:
+        generic = generic | F.lower("question").contains(b)
+    return out.withColumns({"has_anchor": F.lower("sentence").rlike(anchors), "is_generic": generic,
+                            "has_number": F.col("sentence").rlike(r"\d")}).withColumn(
+        "usable", F.col("has_anchor") & ~F.col("is_generic"))

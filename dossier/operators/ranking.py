@@ -388,3 +388,10 @@ def answer_record(hits: DataFrame, queries: DataFrame, qid: str, source: str, te
     return out.withColumn("insufficient", F.lower("answer").contains(insufficient)).withColumn(
         "confidence", F.when(no | F.col("_best").isNull(), "low").when(F.col("_best") >= high, "high").when(
             F.col("_best") >= medium, "medium").otherwise("low")).drop("_best", "_top")
+
+
+def generate_answers(contexts: DataFrame, generate=None, context: str = "context", question: str = "question",
+                     reason: str = "abstain_reason") -> DataFrame:
+    """Apply a caller's pandas UDF (context, question) -> text to rows no rule holds back; none by default."""
+    text = generate(F.col(context), F.col(question)) if generate is not None else F.lit(None).cast("string")
+    return contexts.withColumn("generated", F.when(F.col(reason).isNull(), text))

@@ -177,3 +177,52 @@ def config_grid_runs(spark, sf):
            for r in grid.collect()]
     per = table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
     return per.select("source", F.explode(F.array(*cfg)).alias("c"), "n_docs").select("source", "c.config", "c.mode", "n_docs")
+
+
+LINES = rf"""e AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)"""
+
+
+@query("markdown_sections", rf"""WITH {LINES} SELECT doc_id, CASE WHEN pos = 0 THEN 'root' ELSE 'part' END AS title, count(*) AS n, min(md5(trim(s, {WS}))) AS lo, max(md5(trim(s, {WS}))) AS hi FROM e WHERE trim(s, {WS}) <> '' GROUP BY ALL""")
+def markdown_sections(spark, sf):
+    """Every line break of a document becomes a `## part` heading, then the headings are split again."""
+    d = table(spark, sf, "documents").select("doc_id", F.explode(C.markdown_sections(F.regexp_replace(
+        F.regexp_replace("text", r"(?m)^#", "\u0001"), "\n", "\n## part\n"))).alias("s"))
+    b = F.replace("s.body", F.lit("\u0001"), F.lit("#"))
+    return d.groupBy("doc_id", "s.title").agg(F.count(F.lit(1)).alias("n"), F.min(F.md5(b)).alias("lo"), F.max(F.md5(b)).alias("hi"))
+
+
+@query("structured_sections", rf"""WITH {LINES}, h AS (SELECT doc_id, CASE WHEN pos = 0 THEN 'root' ELSE 'part' END AS title, trim(s, {WS}) AS body FROM e WHERE doc_id % 2 = 0 AND trim(s, {WS}) <> ''
+ UNION ALL SELECT doc_id, 'root', trim(text, {WS}) FROM documents WHERE doc_id % 2 = 1 AND trim(text, {WS}) <> '') SELECT doc_id, title, count(*) AS n, min(md5(body)) AS lo FROM h GROUP BY ALL""")
+def structured_sections(spark, sf):
+    """HTML-born text by `## ` lines, plain text as one root section."""
+    kind = F.when(F.col("doc_id") % 2 == 0, "html").otherwise("text")
+    t = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\n## part\n"))).otherwise(F.col("text"))
+    d = table(spark, sf, "documents").select("doc_id", F.explode(C.structured_sections(t, kind)).alias("s"))
+    return d.groupBy("doc_id", "s.title").agg(F.count(F.lit(1)).alias("n"), F.min(F.md5("s.body")).alias("lo"))
+
+
+@query("extracted_text_units", rf"""WITH {LINES}, t AS (SELECT doc_id, pos, trim(s, {WS}) AS s FROM e), n AS (SELECT *, CASE WHEN length(s) = 0 THEN 0 WHEN length(s) <= 900 THEN 1 ELSE 1 + CAST(ceil((length(s) - 900) / 750.0) AS BIGINT) END AS nw FROM t),
+w AS (SELECT doc_id, pos, s, unnest(range(0, CAST(nw AS BIGINT))) AS k FROM n), u AS (SELECT doc_id, pos, k, trim(substr(s, k * 750 + 1, 900), {WS}) AS body FROM w)
+SELECT doc_id, count(*) AS units, sum(length(body)) AS n_chars FROM u WHERE length(body) >= 40 GROUP BY doc_id""")
+def extracted_text_units(spark, sf):
+    """Metadata header stripped, split at section lines, windowed."""
+    from dossier.functions.text import strip_header_lines
+    t = F.concat(F.lit("record_id: x\ncompany: y\n"), F.col("text"))
+    d = table(spark, sf, "documents").select("doc_id", "lang", strip_header_lines(t).alias("text"))
+    u = C.evidence_units(d, "doc_id", "text", "lang", pattern="\n")
+    return u.groupBy("doc_id").agg(F.count(F.lit(1)).alias("units"), F.sum(F.length("text")).alias("n_chars"))
+
+
+CATALOG = [{"pattern": "licensed under", "fact": "license", "question": "Which license applies?", "blockers": None},
+           {"pattern": "token", "fact": "secret", "question": "Which secret is shown?", "blockers": "%%%"},
+           {"pattern": "tion", "fact": "action", "question": "What does the text describe?", "blockers": r"\|"}]
+
+
+@query("fact_candidates", r"""
+WITH p AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.?!])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))) AS s FROM documents),
+t AS (SELECT doc_id, trim(regexp_replace(s, '\s+', ' ', 'g')) AS s FROM p),
+f AS (SELECT doc_id, s, CASE WHEN regexp_matches(lower(s), 'licensed under') THEN 'license' WHEN regexp_matches(lower(s), 'token') AND NOT regexp_matches(lower(s), '%%%') THEN 'secret' WHEN regexp_matches(lower(s), 'tion') AND NOT regexp_matches(lower(s), '\|') THEN 'action' END AS fact FROM t WHERE length(s) >= 40)
+SELECT doc_id, fact, count(*) AS n, count_if(regexp_matches(lower(s), 'the |gnu') AND fact <> 'action') AS usable, count_if(regexp_matches(s, '\d')) AS numbered FROM f WHERE fact IS NOT NULL GROUP BY ALL""")
+def fact_candidates(spark, sf):
+    c = C.fact_candidates(table(spark, sf, "documents"), "text", ["doc_id"], CATALOG, "the |gnu", ["what does the text"])
+    return c.groupBy("doc_id", "fact").agg(F.count(F.lit(1)).alias("n"), F.count_if("usable").alias("usable"), F.count_if("has_number").alias("numbered"))

@@ -152,3 +152,21 @@ def probe_cases(spark, sf):
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("case_id"), F.split_part("text", F.lit(" "), F.lit(1)).alias("item"), "text")
     bad = issue_array([(F.length("text") < 150, "question_short"), (F.col("item") == "", "item_missing")])
     return b.filter(F.size(bad) == 0).select("case_id", F.lit("natural").alias("case_origin"), "item")
+
+
+@query("hold_refinement", rf"""WITH {PAIRS}, {GOLD}, h AS (SELECT p.conv_id, p.turn, trim(regexp_replace(regexp_replace(a, '%+|\*+', ' ', 'g'), '\s+', ' ', 'g'), {WS}) AS t FROM pairs p JOIN g USING (conv_id, turn) WHERE decision = 'hold'),
+s AS (SELECT *, list_filter(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) >= 24 AND NOT contains(lower(x), '$$$')) AS gs FROM h)
+SELECT conv_id, turn, md5(CASE WHEN length(t) <= 400 THEN t ELSE coalesce(gs[1], t) END) AS refined_md5 FROM s""")
+def hold_refinement(spark, sf):
+    """Held rows get a cleaned disclosure."""
+    h = gold_rows(spark, sf).filter("g.decision = 'hold'")
+    return h.select("conv_id", "turn", F.md5(S.clean_disclosure(F.col("a"), [r"%+|\*+"], ["$$$"])).alias("refined_md5"))
+
+
+@query("revision_check", rf"""WITH {PAIRS}, t AS (SELECT conv_id, turn, a, CASE WHEN conv_id % 3 = 0 THEN substr(a, 5, 50) ELSE 'other words ' || substr(q, 1, 20) END AS rev FROM pairs), g AS (SELECT *, {_grams('rev')} AS gr, {_grams('a')} AS ga FROM t)
+SELECT conv_id, turn, contains(a, rev) AS verbatim, len(list_intersect(gr, ga)) / len(gr) >= 0.8 AS promote FROM g""")
+def revision_check(spark, sf):
+    """Revised wording tested against the unit text before it may be promoted."""
+    rev = F.when(F.col("conv_id") % 3 == 0, F.substring("a", 5, 50)).otherwise(F.concat(F.lit("other words "), F.substring("q", 1, 20)))
+    return turn_pairs(spark, sf).select("conv_id", "turn", F.col("a").contains(rev).alias("verbatim"),
+                                        (T.containment(T.char_ngrams(rev), T.char_ngrams(F.col("a"))) >= 0.8).alias("promote"))

@@ -286,3 +286,51 @@ def bottleneck(spark, sf):
     n = F.col("n_chars")
     s = table(spark, sf, "documents").withColumn("stage", F.when(n < 300, "parser").when(F.col("text").contains("|"), "table").when(n < 2000, "retrieval").otherwise("ready"))
     return s.groupBy("lang", "stage").agg(F.count(F.lit(1)).alias("n")).groupBy("lang").agg(F.max_by("stage", "n").alias("stage"), F.max("n").alias("n"))
+
+
+@query("insufficient_scores", f"""WITH {PAIRS} SELECT conv_id, turn, CASE WHEN conv_id % 10 <> 0 THEN length(a) % 5 <> 0 OR contains(lower(a), 'the') ELSE length(a) % 5 = 0 AND contains(lower(a), 'the') END AS ok FROM pairs""")
+def insufficient_scores(spark, sf):
+    return turn_pairs(spark, sf).select("conv_id", "turn", E.insufficient_score(
+        F.col("conv_id") % 10 == 0, F.length("a") % 5 == 0, F.lower("a").contains("the")).alias("ok"))
+
+
+@query("gate_evals", r"""WITH q AS (SELECT lang, contains(text, 'the ') AS expected, regexp_matches(lower(text), '(^|\s)the\s') AND NOT contains(text, '%%%') AS got, contains(text, 'token') AS leaked FROM documents)
+SELECT lang, count(*) AS cases, round(avg(CAST(expected = got AS INT)), 4) AS pass_rate, round(avg(CAST(leaked AS INT)), 4) AS leak_rate FROM q GROUP BY lang""")
+def gate_evals(spark, sf):
+    """A case table through the intent gate: share of expected outcomes, share of leaks."""
+    from dossier.functions.signals import headcount_intent
+    t = F.col("text")
+    got = headcount_intent(t, "%%%", r"(?i)(^|\s)the\s", "(?!x)x")
+    return table(spark, sf, "documents").groupBy("lang").agg(
+        F.count(F.lit(1)).alias("cases"), E.rate(t.contains("the ") == got).alias("pass_rate"), E.rate(t.contains("token")).alias("leak_rate"))
+
+
+@query("case_evaluation", """WITH c AS (SELECT o_orderkey, o_orderkey % 3 AS t, o_totalprice AS x, o_totalprice / 1000 AS y, o_totalprice * 1.01 AS z FROM orders)
+SELECT CASE t WHEN 0 THEN 'equivalence' WHEN 1 THEN 'conflict' ELSE 'canonical' END AS test_type, count(*) AS cases, count_if(CASE t WHEN 0 THEN abs(x - y * 1000) / x <= 0.001 WHEN 1 THEN abs(x - z) / greatest(x, z, 1) > 0.001 ELSE true END) AS passed FROM c GROUP BY ALL""")
+def case_evaluation(spark, sf):
+    """Constructed value pairs judged by their test type."""
+    from dossier.functions import numbers as N
+    k, x = F.col("o_orderkey") % 3, F.col("o_totalprice")
+    f = lambda c: F.format_string("%,.4f", c)
+    t = F.when(k == 0, "equivalence").when(k == 1, "conflict").otherwise("canonical")
+    ok = F.when(k == 0, N.numeric_values_equivalent(f(x), f(x / 1000))).when(k == 1, ~N.numeric_values_equivalent(f(x), f(x * 1.01))).otherwise(
+        N.canonical_value(F.lit("Scope 3")) == "scope_3")
+    return table(spark, sf, "orders").select(t.alias("test_type"), ok.alias("ok")).groupBy("test_type").agg(
+        F.count(F.lit(1)).alias("cases"), F.count_if("ok").alias("passed"))
+
+
+@query("family_gate", """WITH s AS (SELECT source, count(*) AS n, avg(CASE WHEN lang = 'en' THEN CAST(n_chars > 1000 AS INT) END) AS quant, avg(CASE WHEN lang <> 'en' THEN CAST(n_chars > 1000 AS INT) END) AS qual FROM documents GROUP BY ALL)
+SELECT source, n, round(quant, 4) AS quantitative_rate, round(qual, 4) AS qualitative_rate, CASE WHEN quant >= 0.75 THEN 'high' WHEN quant >= 0.6 THEN 'medium' ELSE 'low' END AS likelihood FROM s""")
+def family_gate(spark, sf):
+    big = (F.col("n_chars") > 1000).cast("int")
+    g = table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("lang") == "en", big)).alias("a"), F.avg(F.when(F.col("lang") != "en", big)).alias("b"))
+    return g.select("source", "n", F.round("a", 4).alias("quantitative_rate"), F.round("b", 4).alias("qualitative_rate"),
+                    F.when(F.col("a") >= 0.75, "high").when(F.col("a") >= 0.6, "medium").otherwise("low").alias("likelihood"))
+
+
+@query("fusion_failures", """WITH g AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS docs, count(*) AS n, max(l_quantity) - min(l_quantity) AS spread FROM lineitem GROUP BY ALL), s AS (SELECT CASE WHEN n < 20 THEN 'extraction' WHEN docs < 2 THEN 'single_source' WHEN spread > 48 THEN 'equivalence' ELSE 'ok' END AS stage FROM g) SELECT stage, count(*) AS n FROM s GROUP BY stage""")
+def fusion_failures(spark, sf):
+    from dossier.functions.rules import ladder
+    g = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.countDistinct("l_suppkey").alias("docs"), F.count(F.lit(1)).alias("n"), (F.max("l_quantity") - F.min("l_quantity")).alias("sp"))
+    st = ladder([(F.col("n") < 20, "extraction"), (F.col("docs") < 2, "single_source"), (F.col("sp") > 48, "equivalence")], "ok")
+    return g.groupBy(st.alias("stage")).agg(F.count(F.lit(1)).alias("n"))

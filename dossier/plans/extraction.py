@@ -289,3 +289,40 @@ def fixed_offset_records(spark, sf):
     t = F.array(F.lit("head"), F.col("s_name"), F.when(F.col("s_suppkey") % 2 == 0, "F").otherwise("M"), F.lit("Manager"), F.col("s_nationkey").cast("string"), F.lit("foot"))
     return s.select("s_suppkey", F.explode(C.fixed_offset_records(t, "^[FM]$", ["position", "role"])).alias("r")).select(
         "s_suppkey", "r.name", F.col("r.key").alias("sex"), "r.position", "r.role")
+
+
+@query("record_summary", f"""WITH {CAND}, f AS (SELECT * FROM (SELECT *, max(y) OVER (PARTITION BY item) AS my FROM c) WHERE y = my), b AS (SELECT item, v AS rv, p AS bp FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY p DESC, s DESC, ord * 1000000 + v) AS r FROM f) WHERE r = 1),
+j AS (SELECT f.*, rv, bp, {AGREE} AS same FROM f JOIN b USING (item)), g AS (SELECT item, count_if(NOT same AND NOT (bp AND p)) > 0 AS conflict, count(DISTINCT CASE WHEN same THEN doc END) >= 2 AS confirmed FROM j GROUP BY ALL), k AS (SELECT g.*, p_brand AS brand, p_type AS ptype FROM g JOIN part ON p_partkey = item)
+SELECT brand, ptype, count(*) AS n, round(avg(CAST(conflict AS INT)), 4) AS conflict_rate, round(avg(CAST(confirmed AS INT)), 4) AS confirmed_rate FROM k GROUP BY GROUPING SETS ((), (brand), (ptype))""")
+def record_summary(spark, sf):
+    """Rates over the structured records: overall, by company, by family."""
+    from dossier.operators.evaluation import rates
+    c = candidates(spark, sf).withColumn("o2", F.col("ord") * 1000000 + F.col("v"))
+    r = X.resolve_numeric(c, "item", "doc", "v", "y", "s", F.col("p"), "o2", tol=0.05)
+    k = r.join(table(spark, sf, "part").select(F.col("p_partkey").alias("item"), F.col("p_brand").alias("brand"), F.col("p_type").alias("ptype")), "item")
+    return rates(k, {"conflict_rate": F.col("n_conflicts") > 0, "confirmed_rate": F.col("n_confirming") >= 2}, [[], ["brand"], ["ptype"]], ["brand", "ptype"])
+
+
+@query("cross_role_candidates", r"""WITH t AS (SELECT o_custkey, o_orderpriority AS label FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1998 GROUP BY o_custkey, o_orderpriority, year(o_orderdate)),
+d AS (SELECT o_custkey, o_orderpriority AS label FROM orders GROUP BY o_custkey, o_orderpriority HAVING count_if(year(o_orderdate) = 1998) = 0), u AS (SELECT * FROM t UNION ALL SELECT * FROM d)
+SELECT o_custkey, 'table' AS role, count(*) AS n FROM u WHERE contains(label, 'HIGH') GROUP BY ALL UNION ALL SELECT o_custkey, 'narrative', 1 FROM orders GROUP BY o_custkey""")
+def cross_role_candidates(spark, sf):
+    """Table and prose candidates of one question over the same texts, above a score."""
+    d = order_tables(spark, sf)
+    e = F.array().cast("array<string>")
+    tc = X.table_candidates(d, ["o_custkey"], "text").withColumn("m", X.row_match(F.col("label"), F.lit("high"), F.lit(""), e, e, F.lit("high"))).filter("m.score >= 0.35")
+    nc = X.narrative_candidates(d, ["o_custkey"], "text", [("intro", r"(Intro) line")])
+    return tc.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).select("o_custkey", F.lit("table").alias("role"), "n").unionByName(
+        nc.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).select("o_custkey", F.lit("narrative").alias("role"), "n"))
+
+
+@query("profile_build", BM + rk() + f""", h AS (SELECT rk.query_id, rank, bm25, d.source = 'src1' AS pref, {TEXT_SQL} AS t FROM rk JOIN documents d USING (doc_id) WHERE rank <= 8),
+f AS (SELECT query_id, arg_min(regexp_extract(t, 'the ([a-z]{{4,}})', 1), CASE WHEN pref THEN 0 ELSE 100 END + rank) AS value, count(DISTINCT regexp_extract(t, 'the ([a-z]{{4,}})', 1)) > 1 AS conflict FROM h WHERE regexp_matches(t, 'the ([a-z]{{4,}})') GROUP BY ALL)
+SELECT i.item_id AS query_id, CASE WHEN i.item_id % 2 = 0 THEN 'bm25_lexical' ELSE 'semantic_dense' END AS mode, value, CASE WHEN value IS NULL THEN 'insufficient' WHEN conflict THEN 'conflict' ELSE 'verified' END AS status FROM benchmark i LEFT JOIN f ON f.query_id = i.item_id""")
+def profile_build(spark, sf):
+    """Fields routed, extracted, judged: one row per field."""
+    h = with_text(spark, sf, hits(spark, sf, 8))
+    x = X.extract_fields(h, [{"field": "w", "pattern": "the ([a-z]{4,})", "type": "string"}], "query_id", "text", F.col("source") == "src1")
+    q = items(spark, sf).select("query_id", CL.route_field(F.when(F.col("query_id") % 2 == 0, "metric").otherwise("text"), F.lit(False))["mode"].alias("mode"))
+    j = q.join(x.select("query_id", "value", "conflict"), "query_id", "left")
+    return j.select("query_id", "mode", "value", CL.field_status(F.col("value"), F.lit(1.0), F.coalesce("conflict", F.lit(False)))["status"].alias("status"))

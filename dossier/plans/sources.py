@@ -341,3 +341,67 @@ def eval_table_export(spark, sf):
     b = table(spark, sf, "benchmark")
     return SK.eval_table(b, {"id": F.concat(F.lit("G-"), F.col("item_id").cast("string")), "question": F.col("text"), "expected_answer": F.lower("text"),
                              "category": F.lit("bench"), "status": F.lit("approved")})
+
+
+@query("json_documents", "SELECT count(*) AS n, sum(length(c_name)) AS name_chars FROM customer")
+def json_documents(spark, sf):
+    """Customers as one JSON object per line, lines read back as documents; a broken file is left out."""
+    path = scratch(spark, "jsd")
+    table(spark, sf, "customer").select(F.to_json(F.array(F.struct("c_custkey", "c_name"))).alias("value")).write.option("lineSep", "\n").text(path)
+    spark.range(1).select(F.lit("{broken").alias("value")).write.mode("append").text(path)
+    t = spark.read.text(path)
+    ok = t.filter(F.try_parse_json("value").isNotNull())
+    return ok.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.get_json_object("value", "$[0].c_name"))).alias("name_chars"))
+
+
+@query("json_document_files")
+def json_document_files(spark, sf):
+    """Whole files of JSON through the document reader."""
+    path = scratch(spark, "jsf")
+    n = table(spark, sf, "nation")
+    n.groupBy("n_regionkey").agg(F.to_json(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))).alias("value")).write.partitionBy("n_regionkey").text(path)
+    return FI.read_json_documents(spark, path, max_chars=None).select(F.length("text").alias("n_chars"))
+
+
+@query("corpus_build", f"""WITH {REC_SQL}, c AS (SELECT CASE WHEN k % 3 = 0 THEN 'prechunked' WHEN k % 3 = 1 THEN 'records' ELSE 'documents' END AS lane,
+ CASE WHEN k % 3 = 0 THEN 1 WHEN k % 3 = 1 THEN 1 + greatest(0, CAST(ceil((length('record_id: ' || record_id || 'doc_id: ' || doc_id || 'company: ' || company || 'year: ' || year || 'source_type: ' || source_type || 'title: ' || title || 'section_path: ' || section_path || 'record_role: ' || record_role || text) + 9 - 900) / 750.0) AS BIGINT))
+  ELSE 0 END AS n, k FROM rec WHERE text <> '')
+SELECT lane, sum(n) AS chunks FROM c WHERE lane <> 'documents' GROUP BY lane UNION ALL SELECT 'documents', sum(CASE WHEN length(text) <= 900 THEN 1 ELSE 1 + CAST(ceil((length(text) - 900) / 750.0) AS BIGINT) END) FROM documents WHERE doc_id % 3 = 2""")
+def corpus_build(spark, sf):
+    """A third of the documents through each reader, one chunk table out of it, counted per lane."""
+    from dossier.operators.chunking import chunk_chars
+    d = table(spark, sf, "documents")
+    k = F.col("doc_id") % 3
+    pre = RC.prechunked(d.filter(k == 0).select(
+        F.col("doc_id").alias("chunk_id"), F.col("lang").alias("company"), F.lit(2020).alias("year"), F.lit("text").alias("source_type"), F.col("source").alias("document_title"),
+        F.lit("").alias("section_hint"), F.col("source").alias("source_path"), "text", F.struct(F.lit("").alias("year_hint")).alias("metadata"))).withColumnRenamed("source_path", "source")
+    rec = RC.record_chunks(as_records(spark, sf).filter(F.substring("record_id", 5, 20).cast("long") % 3 == 1))
+    doc = chunk_chars(d.filter(k == 2).select("source", "text"))
+    return RC.build_chunks(pre, rec, doc).groupBy("lane").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+@query("filing_documents", """WITH r AS (SELECT o_custkey, o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS i FROM orders), s AS (SELECT o_custkey, o_orderstatus, '## ' || o_orderstatus || chr(10) || string_agg('- order=' || o_orderkey, chr(10) ORDER BY i) AS blk FROM r GROUP BY o_custkey, o_orderstatus)
+SELECT o_custkey, md5(string_agg(blk, chr(10) || chr(10) ORDER BY blk)) AS text_md5 FROM s GROUP BY o_custkey""")
+def filing_documents(spark, sf):
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderstatus", "o_orderkey")
+    r = RC.filing_extract(o, "o_custkey", "o_orderstatus", "o_orderkey", F.concat(F.lit("order="), F.col("o_orderkey").cast("string")))
+    return RC.filing_document(r, "o_custkey", "o_orderstatus").select("o_custkey", F.md5("text").alias("text_md5"))
+
+
+@query("company_reingest", rf"""WITH s AS (SELECT doc_id, lang, list_filter(list_transform(regexp_split_to_array(text, '\n+'), lambda x: trim(x, {WS})), lambda x: x <> '') AS ss FROM documents), e AS (SELECT doc_id, lang, unnest(ss) AS sec FROM s),
+n AS (SELECT *, CASE WHEN length(sec) <= 900 THEN 1 ELSE 1 + CAST(ceil((length(sec) - 900) / 750.0) AS BIGINT) END AS nw FROM e), w AS (SELECT doc_id, lang, sec, unnest(range(0, CAST(nw AS BIGINT))) AS c FROM n), t AS (SELECT doc_id, lang, trim(substr(sec, c * 750 + 1, 900), {WS}) AS text FROM w)
+SELECT lang, count(DISTINCT doc_id) AS documents, count(*) AS chunks, count_if(length(text) >= 80) AS units FROM t WHERE length(text) >= 40 GROUP BY lang""")
+def company_reingest(spark, sf):
+    from dossier.operators.chunking import evidence_units
+    path = scratch(spark, "units")
+    evidence_units(table(spark, sf, "documents"), "doc_id", "text", "lang").write.partitionBy("lang").parquet(path)
+    return spark.read.parquet(path).groupBy("lang").agg(F.countDistinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("chunks"), F.count_if("is_unit").alias("units"))
+
+
+@query("corpus_file_filter", """SELECT page_id FROM pages WHERE page_id % 3 = 0 OR contains(url, 'page=')""")
+def corpus_file_filter(spark, sf):
+    """Corpus extensions stay, readme and manifest files go, an allow-list narrows the rest."""
+    k = F.col("page_id")
+    ext = F.when((k % 3 == 0) | F.col("url").contains("page="), "md").otherwise("exe")
+    l = table(spark, sf, "pages").select("page_id", F.concat(F.lit("d/"), k.cast("string"), F.lit("."), ext).alias("rel"), F.lit("x").alias("name"), ext.alias("ext"))
+    return FI.corpus_files(l, l.select("rel")).select("page_id")

@@ -189,3 +189,26 @@ def themed_seeds(docs: DataFrame, doc: str, text: str, order: list[Column], them
     p = p.filter(F.length("p") >= min_len).withColumn("theme", first_match(F.lower("p"), themes)).filter("theme is not null")
     p = p.withColumn("cluster", cluster_fingerprint(F.col("p")))
     return top_k(p, ["theme", "cluster"], [*order, F.col(doc), F.col("para")], per_cluster, "seed_rank")
+
+
+def filing_extract(rows: DataFrame, doc: str, statement: str, order: str, line: Column) -> DataFrame:
+    """(record id, line) per filing row: rows numbered inside document and statement."""
+    from dossier.operators.bounds import number_rows
+    n = number_rows(rows.withColumn("_line", line), [doc, statement], [F.col(order)], F.col(order), "_n")
+    return n.select(doc, statement, F.concat_ws("::", slug(F.col(doc).cast("string")), F.col(statement), F.col("_n").cast("string")).alias("record_id"),
+                    F.col("_line").alias("line"), F.col("_n").alias("pos"))
+
+
+def filing_document(records: DataFrame, doc: str, statement: str) -> DataFrame:
+    """One text per document: `## statement` and its lines. The text is one row by nature, as a file is."""
+    s = records.groupBy(doc, statement).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("_l"))
+    blk = F.concat(F.lit("## "), F.col(statement), F.lit("\n"), F.array_join(F.transform("_l", lambda e: F.concat(F.lit("- "), e["line"])), "\n"))
+    return s.groupBy(doc).agg(F.array_join(F.array_sort(F.collect_list(blk)), "\n\n").alias("text"))
+
+
+def build_chunks(prechunked_lane: DataFrame, record_lane: DataFrame, documents: DataFrame) -> DataFrame:
+    """One chunk table out of the three readers, with its lane for partition pruning."""
+    cols = ["source", "chunk_id", "text"]
+    parts = [df.select(F.lit(lane).alias("lane"), *[F.col(c).cast("string").alias(c) for c in cols])
+             for lane, df in (("prechunked", prechunked_lane), ("records", record_lane), ("documents", documents))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
