@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from dossier.functions.numbers import (NOT_DISCLOSED_RE, format_number, kv_pairs, metric_label_key,
                                        numbers_agree, numeric_core, numeric_values_equivalent, period_value, scale_unit, to_int)
 from dossier.functions.rules import ladder
-from dossier.functions.text import norm_ws, occurrences, strip, token_set
+from dossier.functions.text import let, norm_ws, occurrences, strip, token_set
 from dossier.operators.bounds import best_per_key, top_k
 from dossier.operators.chunking import table_rows, year_columns
 
@@ -193,22 +193,34 @@ def executive_answers(df: DataFrame, key: str, sex: str, outside: Column, female
                                F.count_if(outside).alias("outside"), F.count_if(~outside).alias("inside"))
 
 
-def financial_answers(lines: DataFrame, key: str, rank: str, pos: str, fields: str, question_year: Column, doc_year: Column, unit: Column,
+def financial_answers(lines: DataFrame, key: str, rank: str, pos: str, line: Column, question_year: Column, doc_year: Column, unit: Column,
                       keywords: list[str], statement: str | None = None) -> DataFrame:
-    """First account line by (hit rank, line) that fits statement and keywords and has a value."""
-    acc = F.coalesce(F.try_element_at(fields, F.lit("account")), F.lit(""))
-    ok = F.lit(True) if not keywords else F.lit(False)
-    for k in keywords:
-        ok = ok | acc.contains(k)
-    if statement:
-        ok = ok & F.coalesce(F.try_element_at(fields, F.lit("statement")), F.lit("")).contains(statement)
-    v = period_value(F.col(fields), question_year, doc_year)
-    c = lines.filter(ok).withColumn("_v", v).filter("_v is not null")
-    best = c.groupBy(key).agg(F.min_by(F.struct("_v", unit.alias("_u")), F.struct(rank, pos)).alias("_b"))
+    """First account line by (hit rank, line) that fits statement and keywords and has a value.
+
+    A line is parsed once: the test sits in the generator, where no filter can
+    be pushed below it and parse again.
+    """
+    get = lambda m, k: F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(""))
+    parsed = let(kv_pairs(line), lambda m: F.struct(get(m, "account").alias("acc"), get(m, "statement").alias("st"),
+                                                    period_value(m, question_year, doc_year).alias("v")))
+    def fits(s):
+        ok = s["v"].isNotNull()
+        if keywords:
+            ok = ok & _any_in(s["acc"], keywords)
+        return ok & s["st"].contains(statement) if statement else ok
+    c = lines.select(key, rank, pos, unit.alias("_u"), F.explode(F.filter(F.array(parsed), fits)).alias("_s"))
+    best = c.groupBy(key).agg(F.min_by(F.struct(F.col("_s.v").alias("_v"), "_u"), F.struct(rank, pos)).alias("_b"))
     val = F.when(F.col("_b._u") == "million", F.col("_b._v") / 1e6).otherwise(F.col("_b._v"))
     return best.select(key, format_number(val, F.col("_b._u")).alias("answer"))
 
 
+def _any_in(c: Column, words: list[str]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | c.contains(w)
+    return out
+
+
 def sanction_answer(text: Column, zero_re: str, number_re: str = r"(\d+)") -> Column:
     """0 when a zero sign is there, else the first number."""
     return F.when(text.rlike(zero_re), "0").otherwise(F.nullif(F.regexp_extract(text, number_re, 1), F.lit("")))

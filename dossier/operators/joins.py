@@ -18,49 +18,33 @@ def first_wins(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return best_per_key(df, keys, [order.asc()])
 
 
-def _grams_with_text(df: DataFrame, key: str, text: str, n: int) -> Column:
-    toks = tokenize(F.col(text))
-    return let(toks, lambda t: F.when(F.size(t) >= n, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1))),
-        lambda i: F.xxhash64(F.array_join(F.slice(t, i, n), " "))))).otherwise(F.array().cast("array<bigint>")))
-
-
 def containment_join(docs: DataFrame, needles: DataFrame, doc_key: str, doc_text: str, needle_key: str,
-                     needle_text: str, gram: int = 4) -> DataFrame:
+                     needle_text: str) -> DataFrame:
     """(doc, needle) where the document holds the needle word by word.
 
-    A needle is looked up by one run of ``gram`` whole tokens from its inside
-    (edge tokens may be cut inside a word of the document). That turns the
-    containment test into an equi-join on a hash; the exact test follows.
-    Needles too short for a run use a shorter run, down to a 3-character window
-    and, below that, a direct test over the few distinct needles left.
+    A needle is looked up by its longest token from the inside (the tokens at
+    its edges may be cut inside a word of the document), which makes the search
+    an equi-join on distinct tokens; ids alone travel, and the exact test runs
+    on the candidates. Needles without an inside token use a three-character
+    window of the text instead.
     """
     n = needles.select(F.col(needle_key), F.col(needle_text).alias("_n"), tokenize(F.col(needle_text)).alias("_t"))
     d = docs.select(F.col(doc_key), F.col(doc_text).alias("_d"))
-    inner = F.size("_t") - 2
-    parts = []
-    for size, cond in ((gram, inner >= gram), (1, (inner >= 1) & (inner < gram))):
-        anchors = n.filter(cond).select(needle_key, "_n", F.xxhash64(F.array_join(F.slice("_t", 2, size), " ")).alias("_g"))
-        grams = d.select(doc_key, "_d", _grams_with_text(d, doc_key, "_d", size).alias("_gs"))
-        parts.append(_anchored(grams, anchors, doc_key, needle_key))
-    short = n.filter(inner < 1)
-    w = lambda c: let(c, lambda s: F.when(F.length(s) >= 3, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1))), lambda i: F.xxhash64(F.substring(s, i, F.lit(3)))))).otherwise(
-        F.array().cast("array<bigint>")))
-    has_short = not short.isEmpty()
-    if has_short:
+    inner = F.slice("_t", 2, F.greatest(F.size("_t") - 2, F.lit(1)))
+    longest = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("l"), t.alias("t"))))["t"]
+    anchors = n.filter(F.size("_t") > 2).select(needle_key, longest.alias("_g"))
+    cand = d.select(doc_key, F.explode(F.array_distinct(tokenize(F.col("_d")))).alias("_g")).join(
+        broadcast_if_small(anchors), "_g").select(doc_key, needle_key)
+    short = n.filter(F.size("_t") <= 2)
+    if not short.isEmpty():
         if not short.filter(F.length("_n") < 3).isEmpty():
             raise ValueError("needles of fewer than three characters cannot be anchored; filter them first")
-        anchors = short.select(needle_key, "_n", F.xxhash64(F.substring("_n", 1, 3)).alias("_g"))
-        parts.append(_anchored(d.select(doc_key, "_d", w(F.col("_d")).alias("_gs")), anchors, doc_key, needle_key))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _anchored(grams: DataFrame, anchors: DataFrame, doc_key: str, needle_key: str) -> DataFrame:
-    """Only grams that some needle asks for leave the scan; the text rides along once per match."""
-    a = broadcast_if_small(anchors)
-    hits = grams.select(doc_key, "_d", F.explode("_gs").alias("_g")).join(a, "_g")
-    return hits.filter(F.col("_d").contains(F.col("_n"))).select(doc_key, needle_key)
+        wins = let(F.col("_d"), lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1))),
+                                                                       lambda i: F.substring(s, i, F.lit(3)))))
+        cand = cand.unionByName(d.select(doc_key, F.explode(wins).alias("_g")).join(
+            broadcast_if_small(short.select(needle_key, F.substring("_n", 1, 3).alias("_g"))), "_g").select(doc_key, needle_key))
+    return d.join(cand, doc_key).join(broadcast_if_small(n.select(needle_key, "_n")), needle_key).filter(
+        F.col("_d").contains(F.col("_n"))).select(doc_key, needle_key)
 
 
 def attach_record(hits: DataFrame, records: DataFrame, text: str, record_id: str, order: str) -> DataFrame:

@@ -1,14 +1,16 @@
 """Retrieval: a table of queries against a table of chunks.
 
-Layout of the lexical path: a first pass counts the vocabulary; a second one
-hash-partitions token lists by chunk once, and term counts, (query, chunk) sums
-and the per-task top-k all run on that partitioning, so what travels afterwards
-is k rows per query and task.
+Layout of the lexical path: a first pass counts the vocabulary (counts combine
+in each task); a second one scores the chunks where they lie against the query
+weights and keeps k rows per query and task. Query sets beyond the broadcast
+bound go through the postings join instead, hash-partitioned by chunk once.
 """
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dossier.functions.text import overlap_from_counts, tokenize
@@ -69,30 +71,44 @@ def term_weights(vocab: DataFrame, tenant: str | None = None) -> DataFrame:
                       F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
 
 
+def query_terms(queries: DataFrame, qid: str, qtext: str, tenant: str | None = None) -> DataFrame:
+    """(query, term) with its count and the number of distinct terms of the query."""
+    t = [tenant] if tenant else []
+    qs = queries.select(F.col(qid), *t, tokenize(F.col(qtext)).alias("_t"))
+    qs = qs.select(qid, *t, F.size(F.array_distinct("_t")).alias("qd"), F.explode_outer("_t").alias("term"))
+    return qs.filter(F.col("term").isNotNull()).groupBy(qid, *t, "qd", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
 def _few(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
 def lexical_scores(chunks: DataFrame, queries: DataFrame, key: list[str], text: str = "text",
-                   qid: str = "query_id", qtext: str = "text", tenant: str | None = None) -> DataFrame:
+                   qid: str = "query_id", qtext: str = "text", tenant: str | None = None,
+                   pairs: DataFrame | None = None) -> DataFrame:
     """(query, chunk) with ``bm25`` (Okapi) and ``overlap`` for every pair sharing a term.
 
     Repeated query terms count as often as they occur. With ``tenant`` every
-    statistic is per tenant and a query only meets chunks of its own. The corpus
-    is read twice: once for the vocabulary, once for the scores.
+    statistic is per tenant and a query only meets chunks of its own. ``pairs``
+    (query plus some of the key columns) limits the result to those pairs; the
+    statistics stay those of the whole corpus. The corpus is read twice: once
+    for the vocabulary, once for the scores.
     """
     t = [tenant] if tenant else []
     toks = tokenized(chunks, key, text, tenant)
     idf = term_weights(vocabulary(toks, tenant), tenant)
-    qs = queries.select(F.col(qid), *t, tokenize(F.col(qtext)).alias("_t"))
-    qs = qs.select(qid, *t, F.size(F.array_distinct("_t")).alias("qd"), F.explode_outer("_t").alias("term"))
-    qt = qs.groupBy(qid, *t, "qd", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    qt = query_terms(queries, qid, qtext, tenant)
     hint = F.broadcast if _few(qt, MAX_QUERY_TERMS) else (lambda d: d)
     w = hint(qt).join(idf, [*t, "term"]).select(
         qid, *t, "term", "qd", "avgdl", (F.col("qtf") * F.col("idf")).alias("w"))
     part = F.col("w") * F.col("tf") * (K1 + 1) / (
         F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    agg = postings(toks, key, tenant).join(hint(w), [*t, "term"]).groupBy(qid, *key, "qd", "dt").agg(
+    post, on = postings(toks, key, tenant), [*t, "term"]
+    if pairs is not None:
+        by = [c for c in key if c in pairs.columns]
+        wanted = toks.join(pairs.select(*by).distinct(), by, "left_semi")
+        post, on = postings(wanted, key, tenant).join(pairs.select(qid, *by).distinct(), by), [qid, *t, "term"]
+    agg = post.join(hint(w), on).groupBy(qid, *key, "qd", "dt").agg(
         F.sum(part).alias("bm25"), F.count(F.lit(1)).alias("common"))
     return agg.select(qid, *key, "bm25", overlap_from_counts(
         F.col("common"), F.col("qd"), F.col("dt")).alias("overlap"))
@@ -102,9 +118,121 @@ def ranked(scores: DataFrame, qid: str, score: str, key: list[str], k: int) -> D
     return top_k(scores, [qid], [F.round(F.col(score), TIE).desc(), *[F.col(c) for c in key]], k)
 
 
+MAX_WEIGHT_CELLS = 16_000_000  # broadcast bound of the term x query matrix
+
+
+def lexical_topk(chunks: DataFrame, queries: DataFrame, key: list[str], k: int, bm25_weight: float = 1.0,
+                 overlap_weight: float = 0.0, boost: str | None = None, text: str = "text", qid: str = "query_id",
+                 qtext: str = "text", tenant: str | None = None, max_cells: int = MAX_WEIGHT_CELLS) -> DataFrame:
+    """Best ``k`` chunks per query by bm25_weight * bm25 + overlap_weight * overlap (+ a chunk column).
+
+    While terms x queries stay below the checked bound, their weights go to
+    every task as one matrix and the corpus is scored where it lies: a batch of
+    token lists times the matrix, the task's own k best per query passed on. No
+    token is shuffled. Beyond the bound the same scores come from the postings
+    join.
+    """
+    t = [tenant] if tenant else []
+    qt = query_terms(queries, qid, qtext, tenant)
+    size = qt.agg(F.countDistinct(qid).alias("q"), F.countDistinct("term").alias("t")).first()
+    cols = [*key, *t, *([boost] if boost else [])]
+    cols = list(dict.fromkeys(cols))
+    mix = bm25_weight * F.col("bm25") + overlap_weight * F.col("overlap")
+    if size["q"] * size["t"] > max_cells:
+        s = lexical_scores(chunks, queries, key, text, qid, qtext, tenant)
+        if boost:
+            s = s.join(chunks.select(*key, boost), key)
+            mix = mix + F.col(boost)
+        return ranked(s.withColumn("score", mix), qid, "score", key, k)
+    toks = chunks.select(*cols, tokenize(F.col(text)).alias("toks"))
+    idf = term_weights(vocabulary(toks.withColumn("dl", F.size("toks")), tenant), tenant)
+    w = F.broadcast(qt).join(idf, [*t, "term"]).select(qid, *t, "term", "qd", "avgdl", (F.col("qtf") * F.col("idf")).alias("w")).toPandas()
+    model = _weight_matrix(w, qid, tenant)
+    bc = chunks.sparkSession.sparkContext.broadcast(model)
+    qtype, types = queries.schema[qid].dataType.simpleString(), {f.name: f.dataType.simpleString() for f in chunks.schema}
+    schema = ", ".join([f"{qid} {qtype}", *[f"{c} {types[c]}" for c in key], "bm25 double", "overlap double", "score double"])
+
+    def scan(batches):
+        m = bc.value
+        if not len(m["qids"]):
+            return
+        floor, held = np.full(len(m["qids"]), -np.inf), []
+        for batch in batches:
+            for part in _row_slices(batch, max(1, 4_000_000 // max(1, len(m["terms"])))):
+                bm, ov = _score_batch(part, m, tenant)
+                total = bm25_weight * bm + overlap_weight * ov
+                if boost:
+                    total = total + np.asarray(part.column(boost), dtype=np.float64)[:, None]
+                total = np.where(ov > 0, total, -np.inf)
+                r, c, sc, floor = _cell_topk(total, k, floor)
+                keep = np.isfinite(sc)
+                r, c, sc = r[keep], c[keep], sc[keep]
+                held.append((part.select(key).take(pa.array(r)), c, bm[r, c], ov[r, c], sc))
+            if sum(len(h[1]) for h in held) > 4 * k * len(floor) + 10_000:
+                held = [_above(h, floor) for h in held]
+        for h in held:
+            keys, c, b, o, sc = _above(h, floor)
+            if len(c):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(m["qids"][c]), *keys.columns, pa.array(b), pa.array(o), pa.array(sc)], [qid, *key, "bm25", "overlap", "score"])
+    return ranked(toks.mapInArrow(scan, schema), qid, "score", key, k)
+
+
+def _weight_matrix(w: pd.DataFrame, qid: str, tenant: str | None) -> dict:
+    """Terms x queries: weights, membership; query sizes and average lengths beside them."""
+    terms, ti = np.unique(w["term"].to_numpy(dtype=object).astype(str), return_inverse=True) if len(w) else (np.array([], dtype=str), [])
+    q = w.drop_duplicates(qid)
+    qids = q[qid].to_numpy()
+    qi = pd.Index(qids).get_indexer(w[qid])
+    mat = np.zeros((len(terms), len(qids)))
+    mat[ti, qi] = w["w"].to_numpy()
+    member = np.zeros((len(terms), len(qids)), dtype=np.float32)
+    member[ti, qi] = 1
+    return {"terms": list(terms), "qids": qids, "w": mat, "member": member, "qd": q["qd"].to_numpy(dtype=np.float64),
+            "avgdl": q["avgdl"].to_numpy(dtype=np.float64), "tenant": q[tenant].to_numpy() if tenant else None}
+
+
+def _row_slices(batch, rows: int):
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
+def _score_batch(batch, m: dict, tenant: str | None):
+    """(bm25, overlap) of a batch of token lists against every query; no shared term gives overlap 0."""
+    toks = batch.column("toks")
+    flat, n, width = toks.flatten(), batch.num_rows, len(m["terms"])
+    lens = np.asarray(pc.fill_null(pc.list_value_length(toks), 0))
+    rows = np.repeat(np.arange(n), lens)
+    tid = np.asarray(pc.fill_null(pc.index_in(flat, value_set=pa.array(m["terms"], pa.string())), -1))
+    hit = tid >= 0
+    tf = np.bincount(rows[hit] * width + tid[hit], minlength=n * width).reshape(n, width).astype(np.float64)
+    codes = np.asarray(flat.dictionary_encode().indices)
+    pair = np.unique(rows * (codes.max(initial=0) + 1) + codes) // (codes.max(initial=0) + 1) if len(codes) else np.array([], dtype=np.int64)
+    dt = np.bincount(pair, minlength=n).astype(np.float64)
+    own = None
+    if tenant:
+        own = np.asarray(batch.column(tenant).to_pylist(), dtype=object)[:, None] == m["tenant"][None, :]
+        avgdl = np.where(own.any(axis=1), (own * m["avgdl"][None, :]).max(axis=1), 1.0)
+    else:
+        avgdl = np.full(n, m["avgdl"][0])
+    norm = K1 * (1 - B + B * lens / avgdl)
+    sat = np.divide(tf * (K1 + 1), tf + norm[:, None], out=np.zeros_like(tf), where=tf > 0)
+    bm = sat @ m["w"]
+    common = (tf > 0).astype(np.float32) @ m["member"]
+    ov = 0.75 * common / m["qd"][None, :] + 0.25 * common / np.maximum(10.0, np.sqrt(dt))[:, None]
+    if own is not None:
+        ov = np.where(own, ov, 0.0)
+    return bm, ov
+
+
+def _above(h, floor):
+    keys, c, b, o, sc = h
+    ok = sc >= floor[c] - 10.0 ** -TIE
+    return keys.take(pa.array(np.nonzero(ok)[0])), c[ok], b[ok], o[ok], sc[ok]
+
+
 def bm25_topk(chunks, queries, key, k=5, **kw) -> DataFrame:
-    qid = kw.get("qid", "query_id")
-    return ranked(lexical_scores(chunks, queries, key, **kw), qid, "bm25", key, k)
+    return lexical_topk(chunks, queries, key, k, **kw)
 
 
 def min_max(score: Column, qid: str, eps: float = 1e-9) -> Column:
@@ -117,8 +245,7 @@ def min_max(score: Column, qid: str, eps: float = 1e-9) -> Column:
 def bm25_pool(chunks, queries, key, pool=24, **kw) -> DataFrame:
     """Pool of the best rows with their min-max score (normalised before any filter)."""
     qid = kw.get("qid", "query_id")
-    p = ranked(lexical_scores(chunks, queries, key, **kw), qid, "bm25", key, pool)
-    return p.withColumn("score", min_max(F.col("bm25"), qid))
+    return lexical_topk(chunks, queries, key, pool, **kw).withColumn("score", min_max(F.col("bm25"), qid))
 
 
 def filter_or_all(hits: DataFrame, qid: str, keep: Column) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dossier.functions import numbers as N
+from dossier.operators.bounds import spread
 from dossier.operators import chunking as C, classify as CL, extraction as X
 from dossier.plans.base import WS, query, sql_tokens, table
 from dossier.plans.ranking import BM, TEXT_SQL, hits, items, rk, with_text
@@ -205,11 +206,11 @@ def executive_answers(spark, sf):
 @query("financial_answers", """WITH c AS (SELECT l_orderkey, l_linenumber, l_extendedprice, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey * 1000000 + l_partkey) AS r FROM lineitem WHERE l_returnflag = 'R')
 SELECT l_orderkey, CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) AS answer FROM c WHERE r = 1""")
 def financial_answers(spark, sf):
-    li = table(spark, sf, "lineitem")
+    li = spread(table(spark, sf, "lineitem"))
     line = F.concat_ws(" | ", F.concat(F.lit("statement="), "l_linestatus"), F.concat(F.lit("account="), "l_returnflag"),
                        F.lit("term 3=1 KRW"), F.concat(F.lit("term 2="), F.format_string("%,d", F.floor("l_extendedprice")), F.lit(" KRW")))
-    d = li.select("l_orderkey", F.col("l_linenumber").alias("rank"), (F.col("l_suppkey") * 1000000 + F.col("l_partkey")).alias("pos"), N.kv_pairs(line).alias("m"))
-    return X.financial_answers(d, "l_orderkey", "rank", "pos", "m", F.lit(2023), F.lit(2024), F.lit("krw"), ["R"])
+    d = li.select("l_orderkey", F.col("l_linenumber").alias("rank"), (F.col("l_suppkey") * 1000000 + F.col("l_partkey")).alias("pos"), line.alias("line"))
+    return X.financial_answers(d, "l_orderkey", "rank", "pos", F.col("line"), F.lit(2023), F.lit(2024), F.lit("krw"), ["R"])
 
 
 @query("sanction_answers", """SELECT page_id, CASE WHEN regexp_matches(html, 'no results|track\\(0\\)') THEN '0' ELSE regexp_extract(html, 'track\\((\\d+)\\)', 1) END AS answer, length(html) - length(replace(html, '<li>', '')) >= 32 AS list_page FROM pages""")

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from dossier.functions import signals as S, text as T
 from dossier.operators import chunking as C, joins as J, ranking as R
-from dossier.operators.bounds import top_k
 from dossier.plans.base import WS, query, sql_bm25, sql_char_chunks, sql_tokens, table
 
 KEY = ["doc_id", "chunk_id"]
@@ -24,8 +23,8 @@ def scores(spark, sf):
     return R.lexical_scores(corpus(spark, sf), items(spark, sf), KEY)
 
 
-def hits(spark, sf, k, score="bm25"):
-    return R.ranked(scores(spark, sf), "query_id", score, KEY, k)
+def hits(spark, sf, k, bm25_weight=1.0, overlap_weight=0.0):
+    return R.lexical_topk(corpus(spark, sf), items(spark, sf), KEY, k, bm25_weight, overlap_weight)
 
 
 def with_text(spark, sf, h):
@@ -63,6 +62,13 @@ def bm25_topk(spark, sf):
     return hits(spark, sf, 5).select("query_id", F.col("rank").cast("long").alias("rank"), *KEY, F.round("bm25", 6).alias("score"))
 
 
+@query("bm25_postings_join", BM + rk() + "SELECT query_id, rank, doc_id, chunk_id, round(bm25, 6) AS score, round(overlap, 6) AS overlap FROM rk WHERE rank <= 5")
+def bm25_postings_join(spark, sf):
+    """The path for query sets beyond the broadcast bound: postings joined with the query terms."""
+    return R.lexical_topk(corpus(spark, sf), items(spark, sf), KEY, 5, max_cells=0).select(
+        "query_id", F.col("rank").cast("long").alias("rank"), *KEY, F.round("bm25", 6).alias("score"), F.round("overlap", 6).alias("overlap"))
+
+
 @query("bm25_pool", BM + rk() + f", p AS (SELECT * FROM rk WHERE rank <= 24) SELECT query_id, doc_id, chunk_id, round({mm('bm25')}, 6) AS score FROM p")
 def bm25_pool(spark, sf):
     return R.bm25_pool(corpus(spark, sf), items(spark, sf), KEY).select("query_id", *KEY, F.round("score", 6).alias("score"))
@@ -77,16 +83,14 @@ def bm25_by_tenant(spark, sf):
     """One set of statistics per tenant; the language plays the tenant."""
     q = items(spark, sf).withColumn("lang", F.element_at(
         F.array(*[F.lit(x) for x in ("en", "fr", "de", "es")]), (F.col("query_id") % 4 + 1).cast("int")))
-    s = R.lexical_scores(corpus(spark, sf), q, KEY, tenant="lang")
-    return R.ranked(s, "query_id", "bm25", KEY, 5).select(
+    return R.lexical_topk(corpus(spark, sf), q, KEY, 5, tenant="lang").select(
         "query_id", F.col("rank").cast("long").alias("rank"), *KEY, F.round("bm25", 6).alias("score"))
 
 
 @query("unit_scores", BM + ", s AS (SELECT *, 0.6 * bm25 + 0.4 * overlap AS score FROM scored)" + rk("score", "s") +
        "SELECT query_id, rank, doc_id, chunk_id, round(score, 6) AS score FROM rk WHERE rank <= 48")
 def unit_scores(spark, sf):
-    s = scores(spark, sf).withColumn("score", 0.6 * F.col("bm25") + 0.4 * F.col("overlap"))
-    return R.ranked(s, "query_id", "score", KEY, 48).select(
+    return hits(spark, sf, 48, 0.6, 0.4).select(
         "query_id", F.col("rank").cast("long").alias("rank"), *KEY, F.round("score", 6).alias("score"))
 
 
@@ -94,17 +98,17 @@ BOOSTS = [("src1", 0.22), ("src13", 0.1), ("src7", -0.35)]
 BOOST_SQL = "(CASE WHEN contains(d.source, 'src1') THEN 0.22 ELSE 0 END + CASE WHEN contains(d.source, 'src13') THEN 0.1 ELSE 0 END + CASE WHEN contains(d.source, 'src7') THEN -0.35 ELSE 0 END)"
 
 
-def boosted(spark, sf, base):
+def boosted(spark, sf, k, bm25_weight, overlap_weight):
+    """Top k with a per-source rule boost added to the score."""
     from dossier.functions.rules import weight_sum
-    src = table(spark, sf, "documents").select("doc_id", weight_sum(F.col("source"), BOOSTS, regex=False).alias("boost"))
-    return scores(spark, sf).join(src, "doc_id").withColumn("score", base + F.col("boost"))
+    c = corpus(spark, sf).withColumn("boost", weight_sum(F.col("source"), BOOSTS, regex=False))
+    return R.lexical_topk(c, items(spark, sf), KEY, k, bm25_weight, overlap_weight, boost="boost")
 
 
 @query("lexical_boosted", BM + f", s AS (SELECT s.*, 0.55 * bm25 + 0.25 * overlap + {BOOST_SQL} AS score FROM scored s JOIN documents d USING (doc_id))" +
        rk("score", "s") + "SELECT query_id, rank, doc_id, chunk_id, round(score, 6) AS score FROM rk WHERE rank <= 5")
 def lexical_boosted(spark, sf):
-    s = boosted(spark, sf, 0.55 * F.col("bm25") + 0.25 * F.col("overlap"))
-    pool = R.ranked(s, "query_id", "score", KEY, 32).drop("rank")
+    pool = boosted(spark, sf, 32, 0.55, 0.25).drop("rank")
     return R.ranked(pool, "query_id", "score", KEY, 5).select(
         "query_id", F.col("rank").cast("long").alias("rank"), *KEY, F.round("score", 6).alias("score"))
 
@@ -115,9 +119,9 @@ def lexical_boosted(spark, sf):
  CASE WHEN max(score) OVER (PARTITION BY query_id) >= 0.45 THEN 'high' WHEN max(score) OVER (PARTITION BY query_id) >= 0.28 THEN 'medium' ELSE 'low' END AS confidence FROM rk WHERE rank <= 5""")
 def overlap_retrieval(spark, sf):
     from pyspark.sql import Window
-    s = boosted(spark, sf, F.col("overlap")).withColumn("score", F.greatest(F.lit(0.0), F.col("score"))).filter("score > 0")
+    s = boosted(spark, sf, 5, 0.0, 1.0).filter("score > 0")
     best = F.max("score").over(Window.partitionBy("query_id"))
-    return R.ranked(s, "query_id", "score", KEY, 5).select(
+    return s.select(
         "query_id", F.col("rank").cast("long").alias("rank"), *KEY, F.round("score", 6).alias("score"),
         (best < 0.23).alias("insufficient"), S.confidence_level(best, 0.45, 0.28).alias("confidence"))
 
@@ -131,8 +135,7 @@ LINES_SQL = f"""SELECT doc_id, pos AS chunk_id, trim(s, {WS}) AS text FROM (SELE
 def catalog_line_pick(spark, sf):
     lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_id", "text")).filter(
         T.strip(F.col("text")) != "")
-    s = R.lexical_scores(lines, items(spark, sf), KEY)
-    return R.ranked(s, "query_id", "overlap", KEY, 1).filter("overlap > 0.18").select(
+    return R.lexical_topk(lines, items(spark, sf), KEY, 1, 0.0, 1.0).filter("overlap > 0.18").select(
         "query_id", "doc_id", F.col("chunk_id").cast("long").alias("line"), F.round("overlap", 6).alias("score"))
 
 
@@ -190,12 +193,17 @@ ORD = "row_number() OVER (PARTITION BY query_id ORDER BY round({}, 9) DESC, doc_
 
 def doc_sides(spark, sf, pool=24):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    lex_all = R.lexical_scores(docs, items(spark, sf), ["doc_id"])
-    lex = R.ranked(lex_all, "query_id", "bm25", ["doc_id"], pool).drop("rank")
+    lex = R.lexical_topk(docs, items(spark, sf), ["doc_id"], pool).select("query_id", "doc_id", "bm25")
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     q = items(spark, sf).join(e.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("qv")), "query_id")
     dense = R.dense_topk(e, q, "doc_id", "embedding", "query_id", "qv", pool).drop("rank")
-    return lex_all, lex, dense
+    return docs, lex, dense
+
+
+def overlap_of(spark, sf, docs, pairs):
+    """Rerank score of the candidates only; the corpus statistics are not needed for it."""
+    c = docs.join(pairs.select("query_id", "doc_id").distinct(), "doc_id").join(items(spark, sf).withColumnRenamed("text", "q"), "query_id")
+    return c.select("query_id", "doc_id", T.overlap_score(F.col("q"), F.col("text")).alias("rerank"))
 
 
 @query("hybrid_fusion", FUSE + f" SELECT * FROM (SELECT query_id, doc_id, round(score, 6) AS score, {ORD.format('score')} AS rank FROM fu) WHERE rank <= 8")
@@ -210,9 +218,9 @@ bl AS (SELECT query_id, doc_id, 0.65 * """ + mm("rerank") + " + 0.35 * " + mm("s
 
 
 def blended(spark, sf):
-    lex_all, lex, dense = doc_sides(spark, sf)
+    docs, lex, dense = doc_sides(spark, sf)
     f = R.hybrid_fusion(dense, lex, "query_id", ["doc_id"], None)
-    rr = lex_all.select("query_id", "doc_id", F.col("overlap").alias("rerank"))
+    rr = overlap_of(spark, sf, docs, f)
     return f.join(rr, ["query_id", "doc_id"], "left").fillna({"rerank": 0.0})
 
 
@@ -240,8 +248,8 @@ mode_rows AS (SELECT 'semantic_dense' AS mode, query_id, doc_id, similarity AS s
    (SELECT d.*, coalesce(s.overlap, 0) AS rr FROM dn d LEFT JOIN scored s ON d.query_id = s.query_id AND d.doc_id = s.doc_id))
 SELECT mode, query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY mode, query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM mode_rows) WHERE rank <= 5""")
 def mode_dispatch(spark, sf):
-    lex_all, lex, dense = doc_sides(spark, sf)
-    rr = lex_all.select("query_id", "doc_id", F.col("overlap").alias("rerank"))
+    docs, lex, dense = doc_sides(spark, sf)
+    rr = overlap_of(spark, sf, docs, lex.select("query_id", "doc_id").unionByName(dense.select("query_id", "doc_id")))
     out = None
     for m in R.MODES:
         part = R.retrieve(m, dense, lex, "query_id", ["doc_id"], 5, rr).select(
@@ -329,12 +337,18 @@ def planned(spark, sf):
        rk("score", "b") + """, p AS (SELECT * FROM rk WHERE rank <= 48)
 SELECT query_id, doc_id, round(max(score), 6) AS doc_score, count(*) AS unit_count FROM p GROUP BY ALL""")
 def single_doc_retrieval(spark, sf):
-    s = scores(spark, sf).join(planned(spark, sf).withColumn("p", F.lit(1.25)), ["query_id", "doc_id"], "left")
-    s = s.withColumn("score", (0.6 * F.col("bm25") + 0.4 * F.col("overlap")) * F.coalesce("p", F.lit(1.0)))
-    pool = R.ranked(s, "query_id", "score", KEY, 48)
+    """Boosted top 48: what the boost lifts is planned, so the plain top 48 and the planned pairs hold it all."""
+    mix = 0.6 * F.col("bm25") + 0.4 * F.col("overlap")
+    pl = planned_scores(spark, sf).withColumn("score", mix * 1.25)
+    plain = hits(spark, sf, 48, 0.6, 0.4).select("query_id", *KEY, "score").join(pl.select("query_id", *KEY), ["query_id", *KEY], "left_anti")
+    pool = R.ranked(plain.unionByName(pl.select("query_id", *KEY, "score")), "query_id", "score", KEY, 48)
     return R.document_scores(pool, "query_id", "doc_id", "score").withColumn("doc_score", F.round("doc_score", 6))
 
 
+def planned_scores(spark, sf):
+    return R.lexical_scores(corpus(spark, sf), items(spark, sf), KEY, pairs=planned(spark, sf))
+
+
 @query("plan_coverage", BM + PLAN_SQL + rk() + """, h AS (SELECT DISTINCT query_id, doc_id FROM rk WHERE rank <= 48)
 SELECT pl.query_id, count(*) AS planned, count(h.doc_id) AS hit, round(count(h.doc_id) / count(*), 6) AS coverage FROM pl LEFT JOIN h ON pl.query_id = h.query_id AND pl.doc_id = h.doc_id GROUP BY ALL""")
 def plan_coverage(spark, sf):
@@ -348,8 +362,11 @@ un AS (SELECT query_id, doc_id, chunk_id, max(f) AS f, max(score) AS score FROM
 pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, round(score, 9) DESC, doc_id, chunk_id) AS r FROM un) WHERE r <= 10)
 SELECT query_id, doc_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id, chunk_id) AS rank FROM pk""")
 def role_topk(spark, sf):
-    s = scores(spark, sf).join(planned(spark, sf).withColumn("p", F.lit(True)), ["query_id", "doc_id"], "left").select(
-        "query_id", *KEY, (0.6 * F.col("bm25") + 0.4 * F.col("overlap")).alias("score"), F.coalesce("p", F.lit(False)).alias("planned"))
+    """Three chunks of every planned document first, the global order after that."""
+    mix = (0.6 * F.col("bm25") + 0.4 * F.col("overlap")).alias("score")
+    pl = planned_scores(spark, sf).select("query_id", *KEY, mix, F.lit(True).alias("planned"))
+    gl = hits(spark, sf, 10, 0.6, 0.4).select("query_id", *KEY, "score", F.lit(False).alias("planned"))
+    s = pl.unionByName(gl.join(pl.select("query_id", *KEY), ["query_id", *KEY], "left_anti"))
     return R.per_doc_topk(s, "query_id", "doc_id", "score", KEY, 3, 10).select(
         "query_id", *KEY, F.col("rank").cast("long").alias("rank"))
 
@@ -421,11 +438,11 @@ def snippet_rank(spark, sf):
  pq AS (SELECT variant, query_id, min(CASE WHEN ex.doc_id IS NOT NULL THEN rank END) AS fr FROM al LEFT JOIN ex USING (query_id, doc_id) GROUP BY ALL)
 SELECT variant, count(*) AS n, round(avg(CAST(fr IS NOT NULL AS INT)), 4) AS hit_rate, round(avg(CAST(coalesce(fr = 1, false) AS INT)), 4) AS top1_rate FROM pq GROUP BY ALL""")
 def ablation_runs(spark, sf):
-    """Scoring switched one by one; each variant is a column of the same score table."""
-    s = scores(spark, sf).withColumn("v", F.explode(F.array(
-        F.struct(F.lit("bm25").alias("variant"), F.col("bm25").alias("s")), F.struct(F.lit("overlap").alias("variant"), F.col("overlap").alias("s")),
-        F.struct(F.lit("mixed").alias("variant"), (0.6 * F.col("bm25") + 0.4 * F.col("overlap")).alias("s"))))).select("query_id", *KEY, "v.*")
-    h = top_k(s, ["variant", "query_id"], [F.round("s", 9).desc(), *map(F.col, KEY)], 5)
+    """Scoring switched one by one; each variant is a pair of weights."""
+    h = None
+    for name, wb, wo in (("bm25", 1.0, 0.0), ("overlap", 0.0, 1.0), ("mixed", 0.6, 0.4)):
+        part = hits(spark, sf, 5, wb, wo).select(F.lit(name).alias("variant"), "query_id", "doc_id", "rank")
+        h = part if h is None else h.unionByName(part)
     h = h.join(expected(spark, sf).withColumn("m", F.lit(1)), ["query_id", "doc_id"], "left")
     pq = h.groupBy("variant", "query_id").agg(F.min(F.when(F.col("m") == 1, F.col("rank"))).alias("fr"))
     return pq.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("fr").isNotNull().cast("int")), 4).alias("hit_rate"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dossier.functions import numbers as N, rules as R, signals as S, text as T
+from dossier.operators.bounds import spread
 from dossier.plans.base import WS, query, sql_tokens, table
 
 TOK = sql_tokens("text")
@@ -156,7 +157,7 @@ def question_metric(spark, sf):
 @query("kv_parse", r"""SELECT l_orderkey, l_linenumber, l_partkey AS part, CAST(l_quantity AS BIGINT) AS qty, count(*) AS n FROM lineitem GROUP BY ALL""")
 def kv_parse(spark, sf):
     """Order lines as `k=v | k=v` text, parsed back; the repeated key keeps its last value."""
-    li = table(spark, sf, "lineitem")
+    li = spread(table(spark, sf, "lineitem"))
     line = F.concat_ws(" | ", F.concat(F.lit("part=0")), F.concat(F.lit("part = "), F.col("l_partkey").cast("string")),
                        F.concat(F.lit("qty="), F.format_string("%,d", F.col("l_quantity").cast("long"))), F.lit("note"))
     kv = li.select("l_orderkey", "l_linenumber", N.kv_pairs(line).alias("m"))
