@@ -75,8 +75,8 @@ def overlap_from_counts(common: Column, q_distinct: Column, c_distinct: Column)
 
 
 def overlap_score(q: Column, c: Column) -> Column:
-    qs, cs = token_set(q), token_set(c)
-    return overlap_from_counts(F.size(F.array_intersect(qs, cs)), F.size(qs), F.size(cs))
+    return let(F.struct(token_set(q).alias("q"), token_set(c).alias("c")), lambda s: overlap_from_counts(
+        F.size(F.array_intersect(s["q"], s["c"])), F.size(s["q"]), F.size(s["c"])))
 
 
 def qc_overlap(a: Column, b: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dossier.functions.text import overlap_from_counts, tokenize
 from dossier.operators.bounds import top_k
+from dossier.session import materialise
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 MAX_QUERY_TERMS = 2_000_000  # broadcast bound for the query side
@@ -55,7 +56,10 @@ def vocabulary(toks: DataFrame, tenant: str | None = None) -> DataFrame:
 
 
 def term_weights(vocab: DataFrame, tenant: str | None = None) -> DataFrame:
-    """idf per term with the average length beside it; negative idf is floored at a quarter of the mean."""
+    """idf per term with the average length beside it; negative idf is floored at a quarter of the mean.
+
+    Reads the vocabulary several times, so callers hand in a written one.
+    """
     n = F.max(F.when(F.col("term") == "", F.col("df")))
     tot = F.max(F.when(F.col("term") == "", F.col("dl_sum")))
     stats = F.struct(n.alias("n"), (tot / n).alias("avgdl")).alias("_s")
@@ -96,7 +100,7 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame, key: list[str], text:
     """
     t = [tenant] if tenant else []
     toks = tokenized(chunks, key, text, tenant)
-    idf = term_weights(vocabulary(toks, tenant), tenant)
+    idf = term_weights(materialise(vocabulary(toks, tenant)), tenant)
     qt = query_terms(queries, qid, qtext, tenant)
     hint = F.broadcast if _few(qt, MAX_QUERY_TERMS) else (lambda d: d)
     w = hint(qt).join(idf, [*t, "term"]).select(
@@ -145,7 +149,7 @@ def lexical_topk(chunks: DataFrame, queries: DataFrame, key: list[str], k: int,
             mix = mix + F.col(boost)
         return ranked(s.withColumn("score", mix), qid, "score", key, k)
     toks = chunks.select(*cols, tokenize(F.col(text)).alias("toks"))
-    idf = term_weights(vocabulary(toks.withColumn("dl", F.size("toks")), tenant), tenant)
+    idf = term_weights(materialise(vocabulary(toks.withColumn("dl", F.size("toks")), tenant)), tenant)
     w = F.broadcast(qt).join(idf, [*t, "term"]).select(qid, *t, "term", "qd", "avgdl", (F.col("qtf") * F.col("idf")).alias("w")).toPandas()
     model = _weight_matrix(w, qid, tenant)
     bc = chunks.sparkSession.sparkContext.broadcast(model)

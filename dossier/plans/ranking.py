@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import signals as S, text as T
 from dossier.operators import chunking as C, joins as J, ranking as R
+from dossier.session import materialise
 from dossier.plans.base import WS, query, sql_bm25, sql_char_chunks, sql_tokens, table
 
 KEY = ["doc_id", "chunk_id"]
@@ -51,7 +52,7 @@ def mm(c, part="query_id"):
 SELECT any_value(n) AS n_chunks, round(any_value(avgdl), 6) AS avgdl, (SELECT count(*) FROM dfq) AS vocabulary,
  round(any_value(mean_idf), 6) AS mean_idf, (SELECT count(*) FROM ri WHERE idf < 0) AS n_negative FROM st CROSS JOIN mi""")
 def corpus_statistics(spark, sf):
-    v = R.term_weights(R.vocabulary(R.tokenized(corpus(spark, sf), KEY, "text")))
+    v = R.term_weights(materialise(R.vocabulary(R.tokenized(corpus(spark, sf), KEY, "text"))))
     return v.filter("term <> ''").agg(F.first("n").alias("n_chunks"), F.round(F.first("avgdl"), 6).alias("avgdl"),
                                       F.count(F.lit(1)).alias("vocabulary"), F.round(F.first("mean_idf"), 6).alias("mean_idf"),
                                       F.count_if(F.col("raw") < 0).alias("n_negative"))
@@ -200,10 +201,10 @@ def doc_sides(spark, sf, pool=24):
     return docs, lex, dense
 
 
-def overlap_of(spark, sf, docs, pairs):
-    """Rerank score of the candidates only; the corpus statistics are not needed for it."""
-    c = docs.join(pairs.select("query_id", "doc_id").distinct(), "doc_id").join(items(spark, sf).withColumnRenamed("text", "q"), "query_id")
-    return c.select("query_id", "doc_id", T.overlap_score(F.col("q"), F.col("text")).alias("rerank"))
+def with_overlap(spark, sf, docs, pairs):
+    """Rerank score of the candidates only; a vector without a document scores 0."""
+    c = pairs.join(docs, "doc_id", "left").join(items(spark, sf).withColumnRenamed("text", "q"), "query_id")
+    return c.withColumn("rerank", F.coalesce(T.overlap_score(F.col("q"), F.col("text")), F.lit(0.0))).drop("q", "text")
 
 
 @query("hybrid_fusion", FUSE + f" SELECT * FROM (SELECT query_id, doc_id, round(score, 6) AS score, {ORD.format('score')} AS rank FROM fu) WHERE rank <= 8")
@@ -219,9 +220,7 @@ bl AS (SELECT query_id, doc_id, 0.65 * """ + mm("rerank") + " + 0.35 * " + mm("s
 
 def blended(spark, sf):
     docs, lex, dense = doc_sides(spark, sf)
-    f = R.hybrid_fusion(dense, lex, "query_id", ["doc_id"], None)
-    rr = overlap_of(spark, sf, docs, f)
-    return f.join(rr, ["query_id", "doc_id"], "left").fillna({"rerank": 0.0})
+    return with_overlap(spark, sf, docs, R.hybrid_fusion(dense, lex, "query_id", ["doc_id"], None))
 
 
 @query("rerank_blend", BLEND + f" SELECT * FROM (SELECT query_id, doc_id, round(final, 6) AS score, {ORD.format('final')} AS rank FROM bl) WHERE rank <= 8")
@@ -249,7 +248,8 @@ mode_rows AS (SELECT 'semantic_dense' AS mode, query_id, doc_id, similarity AS s
 SELECT mode, query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY mode, query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM mode_rows) WHERE rank <= 5""")
 def mode_dispatch(spark, sf):
     docs, lex, dense = doc_sides(spark, sf)
-    rr = overlap_of(spark, sf, docs, lex.select("query_id", "doc_id").unionByName(dense.select("query_id", "doc_id")))
+    lex, dense = materialise(lex), materialise(dense)
+    rr = materialise(with_overlap(spark, sf, docs, lex.select("query_id", "doc_id").union(dense.select("query_id", "doc_id")).distinct()))
     out = None
     for m in R.MODES:
         part = R.retrieve(m, dense, lex, "query_id", ["doc_id"], 5, rr).select(
@@ -346,7 +346,7 @@ def single_doc_retrieval(spark, sf):
 
 
 def planned_scores(spark, sf):
-    return R.lexical_scores(corpus(spark, sf), items(spark, sf), KEY, pairs=planned(spark, sf))
+    return materialise(R.lexical_scores(corpus(spark, sf), items(spark, sf), KEY, pairs=planned(spark, sf)))
 
 
 @query("plan_coverage", BM + PLAN_SQL + rk() + """, h AS (SELECT DISTINCT query_id, doc_id FROM rk WHERE rank <= 48)

@@ -33,3 +33,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     elif spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found
+
+
+def materialise(df):
+    """Write an intermediate that is read several times to the shared checkpoint folder and go on from there."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
