@@ -92,9 +92,14 @@ def concept_candidates(units: DataFrame, keep: list[str], text: str, concepts: l
 
 
 def plausible(cands: DataFrame, item: str, rules: Column) -> DataFrame:
-    """Drop cross-metric values; an item that would lose all keeps all."""
-    from dossier.operators.ranking import filter_or_all
-    return filter_or_all(cands, item, rules)
+    """Drop cross-metric values; an item that would lose all keeps all.
+
+    Items may be of any size, so the test for "any left" is an aggregate joined
+    back, not a window over the item.
+    """
+    c = cands.withColumn("_ok", F.coalesce(rules, F.lit(False)))
+    g = c.groupBy(item).agg(F.max("_ok").alias("_any"))
+    return c.join(g, item).filter(F.col("_ok") | ~F.col("_any")).drop("_ok", "_any")
 
 
 def best_per_document(cands: DataFrame, item: str, doc: str, score: str, order: str) -> DataFrame:
@@ -116,7 +121,8 @@ def resolve(cands: DataFrame, item: str, doc: str, value: str, year: str, score:
     The best primary value wins and supporting values that differ are flagged;
     without a primary value the best metric group decides. Numbers conflict
     beyond the tolerance. Flags are found by comparing with the chosen value,
-    so no pair of rows is formed.
+    so no pair of rows is formed; confirming documents are counted here and listed
+    as rows by ``confirming``.
     """
     g = cands.groupBy(item).agg(F.max(year).alias("_y"))
     c = cands.join(g, item).filter(F.col(year).isNull() | (F.col(year) == F.col("_y"))).drop("_y")
@@ -128,9 +134,15 @@ def resolve(cands: DataFrame, item: str, doc: str, value: str, year: str, score:
     clash = ~numeric_values_equivalent(F.col(value), F.col("resolved_value"))
     res = j.groupBy(item, "resolved_value", "resolved_doc", "by_primary", "best_score").agg(
         F.count_if(clash & ((F.col("by_primary") & ~F.col("_p")) | ~F.col("by_primary"))).alias("n_conflicts"),
-        F.array_sort(F.collect_set(F.when(~clash, F.col(doc)))).alias("confirming_docs"), F.countDistinct(doc).alias("n_docs"))
+        F.countDistinct(F.when(~clash, F.col(doc))).alias("n_confirming"), F.countDistinct(doc).alias("n_docs"))
     return res.withColumn("resolution_status", F.when(F.col("n_conflicts") > 0, "resolved_with_preference_rule").otherwise("resolved")).withColumn(
-        "multi_source_confirmed", (F.size("confirming_docs") >= 2) & (F.col("n_conflicts") == 0))
+        "multi_source_confirmed", (F.col("n_confirming") >= 2) & (F.col("n_conflicts") == 0))
+
+
+def confirming(cands: DataFrame, resolved: DataFrame, item: str, doc: str, value: str) -> DataFrame:
+    """(item, document) rows of the documents whose value agrees with the resolved one."""
+    c = cands.filter(~F.col(value).rlike(NOT_DISCLOSED_RE)).join(resolved.select(item, "resolved_value"), item)
+    return c.filter(numeric_values_equivalent(F.col(value), F.col("resolved_value"))).select(item, doc).distinct()
 
 
 def resolve_numeric(cands: DataFrame, item: str, doc: str, value: str, year: str, score: str, primary: Column, order: str,

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions.text import strip
 from dossier.operators import chunking as C
+from dossier.operators.bounds import spread
 from dossier.plans.base import WS, query, sql_char_chunks, table
 
 
@@ -92,13 +93,13 @@ WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedpri
 SELECT l_orderkey, CAST(l_partkey AS VARCHAR) AS label, year, sum(q) AS qty, count(*) AS n FROM
   (SELECT l_orderkey, l_partkey, y AS year, CAST(CAST(l_quantity AS BIGINT) AS DOUBLE) AS q FROM t) GROUP BY ALL""")
 def line_table_rows(spark, sf):
-    """Order lines rendered as one pipe table per order, then parsed back by the table generator."""
-    li = table(spark, sf, "lineitem")
+    """Order lines rendered as pipe tables, one per line, then parsed back by the table generator."""
+    li = spread(table(spark, sf, "lineitem"))
     rows = li.select("l_orderkey", F.concat(F.lit("| "), F.concat_ws(" | ", F.col("l_partkey").cast("string"),
                                                *[F.when(F.year("l_shipdate") == y, F.col("l_quantity").cast("long").cast("string")).otherwise("-")
                                                  for y in range(1992, 2003)]), F.lit(" |")).alias("ln"))
     head = "| part | " + " | ".join(str(y) for y in range(1992, 2003)) + " |"
-    docs = rows.groupBy("l_orderkey").agg(F.concat_ws("\n", F.lit(head), F.lit("| --- |"), F.array_sort(F.collect_list("ln"))).alias("text"))
+    docs = rows.select("l_orderkey", F.concat_ws("\n", F.lit(head), F.lit("| --- |"), "ln").alias("text"))
     t = docs.select("l_orderkey", F.explode(C.table_rows(F.col("text"))).alias("r"))
     cells = F.filter(F.arrays_zip(F.slice("r.header", 2, 11).alias("h"), F.slice("r.cells", 2, 11).alias("c")),
                      lambda x: ~x["c"].isin("", "-"))

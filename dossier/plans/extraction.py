@@ -131,14 +131,25 @@ def resolve_candidates(spark, sf):
 f AS (SELECT *, TRY_CAST(regexp_extract(replace(replace(v, ',', ''), ' ', ''), '[0-9]+') AS DOUBLE) AS x FROM c WHERE NOT regexp_matches(v, '(?i)not disclosed')),
 b AS (SELECT item, v AS rv, x AS rx, doc AS rd, p AS bp FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY p DESC, s DESC, doc_id) AS r FROM f) WHERE r = 1),
 j AS (SELECT f.*, rv, rd, bp, (x = rx OR abs(x - rx) / greatest(x, rx, 1) <= 0.001 OR abs(x * 1000 - rx) / greatest(rx, 1) <= 0.001 OR abs(rx * 1000 - x) / greatest(x, 1) <= 0.001) AS same FROM f JOIN b USING (item))
-SELECT item, rv AS resolved_value, rd AS resolved_doc, count_if(NOT same AND ((bp AND NOT p) OR NOT bp)) AS n_conflicts, string_agg(DISTINCT CASE WHEN same THEN doc END, ',' ORDER BY CASE WHEN same THEN doc END) AS confirming FROM j GROUP BY ALL""")
+SELECT item, rv AS resolved_value, rd AS resolved_doc, count_if(NOT same AND ((bp AND NOT p) OR NOT bp)) AS n_conflicts, count(DISTINCT CASE WHEN same THEN doc END) AS n_confirming FROM j GROUP BY ALL""")
 def resolve_text_values(spark, sf):
+    c = text_candidates(spark, sf)
+    return X.resolve(c, "item", "doc", "v", "y", "s", F.col("p"), "doc_id").select("item", "resolved_value", "resolved_doc", "n_conflicts", "n_confirming")
+
+
+def text_candidates(spark, sf):
     n = F.col("n_chars")
-    c = table(spark, sf, "documents").select("doc_id", F.col("source").alias("item"), F.col("lang").alias("doc"), n.alias("s"), (F.col("lang") == "en").alias("p"),
-                                             F.lit(None).cast("int").alias("y"), F.when(n < 400, "Not disclosed").otherwise(
-                                                 F.concat(F.floor(n / 500).cast("string"), F.lit(",000 people"))).alias("v"))
-    return X.resolve(c, "item", "doc", "v", "y", "s", F.col("p"), "doc_id").select(
-        "item", "resolved_value", "resolved_doc", "n_conflicts", F.array_join("confirming_docs", ",").alias("confirming"))
+    return table(spark, sf, "documents").select("doc_id", F.col("source").alias("item"), F.col("lang").alias("doc"), n.alias("s"), (F.col("lang") == "en").alias("p"),
+                                                F.lit(None).cast("int").alias("y"), F.when(n < 400, "Not disclosed").otherwise(
+                                                    F.concat(F.floor(n / 500).cast("string"), F.lit(",000 people"))).alias("v"))
+
+
+@query("confirming_documents", """WITH c AS (SELECT doc_id, source AS item, lang AS doc, n_chars AS s, lang = 'en' AS p, CAST(n_chars // 500 AS DOUBLE) * 1000 AS x FROM documents WHERE n_chars >= 400),
+b AS (SELECT item, x AS rx FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY p DESC, s DESC, doc_id) AS r FROM c) WHERE r = 1)
+SELECT DISTINCT item, doc FROM c JOIN b USING (item) WHERE x = rx OR abs(x - rx) / greatest(x, rx, 1) <= 0.001 OR abs(x * 1000 - rx) / greatest(rx, 1) <= 0.001 OR abs(rx * 1000 - x) / greatest(x, 1) <= 0.001""")
+def confirming_documents(spark, sf):
+    c = text_candidates(spark, sf)
+    return X.confirming(c, X.resolve(c, "item", "doc", "v", "y", "s", F.col("p"), "doc_id"), "item", "doc", "v")
 
 
 @query("structured_records", f"""WITH {CAND}, f AS (SELECT * FROM (SELECT *, max(y) OVER (PARTITION BY item) AS my FROM c) WHERE y = my),

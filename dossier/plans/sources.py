@@ -380,12 +380,12 @@ def corpus_build(spark, sf):
     return RC.build_chunks(pre, rec, doc).groupBy("lane").agg(F.count(F.lit(1)).alias("chunks"))
 
 
-@query("filing_documents", """WITH r AS (SELECT o_custkey, o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS i FROM orders), s AS (SELECT o_custkey, o_orderstatus, '## ' || o_orderstatus || chr(10) || string_agg('- order=' || o_orderkey, chr(10) ORDER BY i) AS blk FROM r GROUP BY o_custkey, o_orderstatus)
-SELECT o_custkey, md5(string_agg(blk, chr(10) || chr(10) ORDER BY blk)) AS text_md5 FROM s GROUP BY o_custkey""")
+@query("filing_documents", """WITH r AS (SELECT o_custkey, o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS i FROM orders)
+SELECT o_custkey, o_orderstatus, i AS pos, '- order=' || o_orderkey AS line FROM r UNION ALL SELECT DISTINCT o_custkey, o_orderstatus, 0, '## ' || o_orderstatus FROM orders""")
 def filing_documents(spark, sf):
     o = table(spark, sf, "orders").select("o_custkey", "o_orderstatus", "o_orderkey")
     r = RC.filing_extract(o, "o_custkey", "o_orderstatus", "o_orderkey", F.concat(F.lit("order="), F.col("o_orderkey").cast("string")))
-    return RC.filing_document(r, "o_custkey", "o_orderstatus").select("o_custkey", F.md5("text").alias("text_md5"))
+    return RC.filing_text(r, "o_custkey", "o_orderstatus")
 
 
 @query("company_reingest", rf"""WITH s AS (SELECT doc_id, lang, list_filter(list_transform(regexp_split_to_array(text, '\n+'), lambda x: trim(x, {WS})), lambda x: x <> '') AS ss FROM documents), e AS (SELECT doc_id, lang, unnest(ss) AS sec FROM s),

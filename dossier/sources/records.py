@@ -199,11 +199,15 @@ def filing_extract(rows: DataFrame, doc: str, statement: str, order: str, line:
                     F.col("_line").alias("line"), F.col("_n").alias("pos"))
 
 
-def filing_document(records: DataFrame, doc: str, statement: str) -> DataFrame:
-    """One text per document: `## statement` and its lines. The text is one row by nature, as a file is."""
-    s = records.groupBy(doc, statement).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("_l"))
-    blk = F.concat(F.lit("## "), F.col(statement), F.lit("\n"), F.array_join(F.transform("_l", lambda e: F.concat(F.lit("- "), e["line"])), "\n"))
-    return s.groupBy(doc).agg(F.array_join(F.array_sort(F.collect_list(blk)), "\n\n").alias("text"))
+def filing_text(records: DataFrame, doc: str, statement: str) -> DataFrame:
+    """The lines of every extract in reading order: a `## statement` line, then its records.
+
+    Lines stay rows and are range-partitioned by (document, statement, place),
+    so a document of any size is spread over tasks and reads back in order.
+    """
+    heads = records.select(doc, statement).distinct().select(doc, statement, F.lit(0).cast("long").alias("pos"), F.concat(F.lit("## "), statement).alias("line"))
+    body = records.select(doc, statement, F.col("pos").cast("long").alias("pos"), F.concat(F.lit("- "), "line").alias("line"))
+    return heads.unionByName(body).repartitionByRange(doc, statement, "pos").sortWithinPartitions(doc, statement, "pos")
 
 
 def build_chunks(prechunked_lane: DataFrame, record_lane: DataFrame, documents: DataFrame) -> DataFrame:
