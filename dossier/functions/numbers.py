@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 from dossier.functions.rules import alias_of
 from dossier.functions.text import let, norm_ws, strip
 
+# Number and sentinel patterns.
 NUMBER_RE = r"(-?[\d,]+(?:\.\d+)?)"
 NOT_DISCLOSED_RE = r"(?i)not disclosed|not available|n/a"
 
@@ -124,6 +125,7 @@ def target_unit(question: Column, table_unit: Column) -> Column:
             .when(q.rlike(r"revenue|cost|amount|price|sales"), "currency"))
 
 
+# Unit suffixes left out of a number.
 UNIT_SUFFIX_RE = r"(?i)\s*(?:tco2e|tco2|co2e|%|usd|krw|million|mil|billion)\b"
 
 
@@ -144,6 +146,7 @@ def canonical_value(c: Column, variants: dict[str, str] | None = None) -> Column
 
 
 def _canonical(raw: Column, variants: dict[str, str]) -> Column:
+    # The canonical keys.
     reg = F.lit(None).cast("string")
     if variants:
         m = F.create_map(*[F.lit(x) for kv in variants.items() for x in (kv[0].lower(), kv[1])])

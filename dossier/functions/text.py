@@ -9,6 +9,7 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# Fixed value: a token is a Hangul run or a Latin/digit run.
 TOKEN_RE = "([가-힣]+|[a-zA-Z0-9_]+)"
 SPACES = " \t\n\r\f\u000b"
 
@@ -110,6 +111,7 @@ MOJIBAKE = [
 # Entities replaced without leaving the JVM.
 NAMED_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
                   ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+# Fixed value: markup left over in extracted text.
 RESIDUE_RE = r"(?is)<!--.*?-->|</?(?:image|table|tr|td|th|div|span|p|br)\b[^>]*>"
 
 

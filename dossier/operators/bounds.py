@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 500_000  # of narrow key rows; wide sides pass their own bound
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dossier.functions.numbers import (NOT_DISCLOSED_RE, format_number, kv_pairs, metric_label_key,
-                                       numbers_agree, numeric_core, numeric_values_equivalent, period_value, scale_unit, to_int)
+                                       numbers_agree, numeric_core, numeric_values_equivalent, period_value, scale_unit)
 from dossier.functions.rules import ladder
 from dossier.functions.text import let, norm_ws, occurrences, strip, token_set
 from dossier.operators.bounds import best_per_key, top_k

@@ -1,8 +1,6 @@
 """Joins with declared duplicate handling, containment joins without all-pairs, reconciliation."""
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dossier.functions.text import let, tokenize

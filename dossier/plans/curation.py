@@ -4,9 +4,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dossier.functions import signals as S, text as T
-from dossier.operators import curation as CU, select as SE
+from dossier.operators import curation as CU
 from dossier.plans.base import WS, query, sql_tokens, table
-from dossier.plans.text import PAIRS, TA, TQ, _grams, turn_pairs
+from dossier.plans.text import PAIRS, TA, _grams, turn_pairs
 from dossier.plans.windows import CFP
 
 TRI = """CASE WHEN trim(lower(a), ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'reject' WHEN regexp_matches(lower(a), '%%%|token') THEN 'reject' WHEN length(a) < 40 THEN 'reject' WHEN NOT regexp_matches(lower(a), 'tion|de ') THEN 'reject' WHEN contains(lower(q), 'the') THEN 'rewrite' ELSE 'keep' END"""
@@ -71,7 +71,6 @@ GOLD = f"""g AS (SELECT conv_id, turn, CASE WHEN regexp_matches(lower(a), '%%%')
 
 def gold_rows(spark, sf):
     p = turn_pairs(spark, sf)
-    q = F.regexp_replace(F.trim("q"), r"\.$", "?")
     return p.withColumn("g", CU.gold_decision(F.regexp_replace(T.strip(F.col("q")), r"\.$", "?"), F.col("a"), F.lit(True), "%%%", F.col("a").contains("token")))
 
 

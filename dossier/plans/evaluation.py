@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dossier.operators import chunking as C, classify as CL, evaluation as E, joins as J
+from dossier.operators import classify as CL, evaluation as E, joins as J
 from dossier.plans.base import WS, query, sql_tokens, table
 from dossier.plans.ranking import BM, EXPECT, expected, hits, items, rk
 from dossier.plans.text import PAIRS, _grams, turn_pairs

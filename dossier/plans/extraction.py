@@ -66,7 +66,9 @@ def table_units(spark, sf):
     return table(spark, sf, "documents").filter(F.col("text").contains("|")).select("doc_id", (F.regexp_count("text", F.lit(r"\|")) >= 8).alias("is_table"))
 
 
-@query("document_tables")
+@query("document_tables", rf"""WITH l AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda s: contains(s, '|'))) AS s FROM documents WHERE contains(text, '|')),
+c AS (SELECT doc_id, string_split(regexp_replace(trim('| ' || s, {WS}), '^\|+|\|+$', '', 'g'), '|') AS cs FROM l)
+SELECT doc_id, trim(cs[1], {WS}) AS label, len(cs) AS n_cells FROM c WHERE len(cs) >= 2""")
 def document_tables(spark, sf):
     """Lines of the documents that hold pipes, framed as table rows."""
     d = table(spark, sf, "documents").filter(F.col("text").contains("|")).select("doc_id", F.concat(

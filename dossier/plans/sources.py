@@ -50,7 +50,7 @@ def html_blocks(spark, sf):
     return P.html_blocks(table(spark, sf, "pages"), "page_id", "html").select("page_id", "pos", "kind", "heading", F.md5("text").alias("text_md5"))
 
 
-@query("xml_walk")
+@query("xml_walk", """SELECT o_orderkey, 'status: st-' || o_orderstatus || chr(10) || 'price (cur=usd): ' || printf('%.2f', o_totalprice) || chr(10) || 'tail ' || o_orderpriority AS lines FROM orders""")
 def xml_walk(spark, sf):
     """Order rows as small XML documents with attributes and a namespace, walked back to lines."""
     o = table(spark, sf, "orders")

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dossier.functions import numbers as N, rules as R, signals as S, text as T
+from dossier.functions import numbers as N, signals as S, text as T
 from dossier.operators.bounds import spread
 from dossier.plans.base import WS, query, sql_tokens, table
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dossier.functions import text as T
-from dossier.operators import bounds as B, joins as J, select as S
+from dossier.operators import bounds as B, select as S
 from dossier.plans.base import WS, query, table
 from dossier.plans.evaluation import RUNS, runs
 
