@@ -1,8 +1,10 @@
 """Shared helpers: tables in the shared folder, fresh column names, byte words, connected components."""
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,14 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def worker_cache(name: str, make):
+    """A value kept by the Python worker process between tasks. Functions travel by value, so their globals do not stay."""
+    home = sys.modules.setdefault("_dossier_worker", ModuleType("_dossier_worker")).__dict__
+    if name not in home:
+        home[name] = make()
+    return home[name]
+
+
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the stretches of equal rows; ``keys`` is 1-d or 2-d."""
     if not len(keys):
