@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dossier.llm import packing, secrets, simhash
+from dossier.llm import html, packing, secrets, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,29 @@ def op3(spark, sf_dir):
     base = F.filter("spans", lambda s: s["kind"] != "random")
     return found.select("doc_id", count("assign"), count("access"), count("hex"),
                         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query("op8_main_text")
+def op8(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query("op9_url_rules", """
+WITH parts AS (SELECT page_id,
+         coalesce(translate(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+rules(rh, rp, rv) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                             ('net', '/es/', 'block'), ('net', '/fr/', 'block'))
+SELECT page_id, host, path,
+       (SELECT max(struct_pack(n := length(rh || rp), rule := rh || rp)) FROM rules
+        WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)).rule AS rule,
+       coalesce((SELECT max(struct_pack(n := length(rh || rp), v := rv)) FROM rules
+        WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)).v, 'allow') AS verdict
+FROM parts""")
+def op9(spark, sf_dir):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")

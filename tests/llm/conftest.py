@@ -1,0 +1,3 @@
+import importlib.util
+
+collect_ignore_glob = [] if importlib.util.find_spec("dossier.llm") else ["test_*"]
