@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dossier.llm import html, packing, secrets, simhash, urls
+from dossier.llm import html, langid, packing, secrets, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,20 @@ def op10(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def remainder(column, n):
+    """crc32 of the value as text, modulo n; null as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+@query("op1_language_id")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = remainder("doc_id", 4) == 2
+    model = langid.train(docs.filter(~held), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return docs.select("doc_id", held.alias("held_out"), langid.predict(F.col("text"), model).alias("p")).select(
+        "doc_id", "held_out", "p.lang_pred", "p.score")
+
+
 @query("op2_bestfit_packing")
 def op2(spark, sf_dir):
     pieces = packing.cut(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
