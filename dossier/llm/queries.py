@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dossier.llm import html, langid, packing, secrets, simhash, urls
+from dossier.llm import bloom_lm, html, langid, packing, secrets, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,6 +64,11 @@ def op3(spark, sf_dir):
                         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+@query("op4_bloom_lm")
+def op4(spark, sf_dir):
+    return bloom_lm.score(table(spark, sf_dir, "documents"), remainder("doc_id", 10) == 0)
+
+
 @query("op8_main_text")
 def op8(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"))
