@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dossier.llm import bloom_lm, html, langid, packing, secrets, simhash, urls
+from dossier.llm import bloom_lm, html, langid, nearest, packing, secrets, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,6 +69,17 @@ def op4(spark, sf_dir):
     return bloom_lm.score(table(spark, sf_dir, "documents"), remainder("doc_id", 10) == 0)
 
 
+@query("op5_nearest_vectors", """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE list_dot_product(e, e) > 0 AND isfinite(list_dot_product(e, e))),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (q.n * c.n) AS score
+      FROM u q JOIN u c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM p QUALIFY rank <= 5""")
+def op5(spark, sf_dir):
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query("op8_main_text")
 def op8(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"))
