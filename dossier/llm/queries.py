@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dossier.llm import bloom_lm, decontaminate, html, langid, nearest, packing, secrets, simhash, urls
+from dossier.llm import bloom_lm, decontaminate, html, langid, nearest, packing, passages, secrets, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,6 +85,11 @@ def op6(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op7_repeated_passages")
+def op7(spark, sf_dir):
+    return passages.repeated(table(spark, sf_dir, "documents"))
+
+
 @query("op8_main_text")
 def op8(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"))
