@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from dossier.llm.common import map_arrow, worker_cache
 
@@ -184,27 +184,51 @@ def contaminated(docs: DataFrame, items: DataFrame, item: str = "doc_id", text:
     travel in slabs of at most about ``slab_chars`` characters, one scan of the
     documents each; documents are never shuffled. Other columns are not read.
     """
-    rows = items.select(F.col(test_id).alias("i"), F.col(test_text).alias("t")).filter("t is not null").distinct()
-    chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    slabs = max(1, -(-int(chars) // slab_chars))
     ident = items.schema[test_id].dataType
     schema = T.StructType([T.StructField(item, docs.schema[item].dataType), T.StructField(test_id, ident), T.StructField("start", T.LongType()),
                            T.StructField("end", T.LongType()), T.StructField("distance", T.IntegerType())])
     out = None
-    for n in range(slabs):
-        slab = [(r["i"], r["t"]) for r in rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(slabs)) == n).sort("i", "t").collect()]
+    for slab in slabs_of(items, test_id, test_text, slab_chars):
         part = map_arrow(docs.select(F.col(item), F.col(text)), _scan(slab, rate, item, test_id, uuid.uuid4().hex), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def slabs_of(items: DataFrame, test_id: str = "item_id", test_text: str = "text", slab_chars: int = SLAB_CHARS) -> Iterator[list[tuple[object, str]]]:
+    """The distinct non-null items in lists of at most about ``slab_chars`` characters; one empty list if there are none."""
+    rows = items.select(F.col(test_id).alias("i"), F.col(test_text).alias("t")).filter("t is not null").distinct()
+    slabs = max(1, -(-int(rows.agg(F.sum(F.length("t"))).first()[0] or 0) // slab_chars))
+    for n in range(slabs):
+        yield [(r["i"], r["t"]) for r in rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(slabs)) == n).sort("i", "t").collect()]
+
+
+def leaks(text: Column, items: DataFrame, test_id: str = "item_id", test_text: str = "text", rate: float = RATE,
+          slab_chars: int = SLAB_CHARS) -> Column:
+    """True where a text holds an item of ``items`` within its budget; false for null."""
+    out = F.lit(False)
+    for slab in slabs_of(items, test_id, test_text, slab_chars):
+        out = out | _holds(slab, rate, uuid.uuid4().hex)(text)
+    return out
+
+
+def _holds(slab: list[tuple[object, str]], rate: float, key: str):
+    def of(col: pa.Array) -> pa.Array:
+        m = _matcher(slab, rate, key)
+        return pa.array([bool(t and m.find(normal(t))) for t in col.to_pylist()], pa.bool_())
+    return F.arrow_udf(of, "boolean")
+
+
+def _matcher(slab: list[tuple[object, str]], rate: float, key: str) -> Matcher:
+    kept = worker_cache("decontaminate", dict)
+    if key not in kept:
+        kept.clear()
+        kept[key] = Matcher(slab, rate)
+    return kept[key]
+
+
 def _scan(slab: list[tuple[object, str]], rate: float, item: str, test_id: str, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        kept = worker_cache("decontaminate", dict)
-        if key not in kept:
-            kept.clear()
-            kept[key] = Matcher(slab, rate)
-        m = kept[key]
+        m = _matcher(slab, rate, key)
         for batch in batches:
             at, ids, starts, ends, dist = [], [], [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):

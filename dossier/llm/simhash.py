@@ -80,8 +80,11 @@ def _tree(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(pa_) if pa_ else none), (np.concatenate(ch) if ch else none)
 
 
-def _bucket_edges(radius: int, limit: int):
-    """Batches sorted by (v, key, fp) to spanning edges of each bucket; rows of buckets over ``limit`` come back marked."""
+def _bucket_edges(radius: int, limit: int, complete: int = 0):
+    """Batches sorted by (v, key, fp) to spanning edges of each bucket; rows of buckets over ``limit`` come back marked.
+
+    Buckets of up to ``complete`` fingerprints give all their links instead.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held = np.empty((0, 3), np.int64)  # the last bucket seen may go on
         hot = None
@@ -94,14 +97,15 @@ def _bucket_edges(radius: int, limit: int):
             ok = np.bitwise_count(x[two] ^ x[two + 1]) <= radius
             a.append(two[ok]); b.append(two[ok] + 1)  # noqa: E702
             for i in np.flatnonzero(n > 2):
-                p, c = _tree(x[s[i]:e[i]], radius)
+                y = x[s[i]:e[i]]
+                p, c = np.nonzero(np.triu(np.bitwise_count(y[:, None] ^ y[None, :]) <= radius, 1)) if len(y) <= complete else _tree(y, radius)
                 a.append(p + s[i]); b.append(c + s[i])  # noqa: E702
             ia, ib = np.concatenate(a), np.concatenate(b)
             f = x.view(np.int64)
-            return {"a": f[ia], "b": f[ib], "hot": np.zeros(len(ia), np.int32)}
+            return {"v": rows[ia, 0].astype(np.int32), "a": f[ia], "b": f[ib], "hot": np.zeros(len(ia), bool)}
 
         def marked(rows: np.ndarray) -> dict:
-            return {"a": rows[:, 2].copy(), "b": rows[:, 2].copy(), "hot": rows[:, 0].astype(np.int32)}
+            return {"v": rows[:, 0].astype(np.int32), "a": rows[:, 2].copy(), "b": rows[:, 2].copy(), "hot": np.ones(len(rows), bool)}
 
         for batch in batches:
             rows = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
@@ -147,9 +151,9 @@ def _variants(masks: list[int], bits: int = BITS):
             two = [p | q for i, p in enumerate(free) for q in free[:i]]
             flips[v] = np.array(one + two, np.uint64), np.r_[np.ones(len(one), bool), np.zeros(len(two), bool)]
         for batch in batches:
-            fp, v = batch.column("a").to_numpy().view(np.uint64), batch.column("hot").to_numpy()
+            fp, v = batch.column("a").to_numpy().view(np.uint64), batch.column("v").to_numpy()
             for w in np.unique(v):
-                f, near = flips[int(w)]
+                f, near = flips[int(w) % len(masks) + 1]
                 mine = fp[v == w]
                 for i in range(0, len(mine), 512):
                     z = mine[i:i + 512, None] ^ f[None, :]
@@ -158,29 +162,34 @@ def _variants(masks: list[int], bits: int = BITS):
     return run
 
 
-def covering_edges(points: DataFrame, fp: str = "fp", radius: int = 3, limit: int = RUN_LIMIT) -> DataFrame:
-    """(a, b) edges whose components are those of 'at most ``radius`` (3) differing bits' over distinct ``points[fp]``.
+def covering_edges(points: DataFrame, fp: str = "fp", radius: int = 3, limit: int = RUN_LIMIT, family: str | None = None,
+                   complete: int = 0) -> DataFrame:
+    """(family, a, b) edges whose components are those of 'at most ``radius`` (3) differing bits' over distinct ``points[fp]``.
 
     Every bucket up to ``limit`` fingerprints gives a spanning forest of its true
-    links, never all its pairs. A larger bucket is linked in linear work: two
-    fingerprints differ in at most 3 bits exactly when some z is at most 1 flip
-    from one and 2 flips from the other, so everything that reaches z is tied
-    to one fingerprint that reaches z with at most one flip.
+    links, never all its pairs (all links in buckets of up to ``complete``). A
+    larger bucket is linked in linear work: two fingerprints differ in at most 3
+    bits exactly when some z is at most 1 flip from one and 2 flips from the
+    other, so everything that reaches z is tied to one fingerprint that reaches z
+    with at most one flip. ``family`` names an integer column: fingerprints meet
+    those of their own family; without it all are family 0.
     """
     if radius != 3:
         raise ValueError("the linear way for large buckets is written for radius 3")
     masks = table_masks(radius)
-    rows = points.select(F.col(fp).alias("fp")).select("fp", F.explode(F.array(*[
-        F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for v, m in enumerate(masks, 1)])).alias("t"))
-    rows = rows.select(F.col("t.v").alias("v"), F.col("t.key").alias("key"), "fp") \
+    rows = points.select((F.col(family).cast("int") if family else F.lit(0)).alias("f"), F.col(fp).alias("fp")).select(
+        "f", "fp", F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(m)).alias("key"))
+                                       for v, m in enumerate(masks)])).alias("t"))
+    rows = rows.select((F.col("f") * len(masks) + F.col("t.v")).alias("v"), F.col("t.key").alias("key"), "fp") \
         .repartition(shuffle_width(points.sparkSession), "v", "key").sortWithinPartitions("v", "key", "fp")
-    found = stored(map_arrow(rows, _bucket_edges(radius, limit), "a long, b long, hot int"))
-    edges, hot = found.filter("hot = 0").select("a", "b"), found.filter("hot > 0")
+    found = stored(map_arrow(rows, _bucket_edges(radius, limit, complete), "v int, a long, b long, hot boolean"))
+    of = F.floor(F.col("v") / len(masks)).cast("int").alias("family")
+    edges, hot = found.filter("not hot").select(of, "a", "b"), found.filter("hot")
     if hot.isEmpty():
         return edges
-    z = map_arrow(hot.select("a", "hot"), _variants(masks), "v int, z long, fp long, near boolean")
+    z = map_arrow(hot.select("a", "v"), _variants(masks), "v int, z long, fp long, near boolean")
     centre = z.filter("near").groupBy("v", "z").agg(F.min("fp").alias("c"))
-    return edges.union(z.join(centre, ["v", "z"]).filter("fp <> c").select(F.col("c").alias("a"), F.col("fp").alias("b")).distinct())
+    return edges.union(z.join(centre, ["v", "z"]).filter("fp <> c").select(of, F.col("c").alias("a"), F.col("fp").alias("b")).distinct())
 
 
 def groups(points: DataFrame, item: str = "doc_id", fp: str = "fp", radius: int = 3, limit: int = RUN_LIMIT) -> DataFrame:
@@ -210,3 +219,108 @@ def near_duplicates(docs: DataFrame, item: str = "doc_id", text: str = "text", w
     comp = groups(marked, item, fp, radius, limit)
     return marked.join(comp.withColumnRenamed("fp", fp), fp, "left").select(
         item, F.lpad(F.lower(F.hex(fp)), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+# ---- groups by Jaccard similarity of shingle sets ----------------------------
+FAMILIES = 6
+SHINGLE = 5
+SIMILARITY = 0.8
+COMPLETE = 16
+
+
+def family_table(families: int = FAMILIES, seed: int = 11) -> np.ndarray:
+    """Random bits of every 16-bit word code, one 64-bit number per family."""
+    return np.random.default_rng(seed).integers(0, 1 << 63, (1 << 16, families), dtype=np.uint64) << np.uint64(1) \
+        ^ np.random.default_rng(seed + 1).integers(0, 1 << 63, (1 << 16, families), dtype=np.uint64)
+
+
+def family_fingerprints(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """One SimHash per family over the distinct words of a text."""
+    u = np.unique(codes)
+    ones = np.zeros(table.shape[1] * BITS, np.int64)
+    for i in range(0, len(u), 1 << 12):
+        ones += np.unpackbits(table[u[i:i + (1 << 12)]].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(u), bitorder="little").view(np.int64)
+
+
+def shingle_set(codes: np.ndarray, k: int = SHINGLE) -> np.ndarray:
+    """Distinct shingles of ``k`` words; a shorter text is one shingle, no words give none."""
+    n = max(1, len(codes) - k + 1) if len(codes) else 0
+    h = np.full(n, len(codes) if len(codes) < k else k, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(min(k, len(codes))):
+            h = (h ^ (codes[i:i + n].astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def similar_groups(texts: DataFrame, similarity: float = SIMILARITY, families: int = FAMILIES) -> DataFrame:
+    """(t, root) of the texts that link to others; ``texts`` has t and words (16-bit codes).
+
+    Candidates come from the covering tables of several SimHash families over
+    word sets: all links of small buckets, a spanning forest of large ones, and
+    texts of one fingerprint with the first of them. Every candidate is then
+    checked exactly on its sets of five-word shingles, so no text is grouped
+    without a partner of ``similarity`` or more.
+    """
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        table = family_table(families)
+        for batch in batches:
+            f = [family_fingerprints(np.frombuffer(w, np.uint16), table) for w in batch.column(1).to_pylist()]
+            yield {"t": np.repeat(batch.column(0).to_numpy(), families), "family": np.tile(np.arange(families, dtype=np.int32), len(f)),
+                   "fp": np.concatenate(f)}
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            ok = [jaccard(shingle_set(np.frombuffer(x, np.uint16)), shingle_set(np.frombuffer(y, np.uint16))) >= similarity
+                  for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            yield {"a": batch.column("a").filter(pa.array(ok)), "b": batch.column("b").filter(pa.array(ok))}
+
+    points = stored(map_arrow(texts.select("t", "words"), prints, "t long, family int, fp long"))
+    nodes = stored(points.groupBy("family", "fp").agg(F.min("t").alias("first"), F.count(F.lit(1)).alias("n")))
+    edges = covering_edges(nodes, "fp", family="family", complete=COMPLETE)
+    first = nodes.select("family", F.col("fp").alias("a"), F.col("first").alias("fa"))
+    second = first.toDF("family", "b", "fb")
+    across = edges.join(first, ["family", "a"]).join(second, ["family", "b"]).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+    within = points.join(nodes.filter("n > 1"), ["family", "fp"]).filter("t <> first").select(F.col("first").alias("a"), F.col("t").alias("b"))
+    pairs = stored(across.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    words = texts.select("t", "words")
+    both = pairs.join(words.toDF("a", "x"), "a").join(words.toDF("b", "y"), "b")
+    return components(map_arrow(both, checked, "a long, b long")).select(F.col("node").alias("t"), "root")
+
+
+def deduplicated(docs: DataFrame, item: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the one with the smallest ``item``.
+
+    Groups are the components of links of ``similarity`` or more. Equal texts are
+    one group; a null text is a group of its own kind, like an empty one. Of rows
+    that share item and text, one stays. All columns are kept.
+    """
+    from dossier.llm.passages import word_codes
+    key, multi, no = (fresh(docs, c) for c in ("_key", "_multi", "_item"))
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            yield {"item": batch.column(0), "key": batch.column(1), "words": [word_codes(t).tobytes() for t in utf8(batch.column(2))]}
+
+    kind = docs.schema[item].dataType.simpleString()
+    rows = map_arrow(docs.select(F.col(item).alias("item"), digest.alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")), coded,
+                     f"item {kind}, key string, words binary")
+    texts = stored(rows.groupBy("key").agg(F.min("item").alias("item"), F.first("words").alias("words")).withColumn("t", F.monotonically_increasing_id()))
+    names = texts.select("t", "item", "key")
+    grouped = names.join(similar_groups(texts, similarity), "t", "left").withColumn("root", F.coalesce("root", "t"))
+    stay = grouped.groupBy("root").agg(F.min(F.struct(F.col("item").isNull().alias("none"), "item", "key")).alias("s")).select("s.item", "s.key")
+    held = docs.select(F.col(item).alias("item"), digest.alias("key")).groupBy("item", "key").agg((F.count(F.lit(1)) > 1).alias("m"))
+    kept = stored(stay.join(held, stay["key"].eqNullSafe(held["key"]) & stay["item"].eqNullSafe(held["item"])).select(
+        stay["item"].alias(no), stay["key"].alias(key), F.col("m").alias(multi)))
+    own = docs.withColumn(key, digest)
+    on = lambda k: (own[key] == k[key]) & own[item].eqNullSafe(k[no])
+    once, more = kept.filter(~F.col(multi)), kept.filter(F.col(multi))
+    many = own.join(more, on(more)).select(own["*"]).dropDuplicates([item, key])
+    return own.join(once, on(once), "left_semi").unionByName(many).drop(key)
