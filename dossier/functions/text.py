@@ -194,9 +194,15 @@ def extractive_answer(question: Column, text: Column, insufficient: str = "insuf
     return F.when(out == "", F.lit(insufficient)).otherwise(out)
 
 
-def content_id(source: Column, index: Column, text: Column) -> Column:
-    """md5 prefix over source, index and the first 50 characters."""
-    return F.substring(F.md5(F.concat_ws("_", source, index.cast("string"), F.substring(text, 1, 50))), 1, 12)
+def pad_id(number: Column, width: int) -> Column:
+    """A number as text with leading zeros up to ``width``; longer numbers stay whole (``lpad`` alone would cut them)."""
+    s = number.cast("string")
+    return F.when(F.length(s) < width, F.lpad(s, width, "0")).otherwise(s)
+
+
+def content_id(document: Column, index: Column, text: Column) -> Column:
+    """md5 over document id, index and the whole text: equal only for the same chunk of the same document."""
+    return F.md5(F.concat_ws("_", document.cast("string"), index.cast("string"), text))
 
 
 def text_fingerprint(c: Column, head: int | None = None) -> Column:

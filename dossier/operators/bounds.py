@@ -1,8 +1,13 @@
 """Size checks before a broadcast, salting for hot keys, numbering without one big sort."""
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from dossier.session import materialise
+
 BROADCAST_ROWS = 500_000  # of narrow key rows; wide sides pass their own bound
 
 
@@ -27,40 +32,61 @@ def hot_keys(df: DataFrame, keys: list[str], threshold: int) -> DataFrame:
     return df.groupBy(*keys).count().filter(F.col("count") > threshold).select(*keys)
 
 
+def join_null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet null keys, so rows of a null group find their group again."""
+    r = b.withColumnsRenamed({k: f"_j_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in keys]
+    return a.join(r, reduce(and_, same), how).drop(*[f"_j_{k}" for k in keys])
+
+
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], row_id: Column, how: str = "inner",
                 threshold: int = 1_000_000, salts: int = 64) -> DataFrame:
-    """Equi-join where a few keys may hold a third of ``big``.
+    """Equi-join where a few keys, null among them, may hold a third of ``big``.
 
     Rows of a hot key are spread over ``salts`` sub-keys and only the matching
-    small-side rows of those keys are repeated. ``how`` may be inner or left.
+    small-side rows of those keys are repeated. Hot keys are counted once, into a
+    table of at most rows / ``threshold`` keys. ``how`` may be inner or left.
     """
-    hot = hot_keys(big, keys, threshold).withColumn("_hot", F.lit(True))
-    hot = broadcast_if_small(hot)
-    b = big.join(hot, keys, "left").withColumn(
+    hot = broadcast_if_small(materialise(hot_keys(big, keys, threshold)).withColumn("_hot", F.lit(True)))
+    b = join_null_safe(big, hot, keys, "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
-    s = small.join(hot, keys, "left").withColumn(
+    s = join_null_safe(small, hot, keys, "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
             F.array(F.lit(0))))).drop("_hot")
-    return b.join(s, [*keys, "_salt"], how).drop("_salt")
+    return join_null_safe(b, s, [*keys, "_salt"], how).drop("_salt")
+
+
+NULL_PIECE = 1 << 40  # rows without an order value come after all others
 
 
 def order_bucket(df: DataFrame, order: Column, target_rows: int = 1_000_000) -> DataFrame:
-    """Add ``_b``: equal-width ranges of a numeric order key, so a hot group is cut in pieces.
+    """Add ``_b``: ranges of a numeric order key that hold about ``target_rows`` each, so a hot group is cut in pieces.
 
-    Monotone in the key, hence whole-group numbering and carries can be done as
-    (inside the piece) + (what the earlier pieces add up to).
+    Cut points are approximate quantiles, so clustered keys are cut as well;
+    equal keys share a piece. Monotone in the key, hence whole-group numbering
+    and carries can be done as (inside the piece) + (what the earlier pieces add
+    up to). Null order values are a piece of their own, after the others. A row
+    is compared with about twice the square root of the number of pieces.
     """
-    lo, hi, n = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
-    if lo is None:
-        return df.withColumn("_b", F.lit(0).cast("long"))
+    n = df.agg(F.count(order)).first()[0]
     pieces = max(1, -(-int(n) // target_rows))
-    width = (float(hi) - float(lo)) / pieces or 1.0
-    return df.withColumn("_b", F.floor((order - F.lit(lo)) / F.lit(width)).cast("long"))
+    cuts = [] if pieces == 1 else sorted(set(df.agg(F.percentile_approx(
+        order, [i / pieces for i in range(1, pieces)], max(10_000, 20 * pieces))).first()[0] or []))
+    step = max(1, int(len(cuts) ** 0.5))
+    groups = [cuts[i:i + step] for i in range(0, len(cuts), step)]
+    below = lambda xs: F.size(F.filter(F.array(*[F.lit(x) for x in xs]), lambda x: x < order)) if xs else F.lit(0)
+    if len(groups) <= 1:
+        b = below(cuts)
+    else:
+        heads = below([g[-1] for g in groups])  # groups that lie below the key as a whole
+        rest = F.get(F.array(*[F.array(*[F.lit(x) for x in g]) for g in groups]), heads)
+        b = heads * step + F.coalesce(F.size(F.filter(rest, lambda x: x < order)), F.lit(0))
+    return df.withColumn("_b", F.when(order.isNull(), F.lit(NULL_PIECE)).otherwise(b.cast("long")))
 
 
 def number_rows(df: DataFrame, keys: list[str], order_cols: list[Column], bucket_on: Column,
                 name: str = "rn", target_rows: int = 1_000_000) -> DataFrame:
-    """Row number per key for groups of any size.
+    """Row number per key (null is a key) for groups of any size; rows without ``bucket_on`` come last.
 
     ``bucket_on`` is the leading numeric order key. Each (key, piece) is ordered
     on its own; piece sizes, one row each, give the offsets.
@@ -70,12 +96,12 @@ def number_rows(df: DataFrame, keys: list[str], order_cols: list[Column], bucket
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     local = b.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order_cols)))
-    return local.join(offsets, [*keys, "_b"]).withColumn(name, F.col("_off") + F.col("_r")).drop("_off", "_r", "_b")
+    return join_null_safe(local, offsets, [*keys, "_b"]).withColumn(name, F.col("_off") + F.col("_r")).drop("_off", "_r", "_b")
 
 
 def forward_fill(df: DataFrame, keys: list[str], order: Column, cols: list[str],
                  target_rows: int = 1_000_000) -> DataFrame:
-    """Last non-null value so far per key, for groups of any size.
+    """Last non-null value so far per key (null is a key), for groups of any size; rows without an order value come last.
 
     A window runs inside each (key, piece); the last value of every piece is
     carried into the later ones through a table with one row per piece.
@@ -86,7 +112,7 @@ def forward_fill(df: DataFrame, keys: list[str], order: Column, cols: list[str],
         F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(f"_l_{c}") for c in cols])
     prev = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = last.select(*keys, "_b", *[F.last(f"_l_{c}", ignorenulls=True).over(prev).alias(f"_c_{c}") for c in cols])
-    out = b.select("*", *[F.last(c, ignorenulls=True).over(w).alias(f"_f_{c}") for c in cols]).join(carry, [*keys, "_b"])
+    out = join_null_safe(b.select("*", *[F.last(c, ignorenulls=True).over(w).alias(f"_f_{c}") for c in cols]), carry, [*keys, "_b"])
     for c in cols:
         out = out.withColumn(c, F.coalesce(F.col(f"_f_{c}"), F.col(f"_c_{c}")))
     return out.drop("_b", *[f"_f_{c}" for c in cols], *[f"_c_{c}" for c in cols])

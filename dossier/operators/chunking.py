@@ -4,7 +4,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dossier.functions.text import let, norm_ws, strip
+from dossier.functions.text import let, norm_ws, pad_id, strip
 
 
 def word_windows(text: Column, size: int = 400, overlap: int = 80) -> Column:
@@ -144,7 +144,7 @@ def evidence_units(df: DataFrame, doc_id: str, text: str, company: str, min_chun
     out = df.select(F.col(doc_id), F.col(company), F.posexplode(kept).alias("_i", "_w"))
     return out.select(
         doc_id, company,
-        F.concat_ws("-", F.col(doc_id).cast("string"), F.lpad((F.col("_i") + 1).cast("string"), 4, "0")).alias("unit_id"),
+        F.concat_ws("-", F.col(doc_id).cast("string"), pad_id(F.col("_i") + 1, 4)).alias("unit_id"),
         F.col("_w.section_pos").alias("section_pos"), F.col("_w.chunk_pos").alias("chunk_pos"),
         F.substring("_w.text", 1, unit_cut).alias("text"),
         (F.length("_w.text") >= min_unit).alias("is_unit"))

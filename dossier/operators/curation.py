@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dossier.functions.rules import contains_any, first_match, first_reason, issue_array, ladder
 from dossier.functions.signals import cleanliness, n_matches
-from dossier.functions.text import char_ngrams, cluster_fingerprint, containment, norm_ws, qc_overlap, strip
+from dossier.functions.text import char_ngrams, cluster_fingerprint, containment, norm_ws, pad_id, qc_overlap, strip
 from dossier.operators.bounds import best_per_key
 from dossier.operators.select import collapse_clusters
 
@@ -80,7 +80,7 @@ def freeze(df: DataFrame, decision: str, company: str, order: str, question: str
     """Approved rows to the gold schema with running ids per company."""
     from dossier.operators.bounds import number_rows
     a = number_rows(df.filter(F.col(decision) == "approve"), [company], [F.col(order)], F.col(order), "_n")
-    return a.select(F.concat_ws("-", F.lit("GOLD"), F.upper(company), F.lpad(F.col("_n").cast("string"), 4, "0")).alias("gold_id"), company,
+    return a.select(F.concat_ws("-", F.lit("GOLD"), F.upper(company), pad_id(F.col("_n"), 4)).alias("gold_id"), company,
                     F.col(question).alias("question"), F.col(context).alias("context"), F.col(answer).alias("answer"), F.col(order).alias("source_row"))
 
 

@@ -114,7 +114,7 @@ def lower_nearest_rank(df: DataFrame, keys: list[str], value: str, share: float
     Values are counted first (copies combine), so the running count goes over
     distinct values; ranges of the value cut a large group in pieces.
     """
-    from dossier.operators.bounds import order_bucket
+    from dossier.operators.bounds import join_null_safe, order_bucket
     c = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     b = order_bucket(c, F.col(value))
     piece = b.groupBy(*keys, "_b").agg(F.sum("_n").alias("_pn"))
@@ -122,7 +122,7 @@ def lower_nearest_rank(df: DataFrame, keys: list[str], value: str, share: float
     piece = piece.withColumn("_off", F.coalesce(F.sum("_pn").over(before), F.lit(0))).withColumn(
         "_tot", F.sum("_pn").over(Window.partitionBy(*keys)))
     w = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    cum = b.withColumn("_c", F.sum("_n").over(w)).join(piece.drop("_pn"), [*keys, "_b"])
+    cum = join_null_safe(b.withColumn("_c", F.sum("_n").over(w)), piece.drop("_pn"), [*keys, "_b"])
     target = F.greatest(F.lit(1), F.floor(share * F.col("_tot")))
     hi = F.col("_off") + F.col("_c")
     return cum.filter((hi >= target) & (hi - F.col("_n") < target)).select(*keys, F.col(value).alias("p_value"), F.col("_tot").alias("n"))

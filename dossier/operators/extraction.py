@@ -9,7 +9,7 @@ from dossier.functions.numbers import (NOT_DISCLOSED_RE, format_number, kv_pairs
                                        numbers_agree, numeric_core, numeric_values_equivalent, period_value, scale_unit)
 from dossier.functions.rules import ladder
 from dossier.functions.text import let, norm_ws, occurrences, strip, token_set
-from dossier.operators.bounds import best_per_key, top_k
+from dossier.operators.bounds import best_per_key, broadcast_if_small, join_null_safe, top_k
 from dossier.operators.chunking import table_rows, year_columns
 
 GENERIC = ("the", "of", "and", "total", "number", "rate", "ratio", "amount")
@@ -99,7 +99,7 @@ def plausible(cands: DataFrame, item: str, rules: Column) -> DataFrame:
     """
     c = cands.withColumn("_ok", F.coalesce(rules, F.lit(False)))
     g = c.groupBy(item).agg(F.max("_ok").alias("_any"))
-    return c.join(g, item).filter(F.col("_ok") | ~F.col("_any")).drop("_ok", "_any")
+    return join_null_safe(c, broadcast_if_small(g), [item]).filter(F.col("_ok") | ~F.col("_any")).drop("_ok", "_any")
 
 
 def best_per_document(cands: DataFrame, item: str, doc: str, score: str, order: str) -> DataFrame:
@@ -114,6 +114,23 @@ def pick_single_source(cands: DataFrame, item: str, primary: Column, score: str,
                                  F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "value"))), lambda e: e["value"]), ",").alias("preview"))
 
 
+def _with_winner(cands: DataFrame, item: str, year: str, told: Column, win: Column, score: str, order: str) -> DataFrame:
+    """Candidates of the target year (and undated ones) that pass ``told``, each with the fields of its item's winner.
+
+    The winner comes from one aggregate per (item, year), which combines before
+    the shuffle, and a small one per item; it goes back to the candidates in one
+    join, broadcast while the items are few and else open to skew handling.
+    """
+    o = F.struct((~F.col("_p")).alias("a"), (-F.col(score)).alias("b"), F.col(order).alias("c"))
+    best = F.min(F.when(told, F.struct(o.alias("o"), win.alias("w"))))
+    per_year = cands.groupBy(item, year).agg(best.alias("_e"))
+    top = per_year.groupBy(item).agg(F.max(year).alias("_y"), F.array_agg(F.struct(F.col(year).alias("y"), F.col("_e").alias("e"))).alias("_all"))
+    pick = F.array_min(F.transform(F.filter("_all", lambda x: (x["y"].isNull() | (x["y"] == F.col("_y"))) & x["e"].isNotNull()), lambda x: x["e"]))
+    winner = top.withColumn("_w", pick).filter("_w is not null").select(item, "_y", "_w.w.*")
+    return join_null_safe(cands.filter(told), broadcast_if_small(winner), [item]).filter(
+        F.col(year).isNull() | (F.col(year) == F.col("_y"))).drop("_y")
+
+
 def resolve(cands: DataFrame, item: str, doc: str, value: str, year: str, score: str, primary: Column, order: str) -> DataFrame:
     """One value per item out of candidates of many documents.
 
@@ -124,13 +141,10 @@ def resolve(cands: DataFrame, item: str, doc: str, value: str, year: str, score:
     so no pair of rows is formed; confirming documents are counted here and listed
     as rows by ``confirming``.
     """
-    g = cands.groupBy(item).agg(F.max(year).alias("_y"))
-    c = cands.join(g, item).filter(F.col(year).isNull() | (F.col(year) == F.col("_y"))).drop("_y")
-    c = c.filter(~F.col(value).rlike(NOT_DISCLOSED_RE)).withColumn("_p", primary)
-    o = F.struct((~F.col("_p")).alias("a"), (-F.col(score)).alias("b"), F.col(order).alias("c"))
-    best = c.groupBy(item).agg(F.min_by(F.struct(F.col(value).alias("resolved_value"), F.col(doc).alias("resolved_doc"), F.col("_p").alias("by_primary"),
-                                                 F.col(score).alias("best_score")), o).alias("_b")).select(item, "_b.*")
-    j = c.join(best, item)
+    seen = cands.withColumn("_p", primary)
+    told = ~F.coalesce(F.col(value).rlike(NOT_DISCLOSED_RE), F.lit(True))
+    win = F.struct(F.col(value).alias("resolved_value"), F.col(doc).alias("resolved_doc"), F.col("_p").alias("by_primary"), F.col(score).alias("best_score"))
+    j = _with_winner(seen, item, year, told, win, score, order)
     clash = ~numeric_values_equivalent(F.col(value), F.col("resolved_value"))
     res = j.groupBy(item, "resolved_value", "resolved_doc", "by_primary", "best_score").agg(
         F.count_if(clash & ((F.col("by_primary") & ~F.col("_p")) | ~F.col("by_primary"))).alias("n_conflicts"),
@@ -141,19 +155,17 @@ def resolve(cands: DataFrame, item: str, doc: str, value: str, year: str, score:
 
 def confirming(cands: DataFrame, resolved: DataFrame, item: str, doc: str, value: str) -> DataFrame:
     """(item, document) rows of the documents whose value agrees with the resolved one."""
-    c = cands.filter(~F.col(value).rlike(NOT_DISCLOSED_RE)).join(resolved.select(item, "resolved_value"), item)
+    c = join_null_safe(cands.filter(~F.col(value).rlike(NOT_DISCLOSED_RE)), broadcast_if_small(resolved.select(item, "resolved_value")), [item])
     return c.filter(numeric_values_equivalent(F.col(value), F.col("resolved_value"))).select(item, doc).distinct()
 
 
 def resolve_numeric(cands: DataFrame, item: str, doc: str, value: str, year: str, score: str, primary: Column, order: str,
                     tol: float = 0.001) -> DataFrame:
     """``resolve`` for values that are numbers already; confirming documents are counted, not listed."""
-    g = cands.groupBy(item).agg(F.max(year).alias("_y"))
-    c = cands.join(g, item).filter(F.col(year).isNull() | (F.col(year) == F.col("_y"))).drop("_y").withColumn("_p", primary)
-    o = F.struct((~F.col("_p")).alias("a"), (-F.col(score)).alias("b"), F.col(order).alias("c"))
-    best = c.groupBy(item).agg(F.min_by(F.struct(F.col(value).alias("resolved_value"), F.col(doc).alias("resolved_doc"), F.col("_p").alias("by_primary")), o).alias("_b")).select(item, "_b.*")
+    win = F.struct(F.col(value).alias("resolved_value"), F.col(doc).alias("resolved_doc"), F.col("_p").alias("by_primary"))
+    j = _with_winner(cands.withColumn("_p", primary), item, year, F.lit(True), win, score, order)
     same = numbers_agree(F.col(value), F.col("resolved_value"), tol)
-    return c.join(best, item).groupBy(item, "resolved_value", "resolved_doc", "by_primary").agg(
+    return j.groupBy(item, "resolved_value", "resolved_doc", "by_primary").agg(
         F.count_if(~same & ~(F.col("by_primary") & F.col("_p"))).alias("n_conflicts"), F.countDistinct(F.when(same, F.col(doc))).alias("n_confirming"),
         F.countDistinct(doc).alias("n_docs"))
 

@@ -138,7 +138,7 @@ def lexical_topk(chunks: DataFrame, queries: DataFrame, key: list[str], k: int,
     """
     t = [tenant] if tenant else []
     qt = query_terms(queries, qid, qtext, tenant)
-    size = qt.agg(F.countDistinct(qid).alias("q"), F.countDistinct("term").alias("t")).first()
+    size = qt.agg(F.countDistinct(qid, *t).alias("q"), F.countDistinct("term").alias("t")).first()
     cols = [*key, *t, *([boost] if boost else [])]
     cols = list(dict.fromkeys(cols))
     mix = bm25_weight * F.col("bm25") + overlap_weight * F.col("overlap")
@@ -173,6 +173,7 @@ def lexical_topk(chunks: DataFrame, queries: DataFrame, key: list[str], k: int,
                 r, c, sc = r[keep], c[keep], sc[keep]
                 held.append((part.select(key).take(pa.array(r)), c, bm[r, c], ov[r, c], sc))
             if sum(len(h[1]) for h in held) > 4 * k * len(floor) + 10_000:
+                floor = _held_floor(np.concatenate([h[1] for h in held]), np.concatenate([h[4] for h in held]), k, floor)
                 held = [_above(h, floor) for h in held]
         for h in held:
             keys, c, b, o, sc = _above(h, floor)
@@ -185,9 +186,10 @@ def lexical_topk(chunks: DataFrame, queries: DataFrame, key: list[str], k: int,
 def _weight_matrix(w: pd.DataFrame, qid: str, tenant: str | None) -> dict:
     """Terms x queries: weights, membership; query sizes and average lengths beside them."""
     terms, ti = np.unique(w["term"].to_numpy(dtype=object).astype(str), return_inverse=True) if len(w) else (np.array([], dtype=str), [])
-    q = w.drop_duplicates(qid)
+    own = [qid, tenant] if tenant else [qid]  # one column per query, and per tenant that it is asked in
+    q = w.drop_duplicates(own)
     qids = q[qid].to_numpy()
-    qi = pd.Index(qids).get_indexer(w[qid])
+    qi = w.groupby(own, sort=False, dropna=False).ngroup().to_numpy()
     mat = np.zeros((len(terms), len(qids)))
     mat[ti, qi] = w["w"].to_numpy()
     member = np.zeros((len(terms), len(qids)), dtype=np.float32)
@@ -229,6 +231,17 @@ def _score_batch(batch, m: dict, tenant: str | None):
     return bm, ov
 
 
+def _held_floor(c: np.ndarray, s: np.ndarray, k: int, floor: np.ndarray) -> np.ndarray:
+    """Raise each query's floor to the k-th best of the rows held, wherever k are held."""
+    o = np.lexsort((-s, c))
+    c, s = c[o], s[o]
+    start = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.empty(0, np.int64)
+    kth = start[np.diff(np.r_[start, len(c)]) >= k] + k - 1
+    floor = floor.copy()
+    floor[c[kth]] = np.maximum(floor[c[kth]], s[kth])
+    return floor
+
+
 def _above(h, floor):
     keys, c, b, o, sc = h
     ok = sc >= floor[c] - 10.0 ** -TIE
@@ -314,6 +327,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, key: str, vec: str, qid:
                 held.append(pd.DataFrame({"c": c, qid: qids[c], key: pdf[key].to_numpy()[r], "similarity": s}))
                 if sum(map(len, held)) > 4 * k * len(qids) + 10_000:
                     allh = pd.concat(held)
+                    floor = _held_floor(allh["c"].to_numpy(), allh["similarity"].to_numpy(), k, floor)
                     held = [allh[allh["similarity"].to_numpy() >= floor[allh["c"].to_numpy()] - 10.0 ** -TIE]]
             for h in held:
                 h = h[h["similarity"].to_numpy() >= floor[h["c"].to_numpy()] - 10.0 ** -TIE]

@@ -5,6 +5,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from dossier.functions.text import pad_id
 from dossier.operators.bounds import best_per_key, number_rows, salted_join, top_k
 
 
@@ -94,7 +95,7 @@ def hash_share(df: DataFrame, key: str, ratio: float, seed: str = "", minimum: i
 
 def sequence_ids(df: DataFrame, keys: list[str], order: str, prefix: Column, width: int = 4) -> DataFrame:
     n = number_rows(df, keys, [F.col(order)], F.col(order), "_rn")
-    return n.withColumn("seq_id", F.concat_ws("-", prefix, F.lpad(F.col("_rn").cast("string"), width, "0"))).drop("_rn")
+    return n.withColumn("seq_id", F.concat_ws("-", prefix, pad_id(F.col("_rn"), width))).drop("_rn")
 
 
 def merge_tagged(parts: list[DataFrame], key: str, tags: str) -> DataFrame:

@@ -36,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 WS = r"' ' || chr(9) || chr(10) || chr(13)"
 
 
+def sql_pad(number: str, width: int) -> str:
+    """Leading zeros up to a width, never cut."""
+    return f"CASE WHEN length(CAST({number} AS VARCHAR)) < {width} THEN lpad(CAST({number} AS VARCHAR), {width}, '0') ELSE CAST({number} AS VARCHAR) END"
+
+
 def sql_tokens(col: str) -> str:
     return rf"list_transform(regexp_extract_all({col}, '([가-힣]+|[a-zA-Z0-9_]+)', 1), lambda x: lower(x))"
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from dossier.functions.text import strip
 from dossier.operators import chunking as C
 from dossier.operators.bounds import spread
-from dossier.plans.base import WS, query, sql_char_chunks, table
+from dossier.plans.base import WS, query, sql_char_chunks, sql_pad, table
 
 
 @query("chunk_words", r"""
@@ -56,7 +56,7 @@ n AS (SELECT *, CASE WHEN length(sec) <= 900 THEN 1 ELSE 1 + CAST(ceil((length(s
 w AS (SELECT doc_id, lang, section_pos, sec, unnest(range(0, CAST(nw AS BIGINT))) AS chunk_pos FROM n),
 t AS (SELECT doc_id, lang, section_pos, chunk_pos, trim(substr(sec, chunk_pos * 750 + 1, 900), {WS}) AS text FROM w),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section_pos, chunk_pos) AS rn FROM t WHERE length(text) >= 40)
-SELECT doc_id, lang, CAST(doc_id AS VARCHAR) || '-' || lpad(CAST(rn AS VARCHAR), 4, '0') AS unit_id,
+SELECT doc_id, lang, CAST(doc_id AS VARCHAR) || '-' || {sql_pad('rn', 4)} AS unit_id,
        section_pos, chunk_pos, length(text) AS n_chars, length(text) >= 80 AS is_unit FROM k""")
 def evidence_units(spark, sf):
     df = C.evidence_units(table(spark, sf, "documents"), "doc_id", "text", "lang")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import signals as S, text as T
 from dossier.operators import curation as CU
-from dossier.plans.base import WS, query, sql_tokens, table
+from dossier.plans.base import WS, query, sql_pad, sql_tokens, table
 from dossier.plans.text import PAIRS, TA, _grams, turn_pairs
 from dossier.plans.windows import CFP
 
@@ -79,7 +79,7 @@ def gold_decisions(spark, sf):
     return gold_rows(spark, sf).select("conv_id", "turn", "g.decision")
 
 
-@query("gold_freeze", f"""WITH {PAIRS}, {GOLD} SELECT conv_id * 1000 + turn AS source_row, 'GOLD-' || CASE WHEN conv_id % 2 = 0 THEN 'EN' ELSE 'FR' END || '-' || lpad(CAST(row_number() OVER (PARTITION BY conv_id % 2 ORDER BY conv_id * 1000 + turn) AS VARCHAR), 4, '0') AS gold_id FROM g WHERE decision = 'approve'""")
+@query("gold_freeze", f"""WITH {PAIRS}, {GOLD} SELECT conv_id * 1000 + turn AS source_row, 'GOLD-' || CASE WHEN conv_id % 2 = 0 THEN 'EN' ELSE 'FR' END || '-' || {sql_pad('row_number() OVER (PARTITION BY conv_id % 2 ORDER BY conv_id * 1000 + turn)', 4)} AS gold_id FROM g WHERE decision = 'approve'""")
 def gold_freeze(spark, sf):
     g = gold_rows(spark, sf).withColumn("decision", F.col("g.decision")).withColumn("company", F.when(F.col("conv_id") % 2 == 0, "en").otherwise("fr")).withColumn(
         "row", F.col("conv_id") * 1000 + F.col("turn"))

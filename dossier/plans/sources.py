@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from dossier.functions import signals as S, text as T
-from dossier.plans.base import WS, query, table
+from dossier.plans.base import WS, query, sql_pad, table
 from dossier.plans.text import _sql_unescape
 from dossier.session import checkpoint_dir
 from dossier.sources import files as FI, pages as P, records as RC, sinks as SK
@@ -189,8 +189,8 @@ def forward_fill(spark, sf):
     return ff(o, ["o_orderstatus"], F.col("o_orderkey"), ["area", "category"], target_rows=4000).select("o_orderkey", "area", "category")
 
 
-@query("workbook_questions", """WITH f AS (SELECT o_orderkey, o_orderstatus, o_totalprice, year(o_orderdate) AS y, o_custkey, last_value(CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority END IGNORE NULLS) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS area FROM orders)
-SELECT o_orderstatus || '-' || lpad(CAST(o_orderkey AS VARCHAR), 5, '0') AS question_id, CASE WHEN area IS NULL THEN '' ELSE area || ' / ' END || 'item ' || o_custkey AS question_text, 'quantitative' AS question_type,
+@query("workbook_questions", f"""WITH f AS (SELECT o_orderkey, o_orderstatus, o_totalprice, year(o_orderdate) AS y, o_custkey, last_value(CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority END IGNORE NULLS) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS area FROM orders)
+SELECT o_orderstatus || '-' || {sql_pad('o_orderkey', 5)} AS question_id, CASE WHEN area IS NULL THEN '' ELSE area || ' / ' END || 'item ' || o_custkey AS question_text, 'quantitative' AS question_type,
  'item_' || o_custkey AS metric_name, y AS year, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_totalprice END AS gold_num, o_orderkey % 9 = 0 AS is_not_disclosed FROM f""")
 def workbook_questions(spark, sf):
     o = table(spark, sf, "orders")
@@ -205,7 +205,7 @@ def workbook_questions(spark, sf):
                                                                        F.col("year").cast("long").alias("year"), F.round("gold_num", 2).alias("gold_num"), "is_not_disclosed")
 
 
-@query("workbook_registry", """WITH s AS (SELECT o_custkey, min(o_orderkey) AS k FROM orders GROUP BY ALL) SELECT 'http://x/' || s.o_custkey AS address, o_orderstatus || '-' || lpad(CAST(k AS VARCHAR), 5, '0') AS question_id
+@query("workbook_registry", f"""WITH s AS (SELECT o_custkey, min(o_orderkey) AS k FROM orders GROUP BY ALL) SELECT 'http://x/' || s.o_custkey AS address, o_orderstatus || '-' || {sql_pad('k', 5)} AS question_id
 FROM s JOIN orders o ON o.o_orderkey = s.k""")
 def workbook_registry(spark, sf):
     o = table(spark, sf, "orders")
@@ -257,13 +257,13 @@ def themed_seeds(spark, sf):
     return s.select("doc_id", F.col("para").cast("long").alias("para"), "theme")
 
 
-@query("source_selection", """WITH f AS (SELECT source, lang, doc_id, n_chars AS bytes, CAST(contains(text, 'the ') AS INT) + CAST(contains(text, 'token') AS INT) AS score,
-  CASE WHEN lang = 'fr' THEN 'skip_path_pattern' WHEN n_chars < 300 THEN 'skip_too_small' END AS why, lpad(CAST(doc_id AS VARCHAR), 8, '0') AS name FROM documents),
+@query("source_selection", f"""WITH f AS (SELECT source, lang, doc_id, n_chars AS bytes, CAST(contains(text, 'the ') AS INT) + CAST(contains(text, 'token') AS INT) AS score,
+  CASE WHEN lang = 'fr' THEN 'skip_path_pattern' WHEN n_chars < 300 THEN 'skip_too_small' END AS why, {sql_pad('doc_id', 8)} AS name FROM documents),
 g AS (SELECT source, sum(score) AS s, count(*) AS n FROM f WHERE why IS NULL GROUP BY ALL ORDER BY s DESC, n DESC, source LIMIT 5)
 SELECT source, doc_id, score, rank FROM (SELECT f.*, row_number() OVER (PARTITION BY source ORDER BY score DESC, bytes DESC, name) AS rank FROM f WHERE why IS NULL AND source IN (SELECT source FROM g)) WHERE rank <= 10""")
 def source_selection(spark, sf):
     t = F.col("text")
-    d = table(spark, sf, "documents").withColumn("bytes", F.col("n_chars")).withColumn("name", F.lpad(F.col("doc_id").cast("string"), 8, "0"))
+    d = table(spark, sf, "documents").withColumn("bytes", F.col("n_chars")).withColumn("name", T.pad_id(F.col("doc_id"), 8))
     kept, _ = FI.select_sources(d, "source", F.when(F.col("lang") == "fr", "skip_path_pattern").when(F.col("n_chars") < 300, "skip_too_small"),
                                 t.contains("the ").cast("int") + t.contains("token").cast("int"), 5, 10)
     return kept.select("source", "doc_id", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))

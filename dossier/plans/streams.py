@@ -16,18 +16,18 @@ def stream_of(spark, sf, name):
     return s.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in s.columns else s
 
 
-@query("stream_ingest", f"""WITH c AS ({sql_char_chunks()}) SELECT source, count(DISTINCT substr(md5(source || '_' || CAST(chunk_id AS VARCHAR) || '_' || substr(text, 1, 50)), 1, 12)) AS chunks FROM c GROUP BY source""")
+@query("stream_ingest", f"""WITH c AS ({sql_char_chunks()}) SELECT source, count(DISTINCT (doc_id, chunk_id, text)) AS chunks FROM c GROUP BY source""")
 def stream_ingest(spark, sf):
     """File stream -> chunks -> foreachBatch merge; running it again adds nothing."""
     out, ck = scratch(spark, "ing"), scratch(spark, "ck")
     c = chunk_chars(stream_of(spark, sf, "documents").select("doc_id", "source", "text")).withColumn(
-        "chunk_key", content_id(F.col("source"), F.col("chunk_id"), F.col("text")))
+        "chunk_key", content_id(F.col("doc_id"), F.col("chunk_id"), F.col("text")))
     ST.run_once(spark, c, out, ck, batch=ST.merge_batch(out))
     ST.run_once(spark, c, out, scratch(spark, "ck"), batch=ST.merge_batch(out))
     return spark.read.parquet(out).groupBy("source").agg(F.count(F.lit(1)).alias("chunks"))
 
 
-@query("stream_dedupe", f"""WITH c AS ({sql_char_chunks()}) SELECT count(DISTINCT substr(md5(source || '_' || CAST(chunk_id AS VARCHAR) || '_' || substr(text, 1, 50)), 1, 12)) AS chunks FROM c""")
+@query("stream_dedupe", f"""WITH c AS ({sql_char_chunks()}) SELECT count(DISTINCT (doc_id, chunk_id, text)) AS chunks FROM c""")
 def stream_dedupe(spark, sf):
     s = ST.ingest_stream(stream_of(spark, sf, "documents").select("doc_id", "source", "text"))
     return ST.run_once(spark, s, scratch(spark, "ded"), scratch(spark, "ck")).agg(F.count(F.lit(1)).alias("chunks"))

@@ -259,7 +259,7 @@ def split_answers(spark, sf):
         N.question_type(v, F.lit(None).cast("string")).alias("qtype")).select("o_orderkey", "g.*", "qtype")
 
 
-@query("content_ids", rf"""SELECT doc_id, substr(md5(source || '_' || CAST(doc_id AS VARCHAR) || '_' || substr(text, 1, 50)), 1, 12) AS chunk_id,
+@query("content_ids", rf"""SELECT doc_id, md5(source || '_' || CAST(doc_id AS VARCHAR) || '_' || text) AS chunk_id,
  md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g'), {WS}))) AS fp,
  array_to_string(list_concat(list_slice(regexp_extract_all(lower(text), '([a-z]{{5,}})', 1), 1, 6), list_slice(regexp_extract_all(text, '(\d+(?:\.\d+)?)', 1), 1, 5)), '|') AS cluster_fp FROM documents""")
 def content_ids(spark, sf):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import text as T
 from dossier.operators import bounds as B, select as S
-from dossier.plans.base import WS, query, table
+from dossier.plans.base import WS, query, sql_pad, table
 from dossier.plans.evaluation import RUNS, runs
 
 NORM = rf"md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g'), {WS})))"
@@ -117,7 +117,7 @@ def seeded_subset(spark, sf):
     return S.hash_share(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 0.3, "seed7").select("o_orderkey")
 
 
-@query("sequence_ids", """SELECT doc_id, 'S-' || lang || '-' || lpad(CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS VARCHAR), 4, '0') AS seq_id FROM documents""")
+@query("sequence_ids", f"""SELECT doc_id, 'S-' || lang || '-' || {sql_pad('n', 4)} AS seq_id FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents)""")
 def sequence_ids(spark, sf):
     return S.sequence_ids(docs(spark, sf).select("doc_id", "lang"), ["lang"], "doc_id", F.concat(F.lit("S-"), "lang")).select("doc_id", "seq_id")
 

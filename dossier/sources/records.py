@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dossier.functions.numbers import question_type, slug, split_answer
 from dossier.functions.rules import ladder
-from dossier.functions.text import strip
+from dossier.functions.text import pad_id, strip
 from dossier.operators.bounds import best_per_key, forward_fill
 
 # Header fields put before a record's text, short and long form.
@@ -129,7 +129,7 @@ def read_workbook(df: DataFrame, sheet: str, row_index: str, context: list[str],
 def workbook_tables(rows: DataFrame, company: str, row_index: str, path_cols: list[str], unit: str, value: str, year: str,
                     status: str, url: str, file_url: str) -> dict[str, DataFrame]:
     """One wide row -> question, gold answer, source; the registry keeps the first row per address."""
-    qid = F.concat_ws("-", company, F.lpad(F.col(row_index).cast("string"), 5, "0"))
+    qid = F.concat_ws("-", company, pad_id(F.col(row_index), 5))
     qtext = F.concat_ws(" / ", *path_cols)
     b = rows.withColumn("question_id", qid)
     questions = b.select("question_id", company, qtext.alias("question_text"), question_type(F.col(value), F.col(unit)).alias("question_type"),

@@ -7,14 +7,14 @@ from dossier.functions.text import content_id
 from dossier.operators.chunking import chunk_chars
 
 
-def ingest_stream(files: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
+def ingest_stream(files: DataFrame, key: str = "doc_id", text: str = "text",
                   event_time: str | None = None, horizon: str = "7 days") -> DataFrame:
     """New documents -> chunks -> ids not seen before.
 
     With an event time the seen-set is dropped behind the watermark; without
     one it is kept whole, which a store-backed merge should then replace.
     """
-    c = chunk_chars(files, text).withColumn("chunk_key", content_id(F.col(source), F.col("chunk_id"), F.col("text")))
+    c = chunk_chars(files, text).withColumn("chunk_key", content_id(F.col(key), F.col("chunk_id"), F.col("text")))
     if event_time:
         return c.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark(["chunk_key"])
     return c.dropDuplicates(["chunk_key"])
