@@ -121,9 +121,13 @@ def unescape_named(c: Column) -> Column:
     return c
 
 
+def unescape_all(c: Column) -> Column:
+    """Every HTML entity; only texts that hold an ampersand go to Python."""
+    return F.coalesce(_unescape(F.when(c.contains("&"), c)), c)
+
+
 @F.pandas_udf(StringType())
-def unescape_all(s: pd.Series) -> pd.Series:
-    """Every HTML entity; used only for rows that still hold one."""
+def _unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda v: _html.unescape(v) if v is not None else None)
 
 

@@ -7,6 +7,8 @@ bound go through the postings join instead, hash-partitioned by chunk once.
 """
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -87,7 +89,7 @@ def _few(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def lexical_scores(chunks: DataFrame, queries: DataFrame, key: list[str], text: str = "text",
+def lexical_scores(chunks: DataFrame | LexicalIndex, queries: DataFrame, key: list[str], text: str = "text",
                    qid: str = "query_id", qtext: str = "text", tenant: str | None = None,
                    pairs: DataFrame | None = None) -> DataFrame:
     """(query, chunk) with ``bm25`` (Okapi) and ``overlap`` for every pair sharing a term.
@@ -99,8 +101,12 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame, key: list[str], text:
     for the vocabulary, once for the scores.
     """
     t = [tenant] if tenant else []
-    toks = tokenized(chunks, key, text, tenant)
-    idf = term_weights(materialise(vocabulary(toks, tenant)), tenant)
+    if isinstance(chunks, LexicalIndex):
+        toks, vocab = chunks.chunks.select(*dict.fromkeys([*key, *t]), "toks", "dl", "dt"), chunks.vocabulary
+    else:
+        toks = tokenized(chunks, key, text, tenant)
+        vocab = materialise(vocabulary(toks, tenant))
+    idf = term_weights(vocab, tenant)
     qt = query_terms(queries, qid, qtext, tenant)
     hint = F.broadcast if _few(qt, MAX_QUERY_TERMS) else (lambda d: d)
     w = hint(qt).join(idf, [*t, "term"]).select(
@@ -125,7 +131,45 @@ def ranked(scores: DataFrame, qid: str, score: str, key: list[str], k: int) -> D
 MAX_WEIGHT_CELLS = 16_000_000  # broadcast bound of the term x query matrix
 
 
-def lexical_topk(chunks: DataFrame, queries: DataFrame, key: list[str], k: int, bm25_weight: float = 1.0,
+MAX_INLINE_TERMS = 20_000  # query terms that the scan filters token lists by before they leave the JVM
+
+
+@dataclass(frozen=True)
+class LexicalIndex:
+    """A corpus tokenised once: chunk rows with token list, length and distinct count, and the vocabulary with its counts."""
+    chunks: DataFrame
+    vocabulary: DataFrame
+    key: list[str]
+    tenant: str | None
+
+
+def build_index(chunks: DataFrame, key: list[str], path: str, text: str = "text", tenant: str | None = None,
+                keep: list[str] | None = None) -> LexicalIndex:
+    """Write the index below ``path`` and open it; ``keep`` names further chunk columns (such as boosts) to carry.
+
+    With a tenant the chunk table is partitioned by it, so a search of few
+    tenants reads theirs only.
+    """
+    spark = chunks.sparkSession
+    cols = list(dict.fromkeys([*key, *([tenant] if tenant else []), *(keep or [])]))
+    t = chunks.select(*cols, tokenize(F.col(text)).alias("toks"))
+    t = t.select(*cols, "toks", F.size("toks").alias("dl"), F.size(F.array_distinct("toks")).alias("dt"))
+    w = t.write.mode("overwrite").option("compression", "zstd")
+    (w.partitionBy(tenant) if tenant and tenant not in key else w).parquet(f"{path}/chunks")
+    toks = spark.read.schema(t.schema).parquet(f"{path}/chunks")
+    v = vocabulary(toks, tenant)
+    v.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    meta = spark.createDataFrame([(list(key), tenant)], "key array<string>, tenant string")
+    meta.write.mode("overwrite").json(f"{path}/meta")
+    return load_index(spark, path)
+
+
+def load_index(spark, path: str) -> LexicalIndex:
+    m = spark.read.schema("key array<string>, tenant string").json(f"{path}/meta").first()
+    return LexicalIndex(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/vocabulary"), list(m["key"]), m["tenant"])
+
+
+def lexical_topk(chunks: DataFrame | LexicalIndex, queries: DataFrame, key: list[str], k: int, bm25_weight: float = 1.0,
                  overlap_weight: float = 0.0, boost: str | None = None, text: str = "text", qid: str = "query_id",
                  qtext: str = "text", tenant: str | None = None, max_cells: int = MAX_WEIGHT_CELLS) -> DataFrame:
     """Best ``k`` chunks per query by bm25_weight * bm25 + overlap_weight * overlap (+ a chunk column).
@@ -134,8 +178,12 @@ def lexical_topk(chunks: DataFrame, queries: DataFrame, key: list[str], k: int,
     every task as one matrix and the corpus is scored where it lies: a batch of
     token lists times the matrix, the task's own k best per query passed on. No
     token is shuffled. Beyond the bound the same scores come from the postings
-    join.
+    join. ``chunks`` may be a stored index, which is then neither tokenised nor
+    counted again. Token lists lose what no query asks for before they leave
+    the JVM.
     """
+    index = chunks if isinstance(chunks, LexicalIndex) else None
+    chunks = index.chunks if index else chunks
     t = [tenant] if tenant else []
     qt = query_terms(queries, qid, qtext, tenant)
     size = qt.agg(F.countDistinct(qid, *t).alias("q"), F.countDistinct("term").alias("t")).first()
@@ -143,16 +191,24 @@ def lexical_topk(chunks: DataFrame, queries: DataFrame, key: list[str], k: int,
     cols = list(dict.fromkeys(cols))
     mix = bm25_weight * F.col("bm25") + overlap_weight * F.col("overlap")
     if size["q"] * size["t"] > max_cells:
-        s = lexical_scores(chunks, queries, key, text, qid, qtext, tenant)
+        s = lexical_scores(index or chunks, queries, key, text, qid, qtext, tenant)
         if boost:
             s = s.join(chunks.select(*key, boost), key)
             mix = mix + F.col(boost)
         return ranked(s.withColumn("score", mix), qid, "score", key, k)
-    toks = chunks.select(*cols, tokenize(F.col(text)).alias("toks"))
-    idf = term_weights(materialise(vocabulary(toks.withColumn("dl", F.size("toks")), tenant)), tenant)
+    if index:
+        toks, vocab = index.chunks.select(*cols, "toks", "dl", "dt"), index.vocabulary
+    else:
+        toks = chunks.select(*cols, tokenize(F.col(text)).alias("toks")).select(
+            *cols, "toks", F.size("toks").alias("dl"), F.size(F.array_distinct("toks")).alias("dt"))
+        vocab = materialise(vocabulary(toks, tenant))
+    idf = term_weights(vocab, tenant)
     w = F.broadcast(qt).join(idf, [*t, "term"]).select(qid, *t, "term", "qd", "avgdl", (F.col("qtf") * F.col("idf")).alias("w")).toPandas()
     model = _weight_matrix(w, qid, tenant)
     bc = chunks.sparkSession.sparkContext.broadcast(model)
+    if len(model["terms"]) <= MAX_INLINE_TERMS:
+        asked = [str(x) for x in model["terms"]]
+        toks = toks.withColumn("toks", F.filter("toks", lambda x: x.isin(asked)))
     qtype, types = queries.schema[qid].dataType.simpleString(), {f.name: f.dataType.simpleString() for f in chunks.schema}
     schema = ", ".join([f"{qid} {qtype}", *[f"{c} {types[c]}" for c in key], "bm25 double", "overlap double", "score double"])
 
@@ -207,14 +263,12 @@ def _score_batch(batch, m: dict, tenant: str | None):
     """(bm25, overlap) of a batch of token lists against every query; no shared term gives overlap 0."""
     toks = batch.column("toks")
     flat, n, width = toks.flatten(), batch.num_rows, len(m["terms"])
-    lens = np.asarray(pc.fill_null(pc.list_value_length(toks), 0))
-    rows = np.repeat(np.arange(n), lens)
+    rows = np.repeat(np.arange(n), np.asarray(pc.fill_null(pc.list_value_length(toks), 0)))
+    lens = np.asarray(pc.fill_null(batch.column("dl"), 0))
     tid = np.asarray(pc.fill_null(pc.index_in(flat, value_set=pa.array(m["terms"], pa.string())), -1))
     hit = tid >= 0
     tf = np.bincount(rows[hit] * width + tid[hit], minlength=n * width).reshape(n, width).astype(np.float64)
-    codes = np.asarray(flat.dictionary_encode().indices)
-    pair = np.unique(rows * (codes.max(initial=0) + 1) + codes) // (codes.max(initial=0) + 1) if len(codes) else np.array([], dtype=np.int64)
-    dt = np.bincount(pair, minlength=n).astype(np.float64)
+    dt = np.asarray(pc.fill_null(batch.column("dt"), 0)).astype(np.float64)
     own = None
     if tenant:
         own = np.asarray(batch.column(tenant).to_pylist(), dtype=object)[:, None] == m["tenant"][None, :]

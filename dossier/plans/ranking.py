@@ -1,11 +1,14 @@
 """Retrieval queries: benchmark items against document chunks and vectors."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from dossier.functions import signals as S, text as T
 from dossier.operators import chunking as C, joins as J, ranking as R
-from dossier.session import materialise
+from dossier.operators.bounds import broadcast_if_small, top_k
+from dossier.session import checkpoint_dir, materialise
 from dossier.plans.base import WS, query, sql_bm25, sql_char_chunks, sql_tokens, table
 
 KEY = ["doc_id", "chunk_id"]
@@ -29,9 +32,9 @@ def hits(spark, sf, k, bm25_weight=1.0, overlap_weight=0.0):
 
 
 def with_text(spark, sf, h):
-    """Chunk text for the hits only: the window is cut out of the joined document."""
+    """Chunk text for the hits only: the hits, at most k a query, go to the documents where they lie."""
     d = table(spark, sf, "documents").select("doc_id", "source", "lang", F.col("text").alias("_t"))
-    return d.join(h, "doc_id").withColumn("text", T.strip(F.substring(
+    return d.join(broadcast_if_small(materialise(h)), "doc_id").withColumn("text", T.strip(F.substring(
         F.col("_t"), (F.col("chunk_id") * 750 + 1).cast("int"), F.lit(900)))).drop("_t")
 
 
@@ -63,6 +66,27 @@ def bm25_topk(spark, sf):
     return hits(spark, sf, 5).select("query_id", F.col("rank").cast("long").alias("rank"), *KEY, F.round("bm25", 6).alias("score"))
 
 
+def index_path(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("index_topk", BM + rk() + "SELECT query_id, rank, doc_id, chunk_id, round(bm25, 6) AS score FROM rk WHERE rank <= 5")
+def index_topk(spark, sf):
+    """Build the stored index, open it again and search it."""
+    path = index_path(spark, "index")
+    R.build_index(corpus(spark, sf), KEY, path)
+    return R.lexical_topk(R.load_index(spark, path), items(spark, sf), KEY, 5).select(
+        "query_id", F.col("rank").cast("long").alias("rank"), *KEY, F.round("bm25", 6).alias("score"))
+
+
+@query("index_postings", BM + rk() + "SELECT query_id, rank, doc_id, chunk_id, round(bm25, 6) AS score FROM rk WHERE rank <= 5")
+def index_postings(spark, sf):
+    """One index, two uses: the postings join over it gives the rows of the matrix path."""
+    ix = R.build_index(corpus(spark, sf), KEY, index_path(spark, "index"))
+    return R.lexical_topk(ix, items(spark, sf), KEY, 5, max_cells=0).select(
+        "query_id", F.col("rank").cast("long").alias("rank"), *KEY, F.round("bm25", 6).alias("score"))
+
+
 @query("bm25_postings_join", BM + rk() + "SELECT query_id, rank, doc_id, chunk_id, round(bm25, 6) AS score, round(overlap, 6) AS overlap FROM rk WHERE rank <= 5")
 def bm25_postings_join(spark, sf):
     """The path for query sets beyond the broadcast bound: postings joined with the query terms."""
@@ -203,8 +227,10 @@ def doc_sides(spark, sf, pool=24):
 
 def with_overlap(spark, sf, docs, pairs):
     """Rerank score of the candidates only; a vector without a document scores 0."""
-    c = pairs.join(docs, "doc_id", "left").join(items(spark, sf).withColumnRenamed("text", "q"), "query_id")
-    return c.withColumn("rerank", F.coalesce(T.overlap_score(F.col("q"), F.col("text")), F.lit(0.0))).drop("q", "text")
+    pairs = materialise(pairs)
+    asked = broadcast_if_small(pairs.select("query_id", "doc_id").join(items(spark, sf).withColumnRenamed("text", "q"), "query_id"))
+    told = docs.join(asked, "doc_id").select("query_id", "doc_id", T.overlap_score(F.col("q"), F.col("text")).alias("rerank"))
+    return pairs.join(told, ["query_id", "doc_id"], "left").withColumn("rerank", F.coalesce("rerank", F.lit(0.0)))
 
 
 @query("hybrid_fusion", FUSE + f" SELECT * FROM (SELECT query_id, doc_id, round(score, 6) AS score, {ORD.format('score')} AS rank FROM fu) WHERE rank <= 8")
@@ -320,17 +346,21 @@ SELECT query_id, doc_id, chunk_id FROM h UNION SELECT query_id, doc_id, chunk_id
 def expand_hits(spark, sf):
     """All long chunks of the hit documents join the hits."""
     h = hits(spark, sf, 3).select("query_id", *KEY)
-    pool = corpus(spark, sf).join(h.select("query_id", "doc_id").distinct(), "doc_id").select("query_id", *KEY, F.length("text").alias("n"))
+    h = materialise(h)
+    pool = corpus(spark, sf).join(broadcast_if_small(h.select("query_id", "doc_id").distinct()), "doc_id").select("query_id", *KEY, F.length("text").alias("n"))
     return R.expand_hits(h, pool, ["query_id", *KEY], F.col("n") >= 400).select("query_id", *KEY)
 
 
-PLAN_SQL = ", pl AS (SELECT i.item_id AS query_id, d.doc_id FROM benchmark i JOIN documents d ON d.source = 'src' || CAST(i.item_id % 20 AS VARCHAR))"
+PLANNED = 4  # documents that an item plans at most; the number belongs to the retrieval plan
+PLAN_SQL = f""", pl AS (SELECT i.item_id AS query_id, d.doc_id FROM benchmark i JOIN (SELECT doc_id, source FROM documents
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= {PLANNED}) d ON d.source = 'src' || CAST(i.item_id % 20 AS VARCHAR))"""
 
 
 def planned(spark, sf):
-    """Each item plans the documents of one source."""
+    """Each item plans the longest documents of one source, four at most."""
     i = items(spark, sf).select("query_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("source"))
-    return table(spark, sf, "documents").select("doc_id", "source").join(F.broadcast(i), "source").select("query_id", "doc_id")
+    best = top_k(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "n_chars"), ["source"], [F.desc("n_chars"), F.col("doc_id")], PLANNED)
+    return best.join(broadcast_if_small(i), "source").select("query_id", "doc_id")
 
 
 @query("single_doc_retrieval", BM + PLAN_SQL + """, b AS (SELECT s.*, (0.6 * bm25 + 0.4 * overlap) * CASE WHEN pl.doc_id IS NULL THEN 1.0 ELSE 1.25 END AS score FROM scored s LEFT JOIN pl ON s.query_id = pl.query_id AND s.doc_id = pl.doc_id)""" +

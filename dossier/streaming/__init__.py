@@ -7,6 +7,9 @@ from dossier.functions.text import content_id
 from dossier.operators.chunking import chunk_chars
 
 
+KEY_PARTS = 64  # partitions of a merge target
+
+
 def ingest_stream(files: DataFrame, key: str = "doc_id", text: str = "text",
                   event_time: str | None = None, horizon: str = "7 days") -> DataFrame:
     """New documents -> chunks -> ids not seen before.
@@ -21,17 +24,21 @@ def ingest_stream(files: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def merge_batch(target: str):
-    """foreachBatch sink: append only chunks the target does not hold; a replayed batch adds nothing."""
+    """foreachBatch sink: append only chunks the target does not hold; a replayed batch adds nothing.
+
+    The target is partitioned by a hash of the key, and a batch reads the keys
+    of the partitions it touches.
+    """
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        one = batch.dropDuplicates(["chunk_key"])
-        try:
-            known = spark.read.parquet(target).select("chunk_key")
-            one = one.join(known, "chunk_key", "left_anti")
-        except Exception as ex:  # the first batch finds no target
-            if "PATH_NOT_FOUND" not in str(ex):
-                raise
-        one.write.mode("append").parquet(target)
+        part = F.pmod(F.xxhash64("chunk_key"), F.lit(KEY_PARTS)).cast("int")
+        one = batch.dropDuplicates(["chunk_key"]).withColumn("key_part", part)
+        path = spark._jvm.org.apache.hadoop.fs.Path(target)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            touched = [r[0] for r in batch.select(part).distinct().collect()]  # at most KEY_PARTS numbers
+            known = spark.read.schema(one.schema).parquet(target).filter(F.col("key_part").isin(touched)).select("key_part", "chunk_key")
+            one = one.join(known, ["key_part", "chunk_key"], "left_anti")
+        one.repartition("key_part").write.mode("append").partitionBy("key_part").parquet(target)
     return run
 
 

@@ -83,3 +83,23 @@ def test_no_local_folder_off_local_mode(spark, monkeypatch):
             get = staticmethod(lambda *_: None)
     with pytest.raises(RuntimeError):
         session.checkpoint_dir(Far)
+
+
+def test_replayed_stream_adds_nothing(spark, sf, tmp_path):
+    from dossier import streaming as ST
+    from dossier.plans.streams import stream_of
+    s = ST.chunk_chars(stream_of(spark, sf, "documents").select("doc_id", "text")).withColumn(
+        "chunk_key", T.content_id(F.col("doc_id"), F.col("chunk_id"), F.col("text")))
+    out = str(tmp_path / "out")
+    n = [ST.run_once(spark, s, out, str(tmp_path / f"ck{i}"), batch=ST.merge_batch(out)).count() for i in range(2)]
+    assert n[0] == n[1] > 0
+
+
+def test_index_gives_the_rows_of_the_corpus(spark, tmp_path):
+    ck = spark.createDataFrame([(i, f"w{i % 7} w{i % 3} common", "AB"[i % 2], float(i % 5)) for i in range(60)], "id int, text string, co string, b double")
+    q = spark.createDataFrame([("q", "w1 w2", "A"), ("q", "w1", "B"), ("r", "common nothing", "B")], "query_id string, text string, co string")
+    R.build_index(ck, ["id"], str(tmp_path), tenant="co", keep=["b"])
+    ix = R.load_index(spark, str(tmp_path))
+    rows = lambda d: sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 9)) for r in d.collect())
+    want = rows(R.lexical_topk(ck, q, ["id"], 4, boost="b", tenant="co"))
+    assert want == rows(R.lexical_topk(ix, q, ["id"], 4, boost="b", tenant="co")) == rows(R.lexical_topk(ix, q, ["id"], 4, boost="b", tenant="co", max_cells=0))
