@@ -249,10 +249,10 @@ def strip_header_lines(c: Column, prefixes=("record_id:", "doc_id:", "company:",
     return F.array_join(F.filter(F.split(c, "\n"), lambda ln: ~strip(ln).rlike(rx)), "\n")
 
 
-def sql_like_slug(c: Column, cut: int = 120) -> Column:
-    """Lower-case slug used for document ids."""
-    s = F.regexp_replace(F.lower(c), r"[^a-z0-9가-힣]+", "-")
-    return F.substring(F.regexp_replace(s, r"^-+|-+$", ""), 1, cut)
+def sql_like_slug(c: Column, cut: int | None = None) -> Column:
+    """Lower-case slug used for document ids; whole, since a cut one could stand for two paths."""
+    s = F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9가-힣]+", "-"), r"^-+|-+$", "")
+    return F.substring(s, 1, cut) if cut else s
 
 
 def replace_first(c: Column, needle: str, value: Column) -> Column:

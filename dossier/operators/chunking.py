@@ -130,7 +130,7 @@ def chunk_recursive(df: DataFrame, key: str, text: str = "text", size: int = 800
 
 
 def evidence_units(df: DataFrame, doc_id: str, text: str, company: str, min_chunk: int = 40, min_unit: int = 80,
-                   unit_cut: int = 4000, size: int = 900, overlap: int = 150, pattern: str = r"\n+") -> DataFrame:
+                   unit_cut: int | None = None, size: int = 900, overlap: int = 150, pattern: str = r"\n+") -> DataFrame:
     """Document -> sections -> windows -> numbered units.
 
     The number follows (section, window) inside one document; a document is one
@@ -146,7 +146,7 @@ def evidence_units(df: DataFrame, doc_id: str, text: str, company: str, min_chun
         doc_id, company,
         F.concat_ws("-", F.col(doc_id).cast("string"), pad_id(F.col("_i") + 1, 4)).alias("unit_id"),
         F.col("_w.section_pos").alias("section_pos"), F.col("_w.chunk_pos").alias("chunk_pos"),
-        F.substring("_w.text", 1, unit_cut).alias("text"),
+        (F.substring("_w.text", 1, unit_cut) if unit_cut else F.col("_w.text")).alias("text"),
         (F.length("_w.text") >= min_unit).alias("is_unit"))
 
 

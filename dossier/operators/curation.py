@@ -30,7 +30,7 @@ def curation_class(question: Column, disclosure: Column, names: list[tuple[str,
 def cluster_of(question: Column, rules: list[tuple[str, str]]) -> Column:
     """Cluster by ordered rules; what fits none gets a hash name."""
     low = F.lower(question)
-    return F.coalesce(first_match(low, rules), F.concat(F.lit("h_"), F.substring(F.md5(norm_ws(low)), 1, 8)))
+    return F.coalesce(first_match(low, rules), F.concat(F.lit("h_"), F.md5(norm_ws(low))))
 
 
 def collapse_candidates(df: DataFrame, row_id: str, question: str, passage: str, decision: str, strength: str,

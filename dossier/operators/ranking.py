@@ -571,13 +571,13 @@ def retrieve(mode: str, dense: DataFrame | None, lexical: DataFrame | None, qid:
 
 
 def answer_record(hits: DataFrame, queries: DataFrame, qid: str, source: str, text: str, score: str,
-                  high: float = 0.55, medium: float = 0.35, refuse: Column | None = None,
+                  high: float = 0.55, medium: float = 0.35, refuse: Column | None = None, evidence_chars: int | None = None,
                   insufficient: str = "insufficient information") -> DataFrame:
     """One row per query: extractive answer, confidence, insufficient flag, evidence array (k entries)."""
     from dossier.functions.text import extractive_answer
     ev = hits.groupBy(qid).agg(
         F.array_sort(F.collect_list(F.struct("rank", F.col(source).alias("source"), F.round(score, 4).alias("score"),
-                                             F.substring(text, 1, 500).alias("text")))).alias("evidence"),
+                                             (F.substring(text, 1, evidence_chars) if evidence_chars else F.col(text)).alias("text")))).alias("evidence"),
         F.max(score).alias("_best"), F.min_by(text, "rank").alias("_top"))
     out = queries.join(ev, qid, "left")
     no = F.coalesce(refuse, F.lit(False)) if refuse is not None else F.lit(False)

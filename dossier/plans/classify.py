@@ -121,7 +121,7 @@ def question_profiles(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", R.first_match(low, rules, "generic").alias("family"), F.array_join(R.all_matches(low, rules), ",").alias("all_families"))
 
 
-@query("cluster_inference", r"""SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'licensed') THEN 'legal' WHEN regexp_matches(lower(text), 'token') THEN 'secret' ELSE 'h_' || substr(md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13))), 1, 8) END AS cluster FROM documents""")
+@query("cluster_inference", r"""SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'licensed') THEN 'legal' WHEN regexp_matches(lower(text), 'token') THEN 'secret' ELSE 'h_' || md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13))) END AS cluster FROM documents""")
 def cluster_inference(spark, sf):
     from dossier.operators.curation import cluster_of
     return table(spark, sf, "documents").select("doc_id", cluster_of(F.col("text"), [("licensed", "legal"), ("token", "secret")]).alias("cluster"))

@@ -23,7 +23,7 @@ def candidate_triage(spark, sf):
 
 
 @query("candidate_collapse", rf"""WITH {PAIRS}, t AS (SELECT conv_id * 1000 + turn AS id, {TRI} AS decision, length(a) AS strength, CASE WHEN regexp_matches(lower(q), 'licensed') THEN 'legal' WHEN regexp_matches(lower(q), 'que ') THEN 'romance' WHEN regexp_matches(lower(q), 'the ') THEN 'english'
-  ELSE 'h_' || substr(md5(trim(regexp_replace(lower(q), '\s+', ' ', 'g'), {WS})), 1, 8) END AS cluster_id, {CFP.replace('text', 'a')} AS fp FROM pairs),
+  ELSE 'h_' || md5(trim(regexp_replace(lower(q), '\s+', ' ', 'g'), {WS})) END AS cluster_id, {CFP.replace('text', 'a')} AS fp FROM pairs),
 k AS (SELECT id, cluster_id, first_value(id) OVER (PARTITION BY cluster_id, fp ORDER BY strength DESC, id) AS anchor_id FROM t WHERE decision IN ('keep', 'rewrite'))
 SELECT id, cluster_id, anchor_id, CASE WHEN id = anchor_id THEN 'anchor' ELSE 'collapsed_variant' END AS action FROM k UNION ALL SELECT id, cluster_id, NULL, 'rejected' FROM t WHERE decision = 'reject'""")
 def candidate_collapse(spark, sf):

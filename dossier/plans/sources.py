@@ -28,7 +28,16 @@ def html_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.length(t).cast("long").alias("n_chars"), F.md5(t).alias("text_md5"))
 
 
-@query("html_text_full_entities")
+def sql_unescape_found(c):
+    """The entities that the pages hold, with or without the semicolon; ampersands last, as one pass would have it."""
+    for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("nbsp", chr(160)), ("amp", "&")):
+        c = f"regexp_replace({c}, '&{name};?', '{char}', 'g')"
+    return c
+
+
+@query("html_text_full_entities", f"""SELECT page_id, md5(trim(regexp_replace({sql_unescape_found(
+    "regexp_replace(regexp_replace(regexp_replace(html, '<script.*?>.*?</script>', ' ', 'gis'), '<style.*?>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g')"
+)}, '\\s+', ' ', 'g'), {WS})) AS text_md5 FROM pages""")
 def html_text_full_entities(spark, sf):
     """Every entity, by Arrow batch; the named five have a SQL twin above."""
     t = T.strip_html(F.col("html"), full_entities=True)
@@ -60,7 +69,7 @@ def xml_walk(spark, sf):
 
 
 @query("source_types", r"""SELECT page_id, CASE WHEN url LIKE '%page=%' THEN 'html' WHEN url LIKE '%#%' THEN 'json' WHEN page_id % 3 = 0 THEN 'markdown' ELSE 'unknown' END AS source_type,
- substr(trim(regexp_replace(lower(url), '[^a-z0-9가-힣]+', '-', 'g'), '-'), 1, 120) AS document_id, split_part(split_part(url, '/', 3), ':', 1) AS host FROM pages""")
+ trim(regexp_replace(lower(url), '[^a-z0-9가-힣]+', '-', 'g'), '-') AS document_id, split_part(split_part(url, '/', 3), ':', 1) AS host FROM pages""")
 def source_types(spark, sf):
     u = F.col("url")
     ext = F.when(u.contains("page="), ".HTML").when(u.contains("#"), ".json").when(F.col("page_id") % 3 == 0, ".md").otherwise("/x")
@@ -73,10 +82,13 @@ def document_inventory(spark, sf):
     return FI.inventory(table(spark, sf, "documents").select(F.col("source").alias("root"), F.col("lang").alias("ext"), F.col("n_chars").alias("bytes")))
 
 
-@query("file_listing")
+@query("file_listing", """SELECT 'source=' || source AS folder, 'text' AS kind, sum(octet_length(encode(replace(text, chr(10), ' '))) + 1) AS bytes FROM documents GROUP BY ALL""")
 def file_listing(spark, sf):
-    """The table folder itself as a file listing: type, id, bytes."""
-    return FI.describe_documents(FI.list_files(spark, sf)).select("document_id", "source_type", "title", "bytes")
+    """Documents written as text files in a folder per source, listed again: folder, kind, bytes."""
+    path = scratch(spark, "list")
+    table(spark, sf, "documents").select("source", F.replace("text", F.lit("\n"), F.lit(" ")).alias("value")).write.partitionBy("source").text(path)
+    f = FI.list_files(spark, path).filter(F.col("ext") == "txt").withColumn("folder", F.element_at(F.split("path", "/"), -2))
+    return f.groupBy("folder").agg(F.lit("text").alias("kind"), F.sum("bytes").alias("bytes"))
 
 
 @query("whole_text_files", """SELECT count(*) AS n_files, sum(length(text)) AS n_chars, min(md5(text)) AS lo, max(md5(text)) AS hi FROM conversations""")
@@ -128,8 +140,8 @@ def record_header_long(spark, sf):
     return RC.with_header(as_records(spark, sf), RC.HEADER_12).select("record_id", F.md5("text").alias("text_md5"))
 
 
-@query("corpus_units", f"""WITH {REC_SQL} SELECT record_id, company, CASE WHEN k % 4 = 0 THEN 'GRI ' || k ELSE '' END AS gri_code, length(substr(text, 1, 4000)) AS n_chars FROM rec
-WHERE length(text) >= 80 AND (record_role = 'requirement_taxonomy' OR source_type <> 'news') AND (record_role = 'requirement_taxonomy' OR contains(lower(section_path || ' ' || substr(text, 1, 500)), 'tion the') OR k % 2 = 0)""")
+@query("corpus_units", f"""WITH {REC_SQL} SELECT record_id, company, CASE WHEN k % 4 = 0 THEN 'GRI ' || k ELSE '' END AS gri_code, length(text) AS n_chars FROM rec
+WHERE length(text) >= 80 AND (record_role = 'requirement_taxonomy' OR source_type <> 'news') AND (record_role = 'requirement_taxonomy' OR contains(lower(section_path || ' ' || text), 'tion the') OR k % 2 = 0)""")
 def corpus_units(spark, sf):
     u = RC.corpus_units(as_records(spark, sf), ["tion the"])
     return u.select("record_id", "company", "gri_code", F.length("text").cast("long").alias("n_chars"))
@@ -354,13 +366,13 @@ def json_documents(spark, sf):
     return ok.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.get_json_object("value", "$[0].c_name"))).alias("name_chars"))
 
 
-@query("json_document_files")
+@query("json_document_files", """SELECT 2 + sum(length('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}')) + 2 * (count(*) - 1) AS n_chars FROM nation GROUP BY n_regionkey""")
 def json_document_files(spark, sf):
     """Whole files of JSON through the document reader."""
     path = scratch(spark, "jsf")
     n = table(spark, sf, "nation")
     n.groupBy("n_regionkey").agg(F.to_json(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))).alias("value")).write.partitionBy("n_regionkey").text(path)
-    return FI.read_json_documents(spark, path, max_chars=None).select(F.length("text").alias("n_chars"))
+    return FI.read_json_documents(spark, path).select(F.length("text").alias("n_chars"))
 
 
 @query("corpus_build", f"""WITH {REC_SQL}, c AS (SELECT CASE WHEN k % 3 = 0 THEN 'prechunked' WHEN k % 3 = 1 THEN 'records' ELSE 'documents' END AS lane,

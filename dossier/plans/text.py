@@ -129,7 +129,7 @@ TIERS = [("example.org", "public"), ("/en/", "english"), ("/fr/", "french")]
 @query("path_metadata", r"""WITH p AS (SELECT page_id, lower(regexp_replace(replace(url, chr(92), '/'), '/+', '/', 'g')) AS path FROM pages)
 SELECT page_id, path, CASE WHEN contains(path, 'example.org') THEN 'public' WHEN contains(path, '/en/') THEN 'english' WHEN contains(path, '/fr/') THEN 'french' ELSE 'other' END AS tier,
  greatest(10, CASE WHEN contains(path, 'https') THEN 60 ELSE 10 END, CASE WHEN contains(path, '.org') THEN 80 ELSE 10 END) AS trust,
- substr(regexp_replace(regexp_replace(path, '[^a-z0-9가-힣]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 120) AS document_id FROM p""")
+ regexp_replace(regexp_replace(path, '[^a-z0-9가-힣]+', '-', 'g'), '^-+|-+$', '', 'g') AS document_id FROM p""")
 def path_metadata(spark, sf):
     p = table(spark, sf, "pages").select("page_id", T.normalize_path(F.col("url")).alias("path"))
     return p.select("page_id", "path", S.path_tier(F.col("path"), TIERS).alias("tier"),

@@ -46,13 +46,13 @@ def read_whole_text(spark: SparkSession, path: str) -> DataFrame:
     return t.select(F.col("_metadata.file_path").alias("source"), F.replace("value", F.lit("�"), F.lit("")).alias("text"))
 
 
-def read_json_documents(spark: SparkSession, path: str, max_items: int = 50, max_chars: int | None = 50_000) -> DataFrame:
-    """JSON documents as text: an object as it is, of a list the first items. A cut of None keeps all."""
+def read_json_documents(spark: SparkSession, path: str, max_items: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """JSON documents as text, whole; a number of items or characters limits them."""
     t = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     v = F.try_parse_json("value")
     items = F.from_json("value", "array<string>")
     body = F.when(F.substring(F.ltrim("value"), 1, 1) == "[",
-                  F.concat(F.lit("["), F.array_join(F.slice(items, 1, max_items), ", "), F.lit("]"))).otherwise(F.col("value"))
+                  F.concat(F.lit("["), F.array_join(F.slice(items, 1, max_items) if max_items else items, ", "), F.lit("]"))).otherwise(F.col("value"))
     return t.filter(v.isNotNull()).select(F.col("_metadata.file_path").alias("source"),
                                           (F.substring(body, 1, max_chars) if max_chars else body).alias("text"))
 
@@ -86,7 +86,7 @@ def select_sources(files: DataFrame, group: str, skip: Column, score: Column, ma
     return kept, rejected
 
 
-def _walk_xml(raw: str | None, max_lines: int) -> str | None:
+def _walk_xml(raw: str | None, max_lines: int | None) -> str | None:
     """Lines `tag (attrs): text`, namespaces removed; text that is no XML comes back as it is."""
     if raw is None:
         return None
@@ -112,7 +112,7 @@ def _walk_xml(raw: str | None, max_lines: int) -> str | None:
     return "\n".join(lines[:max_lines]) if lines else raw
 
 
-def xml_to_text(c: Column, max_lines: int = 500) -> Column:
+def xml_to_text(c: Column, max_lines: int | None = None) -> Column:
     """Free walk over arbitrary XML, in Arrow batches; ``from_xml`` needs a schema and cannot say it."""
     @F.pandas_udf(StringType())
     def run(s: pd.Series) -> pd.Series:

@@ -50,11 +50,11 @@ def prechunked(df: DataFrame) -> DataFrame:
     return df.filter(strip(F.col("text")) != "").select("chunk_id", "source_path", F.concat(head, F.lit("\n\n"), strip(F.col("text"))).alias("text"))
 
 
-def corpus_units(df: DataFrame, report_words: list[str], min_len: int = 80, cut: int = 4000) -> DataFrame:
+def corpus_units(df: DataFrame, report_words: list[str], min_len: int = 80, cut: int | None = None) -> DataFrame:
     """Records fit to become units: long enough, no news unless taxonomy, report-like or with a real tag."""
     t = strip(F.col("text"))
     tax = F.col("record_role") == "requirement_taxonomy"
-    hay = F.lower(F.concat_ws(" ", "section_path", F.substring(t, 1, 500)))
+    hay = F.lower(F.concat_ws(" ", "section_path", t))
     reportish = F.lit(False)
     for w in report_words:
         reportish = reportish | hay.contains(w)
@@ -63,7 +63,7 @@ def corpus_units(df: DataFrame, report_words: list[str], min_len: int = 80, cut:
     ok = (F.length(t) >= min_len) & (tax | ~F.coalesce(news, F.lit(False))) & (tax | reportish | F.coalesce(tagged, F.lit(False)))
     gri = F.coalesce(F.nullif(F.get_json_object("metadata", "$.source_row.gri"), F.lit("")),
                      F.nullif(F.trim(F.regexp_extract(t, r"(?m)^\s*GRI:(.*)$", 1)), F.lit("")), F.lit(""))
-    return df.filter(ok).withColumn("gri_code", gri).withColumn("text", F.substring(t, 1, cut))
+    return df.filter(ok).withColumn("gri_code", gri).withColumn("text", F.substring(t, 1, cut) if cut else t)
 
 
 def capped_units(units: DataFrame, company: str, unit_id: str, order: list[Column], cap: int) -> DataFrame:
