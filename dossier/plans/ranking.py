@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dossier.functions import signals as S, text as T
 from dossier.operators import chunking as C, joins as J, ranking as R
 from dossier.operators.bounds import broadcast_if_small, top_k
+from dossier.retrieval import answer, ingest
 from dossier.session import checkpoint_dir, materialise
 from dossier.plans.base import WS, query, sql_bm25, sql_char_chunks, sql_tokens, table
 
@@ -413,18 +414,32 @@ def table_injection(spark, sf):
 
 
 # ---- whole queries -------------------------------------------------------------
-@query("full_query", BM + rk() + f""", p AS (SELECT rk.query_id, rank, d.source, rk.bm25, doc_id, {TEXT_SQL} AS text, {mm('bm25', 'rk.query_id')} AS score FROM rk JOIN documents d USING (doc_id) WHERE rank <= 5),
+FULL_SQL = BM + rk() + f""", p AS (SELECT rk.query_id, rank, d.source, rk.bm25, doc_id, {TEXT_SQL} AS text, {mm('bm25', 'rk.query_id')} AS score FROM rk JOIN documents d USING (doc_id) WHERE rank <= 5),
 t AS (SELECT query_id, max(score) AS best, arg_min(text, rank) AS top, string_agg(source, ',' ORDER BY rank) AS sources FROM p GROUP BY query_id),
 a AS (SELECT t.*, q.text AS question, string_split(regexp_replace(top, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ss, list_distinct({sql_tokens('q.text')}) AS qs FROM t JOIN benchmark q ON q.item_id = query_id),
 g AS (SELECT *, list_slice(list_filter(ss, lambda s: len(list_intersect(qs, list_distinct({sql_tokens('s')}))) >= 2), 1, 2) AS good FROM a)
 SELECT query_id, sources, CASE WHEN best >= 0.55 THEN 'high' WHEN best >= 0.35 THEN 'medium' ELSE 'low' END AS confidence, false AS insufficient,
- md5(trim(array_to_string(CASE WHEN len(good) > 0 THEN list_transform(good, lambda x: trim(x, {WS})) ELSE list_slice(ss, 1, 2) END, ' '), {WS})) AS answer_md5 FROM g""")
+ md5(trim(array_to_string(CASE WHEN len(good) > 0 THEN list_transform(good, lambda x: trim(x, {WS})) ELSE list_slice(ss, 1, 2) END, ' '), {WS})) AS answer_md5 FROM g"""
+
+
+def query_record(out):
+    return out.select("query_id", F.array_join(F.transform("evidence", lambda e: e["source"]), ",").alias("sources"),
+                      "confidence", "insufficient", F.md5("answer").alias("answer_md5"))
+
+
+@query("ingest_answer", FULL_SQL)
+def ingest_answer(spark, sf):
+    """The two calls of ``dossier.retrieval``: documents to a stored index, questions to answers."""
+    index = ingest(table(spark, sf, "documents"), index_path(spark, "ingest"), keep=("source",))
+    return query_record(answer(items(spark, sf), index))
+
+
+@query("full_query", FULL_SQL)
 def full_query(spark, sf):
     h = R.bm25_pool(corpus(spark, sf), items(spark, sf), KEY, pool=5)
     q = items(spark, sf).withColumnRenamed("text", "question")
     out = R.answer_record(with_text(spark, sf, h), q, "query_id", "source", "text", "score")
-    return out.select("query_id", F.array_join(F.transform("evidence", lambda e: e["source"]), ",").alias("sources"),
-                      "confidence", "insufficient", F.md5("answer").alias("answer_md5"))
+    return query_record(out)
 
 
 EXPECT = ", ex AS (SELECT i.item_id AS query_id, d.doc_id FROM benchmark i JOIN documents d ON contains(d.text, i.text))"

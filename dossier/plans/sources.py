@@ -87,8 +87,8 @@ def file_listing(spark, sf):
     """Documents written as text files in a folder per source, listed again: folder, kind, bytes."""
     path = scratch(spark, "list")
     table(spark, sf, "documents").select("source", F.replace("text", F.lit("\n"), F.lit(" ")).alias("value")).write.partitionBy("source").text(path)
-    f = FI.list_files(spark, path).filter(F.col("ext") == "txt").withColumn("folder", F.element_at(F.split("path", "/"), -2))
-    return f.groupBy("folder").agg(F.lit("text").alias("kind"), F.sum("bytes").alias("bytes"))
+    f = FI.describe_documents(FI.list_files(spark, path)).filter("source_type <> 'unknown'").withColumn("folder", F.element_at(F.split("path", "/"), -2))
+    return f.groupBy("folder", F.col("source_type").alias("kind")).agg(F.sum("bytes").alias("bytes"))
 
 
 @query("whole_text_files", """SELECT count(*) AS n_files, sum(length(text)) AS n_chars, min(md5(text)) AS lo, max(md5(text)) AS hi FROM conversations""")

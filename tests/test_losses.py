@@ -103,3 +103,15 @@ def test_index_gives_the_rows_of_the_corpus(spark, tmp_path):
     rows = lambda d: sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 9)) for r in d.collect())
     want = rows(R.lexical_topk(ck, q, ["id"], 4, boost="b", tenant="co"))
     assert want == rows(R.lexical_topk(ix, q, ["id"], 4, boost="b", tenant="co")) == rows(R.lexical_topk(ix, q, ["id"], 4, boost="b", tenant="co", max_cells=0))
+
+
+def test_ingest_and_answer(spark, tmp_path):
+    from dossier.retrieval import answer, ingest
+    docs = spark.createDataFrame([(1, "Apples grow on trees in May. Apples ripen in autumn here.", "s1", 2020), (2, "Apples are sold. Nothing else on apples.", "s2", 2021),
+                                  (3, "Stones.", "s3", 2021)], "doc_id long, text string, source string, year int")
+    q = spark.createDataFrame([(1, "where do apples grow", 2021), (2, "apples ripen", 1999), (3, "unheard", 2020)], "query_id long, text string, want int")
+    ix = ingest(docs, str(tmp_path), keep=("source", "year"))
+    got = {r["query_id"]: r for r in answer(q, ix, keep=F.col("year") == F.col("want")).collect()}
+    assert [e["source"] for e in got[1]["evidence"]] == ["s2"]  # the filter holds
+    assert {e["source"] for e in got[2]["evidence"]} == {"s1", "s2"}  # none fits: all stay
+    assert got[3]["insufficient"] and got[3]["confidence"] == "low"
