@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dossier.functions.text import let, tokenize
 from dossier.operators.bounds import best_per_key, broadcast_if_small, top_k
+from dossier.session import materialise
 
 
 def last_wins(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -16,6 +17,11 @@ def first_wins(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return best_per_key(df, keys, [order.asc()])
 
 
+def _windows(text: Column, width: int) -> Column:
+    return let(text, lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - width + 1, F.lit(1))),
+                                                            lambda i: F.substring(s, i, F.lit(width)))))
+
+
 def containment_join(docs: DataFrame, needles: DataFrame, doc_key: str, doc_text: str, needle_key: str,
                      needle_text: str) -> DataFrame:
     """(doc, needle) where the document holds the needle word by word.
@@ -23,8 +29,10 @@ def containment_join(docs: DataFrame, needles: DataFrame, doc_key: str, doc_text
     A needle is looked up by its longest token from the inside (the tokens at
     its edges may be cut inside a word of the document), which makes the search
     an equi-join on distinct tokens; ids alone travel, and the exact test runs
-    on the candidates. Needles without an inside token use a three-character
-    window of the text instead.
+    on the candidates, which go to the documents while they are few. Needles
+    without an inside token are looked up by their first three characters, or
+    all they have, among the windows of that length. An empty needle is in no
+    document.
     """
     n = needles.select(F.col(needle_key), F.col(needle_text).alias("_n"), tokenize(F.col(needle_text)).alias("_t"))
     d = docs.select(F.col(doc_key), F.col(doc_text).alias("_d"))
@@ -33,15 +41,12 @@ def containment_join(docs: DataFrame, needles: DataFrame, doc_key: str, doc_text
     anchors = n.filter(F.size("_t") > 2).select(needle_key, longest.alias("_g"))
     cand = d.select(doc_key, F.explode(F.array_distinct(tokenize(F.col("_d")))).alias("_g")).join(
         broadcast_if_small(anchors), "_g").select(doc_key, needle_key)
-    short = n.filter(F.size("_t") <= 2)
-    if not short.isEmpty():
-        if not short.filter(F.length("_n") < 3).isEmpty():
-            raise ValueError("needles of fewer than three characters cannot be anchored; filter them first")
-        wins = let(F.col("_d"), lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1))),
-                                                                       lambda i: F.substring(s, i, F.lit(3)))))
+    short = n.filter((F.size("_t") <= 2) & (F.length("_n") > 0)).withColumn("_w", F.least(F.length("_n"), F.lit(3)))
+    for width in sorted(r[0] for r in short.select("_w").distinct().collect()):  # of 1, 2 and 3
+        wins = _windows(F.col("_d"), width)
         cand = cand.unionByName(d.select(doc_key, F.explode(wins).alias("_g")).join(
-            broadcast_if_small(short.select(needle_key, F.substring("_n", 1, 3).alias("_g"))), "_g").select(doc_key, needle_key))
-    return d.join(cand, doc_key).join(broadcast_if_small(n.select(needle_key, "_n")), needle_key).filter(
+            broadcast_if_small(short.filter(F.col("_w") == width).select(needle_key, F.substring("_n", 1, width).alias("_g"))), "_g").select(doc_key, needle_key))
+    return d.join(broadcast_if_small(materialise(cand)), doc_key).join(broadcast_if_small(n.select(needle_key, "_n")), needle_key).filter(
         F.col("_d").contains(F.col("_n"))).select(doc_key, needle_key)
 
 

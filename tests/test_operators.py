@@ -172,7 +172,8 @@ def test_covering_equals_greedy_walk(spark, seed, n):
 
 def test_containment_join_brute_force(spark):
     docs = [(1, "xx alpha beta gamma delta yy"), (2, "prealpha beta gammapost"), (3, "nothing here"), (4, "ab cd")]
-    needles = [(10, "alpha beta gamma"), (11, "beta gamma delta"), (12, "ab cd"), (13, "a beta g")]
+    needles = [(10, "alpha beta gamma"), (11, "beta gamma delta"), (12, "ab cd"), (13, "a beta g"), (14, "b"), (15, "ab"), (16, "d "), (17, "zz")]
+    docs += [(5, "b"), (6, ""), (7, "ab")]
     got = {tuple(r) for r in J.containment_join(spark.createDataFrame(docs, "d int, t string"), spark.createDataFrame(needles, "n int, t string"),
                                                 "d", "t", "n", "t").collect()}
     assert got == {(d, n) for d, t in docs for n, s in needles if s in t}
