@@ -163,3 +163,54 @@ def validation_issues(df: DataFrame, key: str, checks: list[tuple[Column, str]])
     """(row, issue): failed checks and repeated ids."""
     dup = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key, F.lit("duplicate_id").alias("issue"))
     return df.select(key, F.explode(issue_array(checks)).alias("issue")).unionByName(dup)
+
+
+def abstain_metrics(rows: DataFrame, group: str, answerable: Column, correct: Column, abstained: Column) -> DataFrame:
+    """Answer rate over answerable rows (correct and not abstained), abstain rate over the others, and their mean.
+
+    One row per group and one for ``all``; a side without rows has a null rate and counts 0 in the mean.
+    """
+    a = F.avg(F.when(answerable, (correct & ~abstained).cast("int")))
+    b = F.avg(F.when(~answerable, abstained.cast("int")))
+    g = rows.groupingSets([[], [F.col(group)]], F.col(group)).agg(
+        F.count(F.lit(1)).alias("n"), a.alias("_a"), b.alias("_b"), F.grouping(group).alias("_g"))
+    z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return g.select(F.when(F.col("_g") == 1, F.lit("all")).otherwise(F.col(group)).alias(group), "n", F.round("_a", 4).alias("answer_rate"),
+                    F.round("_b", 4).alias("abstain_rate"), F.round((z("_a") + z("_b")) / 2, 4).alias("overall"))
+
+
+def capability_metrics(rows: DataFrame, capability: str, ok: Column, tagged: Column) -> DataFrame:
+    """Passed and total cases per capability, and the pass rate of the tagged ones (null without any)."""
+    return rows.groupBy(F.col(capability).alias("capability")).agg(
+        F.count_if(ok).alias("ok"), F.count(F.lit(1)).alias("total"),
+        F.round(F.try_divide(F.count_if(ok & tagged), F.count_if(tagged)), 4).alias("tagged_rate"))
+
+
+def readiness_summary(rows: DataFrame, group: str, state: Column) -> DataFrame:
+    """How many rows of a group are in which state, with the share of the group; counts combine before the window."""
+    return rows.groupBy(group, state.alias("state")).agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(group)), 4))
+
+
+def blocker_counts(rows: DataFrame, group: str, blockers: Column) -> DataFrame:
+    """Rows per blocker (an array column), in all and per group; the group is null on the totals."""
+    b = rows.select(group, F.explode(blockers).alias("blocker"))
+    return b.groupingSets([[F.col("blocker")], [F.col(group), F.col("blocker")]], F.col(group), F.col("blocker")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def source_agreement(rows: DataFrame, source: str, value: Column) -> DataFrame:
+    """Distinct values per source, and the shares of those said twice or more and once."""
+    g = rows.groupBy(source, value.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return g.groupBy(source).agg(F.count(F.lit(1)).alias("values_"), rate(F.col("_n") >= 2).alias("agreement_rate"), rate(F.col("_n") == 1).alias("single_rate"))
+
+
+def confusion_counts(rows: DataFrame, outcomes: list[tuple[str, Column]]) -> DataFrame:
+    """One row: how many rows each outcome holds for."""
+    return rows.agg(*[F.count_if(c).alias(n) for n, c in outcomes])
+
+
+def extraction_metrics(rows: DataFrame, group: str, found: Column, verified: Column, conflict: Column, value: Column) -> DataFrame:
+    """Coverage, verified and conflict rates per field group, and the mean of the values found."""
+    return rows.groupBy(F.col(group).alias("field_group")).agg(
+        F.count(F.lit(1)).alias("fields"), rate(found).alias("coverage"), rate(verified).alias("verified"), rate(conflict).alias("conflict_rate"),
+        F.round(F.avg(F.when(found, value)), 4).alias("mean_value"))

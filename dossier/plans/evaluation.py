@@ -99,7 +99,7 @@ def reason_codes(spark, sf):
 @query("confusion_counts", """SELECT count_if(quality = 1 AND toxic = 0) AS pass, count_if(quality = 1 AND toxic = 1) AS partial, count_if(quality = 0) AS fail FROM labels""")
 def confusion_counts(spark, sf):
     q, t = F.col("quality"), F.col("toxic")
-    return table(spark, sf, "labels").agg(F.count_if((q == 1) & (t == 0)).alias("pass"), F.count_if((q == 1) & (t == 1)).alias("partial"), F.count_if(q == 0).alias("fail"))
+    return E.confusion_counts(table(spark, sf, "labels"), [("pass", (q == 1) & (t == 0)), ("partial", (q == 1) & (t == 1)), ("fail", q == 0)])
 
 
 @query("grouping_set_rates", """SELECT d.lang, d.source, count(*) AS n, round(avg(CAST(quality = 1 AS INT)), 4) AS quality_rate, round(avg(CAST(toxic = 1 AS INT)), 4) AS toxic_rate
@@ -122,31 +122,20 @@ r AS (SELECT lang, count(*) AS n, avg(CASE WHEN answerable THEN CAST(correct AND
 SELECT coalesce(lang, 'all') AS lang, n, round(answer_rate, 4) AS answer_rate, round(abstain_rate, 4) AS abstain_rate, round((coalesce(answer_rate, 0) + coalesce(abstain_rate, 0)) / 2, 4) AS overall FROM r""")
 def abstain_metrics(spark, sf):
     p = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
-    ans, abst = F.col("quality") == 1, F.col("n_chars") < 600
-    a = F.avg(F.when(ans, ((F.col("toxic") == 0) & ~abst).cast("int")))
-    b = F.avg(F.when(~ans, abst.cast("int")))
-    g = p.groupingSets([[], [F.col("lang")]], F.col("lang")).agg(F.count(F.lit(1)).alias("n"), a.alias("a"), b.alias("b"))
-    z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return g.select(F.coalesce("lang", F.lit("all")).alias("lang"), "n", F.round("a", 4).alias("answer_rate"), F.round("b", 4).alias("abstain_rate"),
-                    F.round((z("a") + z("b")) / 2, 4).alias("overall"))
+    return E.abstain_metrics(p, "lang", F.col("quality") == 1, F.col("toxic") == 0, F.col("n_chars") < 600)
 
 
 @query("capability_metrics", """SELECT event_type AS capability, count_if(value > 10) AS ok, count(*) AS total, CASE WHEN count_if(user_id < 50) = 0 THEN NULL ELSE round(count_if(value > 10 AND user_id < 50) / count_if(user_id < 50), 4) END AS tagged_rate FROM events GROUP BY ALL""")
 def capability_metrics(spark, sf):
-    v, u = F.col("value"), F.col("user_id")
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("capability")).agg(
-        F.count_if(v > 10).alias("ok"), F.count(F.lit(1)).alias("total"),
-        F.round(F.try_divide(F.count_if((v > 10) & (u < 50)), F.count_if(u < 50)), 4).alias("tagged_rate"))
+    return E.capability_metrics(table(spark, sf, "events"), "event_type", F.col("value") > 10, F.col("user_id") < 50)
 
 
 @query("readiness_summary", """WITH s AS (SELECT lang, source, CASE WHEN n_chars < 300 THEN 'coverage_gap' WHEN n_chars < 1500 THEN 'retrieval_ready' ELSE 'extraction_ready' END AS state FROM documents)
 SELECT lang, state, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY lang), 4) AS share FROM s GROUP BY lang, state""")
 def readiness_summary(spark, sf):
-    from pyspark.sql import Window
     n = F.col("n_chars")
-    s = table(spark, sf, "documents").withColumn("state", F.when(n < 300, "coverage_gap").when(n < 1500, "retrieval_ready").otherwise("extraction_ready"))
-    return s.groupBy("lang", "state").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("lang")), 4))
+    return E.readiness_summary(table(spark, sf, "documents"), "lang",
+                               F.when(n < 300, "coverage_gap").when(n < 1500, "retrieval_ready").otherwise("extraction_ready"))
 
 
 @query("handoff_blockers", """WITH b AS (SELECT lang, source, unnest([CASE WHEN n_chars < 300 THEN 'short' END, CASE WHEN contains(text, '|') THEN 'table' END, CASE WHEN regexp_matches(text, '[0-9]{4}') THEN 'number' END]) AS blocker FROM documents)
@@ -154,9 +143,8 @@ SELECT lang, blocker, count(*) AS n FROM b WHERE blocker IS NOT NULL GROUP BY GR
 def handoff_blockers(spark, sf):
     from dossier.functions.rules import issue_array
     t = F.col("text")
-    b = table(spark, sf, "documents").select("lang", F.explode(issue_array([(F.col("n_chars") < 300, "short"), (t.contains("|"), "table"),
-                                                                          (t.rlike("[0-9]{4}"), "number")])).alias("blocker"))
-    return b.groupingSets([[F.col("blocker")], [F.col("lang"), F.col("blocker")]], F.col("lang"), F.col("blocker")).agg(F.count(F.lit(1)).alias("n"))
+    return E.blocker_counts(table(spark, sf, "documents"), "lang", issue_array([
+        (F.col("n_chars") < 300, "short"), (t.contains("|"), "table"), (t.rlike("[0-9]{4}"), "number")]))
 
 
 @query("family_holdout", """WITH s AS (SELECT source, lang, count(*) AS c FROM documents GROUP BY ALL), r AS (SELECT source, sum(c) AS n, max(c) AS top_n FROM s GROUP BY ALL)
@@ -174,8 +162,7 @@ def family_holdout(spark, sf):
 SELECT source, count(*) AS values_, round(avg(CAST(n >= 2 AS INT)), 4) AS agreement_rate, round(avg(CAST(n = 1 AS INT)), 4) AS single_rate FROM g GROUP BY source""")
 def overlap_metrics(spark, sf):
     from dossier.functions.text import text_fingerprint
-    g = table(spark, sf, "documents").groupBy("source", text_fingerprint(F.col("text")).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    return g.groupBy("source").agg(F.count(F.lit(1)).alias("values_"), E.rate(F.col("n") >= 2).alias("agreement_rate"), E.rate(F.col("n") == 1).alias("single_rate"))
+    return E.source_agreement(table(spark, sf, "documents"), "source", text_fingerprint(F.col("text")))
 
 
 @query("scope_matrix", """WITH s AS (SELECT lang, source, unnest([CASE WHEN n_chars >= 300 THEN 'long' END, CASE WHEN contains(text, 'the ') THEN 'the' END, 'all']) AS scope FROM documents)
@@ -191,9 +178,7 @@ def scope_matrix(spark, sf):
  round(avg(CAST(o_totalprice > 300000 AS INT)), 4) AS conflict_rate, round(avg(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END), 4) AS mean_value FROM orders GROUP BY ALL""")
 def extraction_metrics(spark, sf):
     s = F.col("o_orderstatus")
-    return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("field_group")).agg(
-        F.count(F.lit(1)).alias("fields"), E.rate(s != "P").alias("coverage"), E.rate(s == "F").alias("verified"),
-        E.rate(F.col("o_totalprice") > 300000).alias("conflict_rate"), F.round(F.avg(F.when(s != "P", F.col("o_totalprice"))), 4).alias("mean_value"))
+    return E.extraction_metrics(table(spark, sf, "orders"), "o_orderpriority", s != "P", s == "F", F.col("o_totalprice") > 300000, F.col("o_totalprice"))
 
 
 @query("gap_analysis", """WITH g AS (SELECT c_mktsegment AS grp, count(DISTINCT c_custkey) AS fields, count(DISTINCT o_custkey) AS found FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY ALL)
