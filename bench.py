@@ -14,7 +14,7 @@ from dossier.session import build_session  # noqa: E402
 
 HEADLINE = [
     "chunk_words", "chunk_chars", "evidence_units", "token_stats", "html_text", "html_sections",
-    "bm25_topk", "bm25_by_tenant", "unit_scores", "dense_topk", "hybrid_fusion", "rerank_blend", "role_topk", "full_query",
+    "bm25_topk", "index_topk", "bm25_by_tenant", "unit_scores", "dense_topk", "hybrid_fusion", "rerank_blend", "role_topk", "full_query", "ingest_answer",
     "reliability_gate", "retrieval_citation", "eval_metrics", "grouping_set_rates", "p95_lower", "composite_score",
     "prefilter_score", "dup_exact", "best_per_fingerprint", "cluster_anchor", "greedy_cover", "round_robin", "hash_sample",
     "pair_resolution", "question_gold_source", "expected_sources", "document_routing", "forward_fill", "kv_parse",
