@@ -492,10 +492,10 @@ def snippet_rank(spark, sf):
  pq AS (SELECT variant, query_id, min(CASE WHEN ex.doc_id IS NOT NULL THEN rank END) AS fr FROM al LEFT JOIN ex USING (query_id, doc_id) GROUP BY ALL)
 SELECT variant, count(*) AS n, round(avg(CAST(fr IS NOT NULL AS INT)), 4) AS hit_rate, round(avg(CAST(coalesce(fr = 1, false) AS INT)), 4) AS top1_rate FROM pq GROUP BY ALL""")
 def ablation_runs(spark, sf):
-    """Scoring switched one by one; each variant is a pair of weights."""
-    h = None
+    """Scoring switched one by one; each variant is a pair of weights over one stored index."""
+    h, index = None, R.build_index(corpus(spark, sf), KEY, index_path(spark, "ablation"))
     for name, wb, wo in (("bm25", 1.0, 0.0), ("overlap", 0.0, 1.0), ("mixed", 0.6, 0.4)):
-        part = hits(spark, sf, 5, wb, wo).select(F.lit(name).alias("variant"), "query_id", "doc_id", "rank")
+        part = R.lexical_topk(index, items(spark, sf), KEY, 5, wb, wo).select(F.lit(name).alias("variant"), "query_id", "doc_id", "rank")
         h = part if h is None else h.unionByName(part)
     h = h.join(expected(spark, sf).withColumn("m", F.lit(1)), ["query_id", "doc_id"], "left")
     pq = h.groupBy("variant", "query_id").agg(F.min(F.when(F.col("m") == 1, F.col("rank"))).alias("fr"))
