@@ -53,11 +53,16 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 
 
 def worker_cache(name: str, make):
-    """A value kept by the Python worker process between tasks. Functions travel by value, so their globals do not stay."""
-    home = sys.modules.setdefault("_dossier_worker", ModuleType("_dossier_worker")).__dict__
-    if name not in home:
-        home[name] = make()
-    return home[name]
+    """A value kept by the Python worker process between tasks. Functions travel by value, so their globals do not stay.
+
+    A worker holds one value: the next name takes its place, so that a long job
+    does not gather what earlier stages have left.
+    """
+    home = sys.modules.setdefault("_dossier_worker", ModuleType("_dossier_worker"))
+    if getattr(home, "name", None) != name:
+        home.name = home.value = None
+        home.name, home.value = name, make()
+    return home.value
 
 
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -30,7 +30,7 @@ STRETCH = 48  # bytes of a word scored at once; longer ones are scored stretch b
 TRAIN_ROWS = 4_000  # labelled rows per language that the model is fitted on, at most about
 ROUNDS = 2
 SMOOTH = 0.5
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -49,14 +49,24 @@ class Pieces:
         have = [base64.b64decode(a) for a, _ in map(bytes.split, lines)]
         have = [p for p in have if len(p) <= LONGEST and b"\0" not in p]
         self.number = {p: i for i, p in enumerate(dict.fromkeys(have + [bytes([b]) for b in range(1, 256)]), 1)}
+        self.keys, self.values = [], []  # by length: pieces as big-endian integers, ascending, and their numbers
+        for k in range(1, LONGEST + 1):
+            pairs = sorted((int.from_bytes(p), i) for p, i in self.number.items() if len(p) == k)
+            self.keys.append(np.array([a for a, _ in pairs], np.uint64))
+            self.values.append(np.array([i for _, i in pairs], np.int32))
 
     def lattice(self, words: list[bytes]) -> np.ndarray:
         """(word, start, length - 1) -> piece number, 0 where there is none; all words have one length."""
-        n, get = len(words[0]), self.number.get
-        spans = [(i, i + k) for i in range(n) for k in range(1, LONGEST + 1)]
-        pad = b"\0" * LONGEST
-        flat = [get(p[i:j], 0) for p in (w + pad for w in words) for i, j in spans]
-        return np.array(flat, np.int32).reshape(len(words), n, LONGEST)
+        m, n = len(words), len(words[0])
+        byte = np.frombuffer(b"".join(words), np.uint8).reshape(m, n).astype(np.uint64)
+        out, code = np.zeros((m, n, LONGEST), np.int32), np.zeros((m, n), np.uint64)
+        for k in range(1, min(LONGEST, n) + 1):
+            code = code[:, :n - k + 1] << np.uint64(8) | byte[:, k - 1:]
+            keys, values = self.keys[k - 1], self.values[k - 1]
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
+                out[:, :n - k + 1, k - 1] = np.where(keys[at] == code, values[at], 0)
+        return out
 
 
 def stretches(word: str) -> list[bytes]:
@@ -91,7 +101,7 @@ def backward(grid: np.ndarray, p: np.ndarray) -> np.ndarray:
     return b
 
 
-def by_length(parts: Iterable[bytes], most: int = 20_000) -> Iterator[list[bytes]]:
+def by_length(parts: Iterable[bytes], most: int = 8_000) -> Iterator[list[bytes]]:
     groups: dict[int, list[bytes]] = {}
     for w in parts:
         g = groups.setdefault(len(w), [])
