@@ -23,6 +23,7 @@ from dossier.llm.common import map_arrow, worker_cache
 
 RATE = 0.1  # edits per character of an item
 SLAB_CHARS = 4_000_000  # characters of items that travel to all workers at once
+KEPT_SLABS = 4  # automata that a worker holds at once
 SPACE = re.compile(r"\s+")
 
 
@@ -221,7 +222,8 @@ def _holds(slab: list[tuple[object, str]], rate: float, key: str):
 def _matcher(slab: list[tuple[object, str]], rate: float, key: str) -> Matcher:
     kept = worker_cache("decontaminate", dict)
     if key not in kept:
-        kept.clear()
+        if len(kept) >= KEPT_SLABS:
+            kept.clear()
         kept[key] = Matcher(slab, rate)
     return kept[key]
 

@@ -24,7 +24,7 @@ from dossier.llm.common import fresh, map_arrow, shuffle_width, stored, worker_c
 
 CAPACITY = 1024
 END = 2
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 # The vocabulary's split pattern in terms of the standard library, right for ASCII and Latin letters.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 UNSURE = r"[^\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ɏ]"  # where the two pattern dialects may differ
