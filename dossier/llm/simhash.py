@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dossier.llm.common import byte_words, components, fresh, map_arrow, runs, shuffle_width, stored, utf8
+from dossier.llm.common import byte_words, components, dropped, fresh, map_arrow, runs, shuffle_width, stored, utf8
 
 BITS = 64
 SEED = 42
@@ -226,6 +226,9 @@ FAMILIES = 6
 SHINGLE = 5
 SIMILARITY = 0.8
 COMPLETE = 16
+PAIRS = 64  # texts of one rare shingle that are paired; more are compared in blocks
+BLOCK = 256  # texts of a block
+COMMON = 1 << 20  # common shingles known to every task
 
 
 def family_table(families: int = FAMILIES, seed: int = 11) -> np.ndarray:
@@ -259,14 +262,154 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
+def prefix(h: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a sorted set, rare before common: two sets of ``similarity`` or more share one of these.
+
+    They share at least ``similarity`` of the larger set, so one shared shingle
+    comes before the last ceil(similarity x n) - 1, whatever the fixed order is.
+    """
+    late = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h if len(common) else np.zeros(len(h), bool)
+    return np.concatenate([h[~late], h[late]])[:len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
+
+
+def common_shingles(texts: DataFrame) -> np.ndarray:
+    """Sorted shingles met often inside tasks. They only order the prefixes: any choice gives the same links."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        def counted(sets: list[np.ndarray]) -> dict:
+            h, n = np.unique(np.concatenate(sets), return_counts=True)
+            return {"h": h[n > 2].view(np.int64), "n": n[n > 2]}
+        held, size = [], 0
+        for batch in batches:
+            for w in batch.column(0).to_pylist():
+                held.append(shingle_set(np.frombuffer(w, np.uint16)))
+                size += len(held[-1])
+                if size > 1 << 21:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
+    n = map_arrow(texts.select("words"), run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 16")
+    return np.sort(n.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _prefix_pairs(similarity: float):
+    """Rows (h, t, root, n, pos) sorted by h to pairs of texts of unlike root; those of over ``PAIRS`` texts come back marked."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held, hot = np.empty((0, 5), np.int64), None
+
+        def marked(rows: np.ndarray) -> dict:
+            return {"a": rows[:, 1].copy(), "b": rows[:, 1].copy(), "h": rows[:, 0].copy(), "pos": rows[:, 4].astype(np.int32), "hot": np.ones(len(rows), bool)}
+
+        def work(rows: np.ndarray) -> Iterator[dict]:
+            s, e = runs(rows[:, 0])
+            size = np.repeat(e - s, e - s)
+            if (size > PAIRS).any():
+                yield marked(rows[size > PAIRS])
+            rows = rows[(size > 1) & (size <= PAIRS)]
+            out = [np.empty((0, 2), np.int64)]
+            for k in range(1, min(PAIRS, len(rows))):
+                x, y = rows[:-k], rows[k:]
+                same = x[:, 0] == y[:, 0]
+                if not same.any():
+                    break
+                # What both can still share from their first common shingle on.
+                left = np.minimum(x[:, 3] - x[:, 4], y[:, 3] - y[:, 4])
+                ok = same & (x[:, 2] != y[:, 2]) & (left * (1 + similarity) >= similarity * (x[:, 3] + y[:, 3]) - 1e-6)
+                out.append(np.column_stack([x[ok, 1], y[ok, 1]]))
+            p = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+            yield {"a": p[:, 0].copy(), "b": p[:, 1].copy(), "h": np.zeros(len(p), np.int64), "pos": np.zeros(len(p), np.int32), "hot": np.zeros(len(p), bool)}
+
+        for batch in batches:
+            rows = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in range(5)])
+            if hot is not None and len(rows):
+                same = rows[:, 0] == hot
+                if same.any():
+                    yield marked(rows[same])
+                    rows = rows[~same]
+            rows = np.concatenate([held, rows])
+            if not len(rows):
+                continue
+            last = runs(rows[:, 0])[0][-1]
+            held = rows[last:].copy()
+            if len(held) > PAIRS:
+                hot = held[0, 0]
+                yield marked(held)
+                held = held[:0]
+            if last:
+                yield from work(rows[:last])
+        if len(held):
+            yield from work(held)
+    return run
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets share: rare elements by their pairs, the others as a matrix product."""
+    m = len(sets)
+    of = np.repeat(np.arange(m), [len(x) for x in sets])
+    h = np.concatenate(sets) if m else np.empty(0, np.uint64)
+    o = np.argsort(h, kind="stable")
+    h, of = h[o], of[o]
+    s, e = runs(h)
+    df = np.repeat(e - s, e - s)
+    out = np.zeros((m, m), np.float32)
+    x, y = h[(df > 1) & (df <= 16)], of[(df > 1) & (df <= 16)]
+    for k in range(1, min(16, len(x))):
+        same = x[:-k] == x[k:]
+        out += np.bincount(y[:-k][same] * m + y[k:][same], minlength=m * m).reshape(m, m)
+    out += out.T
+    no, rows = np.unique(h[df > 16], return_inverse=True)[1], of[df > 16]
+    for i in range(0, int(no.max()) + 1 if len(no) else 0, 2048):
+        here = (no >= i) & (no < i + 2048)
+        has = np.zeros((m, 2048), np.float32)
+        has[rows[here], no[here] - i] = 1
+        out += has @ has.T
+    return out
+
+
+def _block_links(similarity: float):
+    """Rows (h, i, j, t, root, words) sorted by (h, i, j): a spanning forest of the links between unlike roots of each block pair."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        def work(rows: list[tuple]) -> dict:
+            t, root = (np.array([r[k] for r in rows], np.int64) for k in (3, 4))
+            sets = [shingle_set(np.frombuffer(r[5], np.uint16)) for r in rows]
+            n = np.array([len(x) for x in sets], np.float64)
+            both = overlaps(sets).astype(np.float64)
+            near = (both / np.maximum(n[:, None] + n[None, :] - both, 1) >= similarity) & (root[:, None] != root[None, :])
+            left, a, b = np.ones(len(rows), bool), [], []
+            for start in range(len(rows)):
+                queue = [start] if left[start] else []
+                left[start] = False
+                while queue:
+                    u = queue.pop()
+                    hit = np.flatnonzero(near[u] & left)
+                    left[hit] = False
+                    a += [u] * len(hit)
+                    b += hit.tolist()
+                    queue += hit.tolist()
+            return {"a": t[np.array(a, np.int64)], "b": t[np.array(b, np.int64)]}
+
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0][:3] != row[:3]:
+                    yield work(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield work(held)
+    return run
+
+
 def similar_groups(texts: DataFrame, similarity: float = SIMILARITY, families: int = FAMILIES) -> DataFrame:
     """(t, root) of the texts that link to others; ``texts`` has t and words (16-bit codes).
 
-    Candidates come from the covering tables of several SimHash families over
-    word sets: all links of small buckets, a spanning forest of large ones, and
-    texts of one fingerprint with the first of them. Every candidate is then
-    checked exactly on its sets of five-word shingles, so no text is grouped
-    without a partner of ``similarity`` or more.
+    Groups are the components of all links of ``similarity`` or more between
+    sets of five-word shingles. The covering tables of several SimHash families
+    over word sets find most links at little cost. What they leave apart is
+    completed exactly: two texts of ``similarity`` or more share a shingle of
+    their prefixes, so texts of one prefix shingle and of unlike groups are
+    compared, in pairs or, where many share it, in blocks. Every candidate is
+    checked exactly, so no text is grouped without a partner.
     """
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         table = family_table(families)
@@ -281,17 +424,59 @@ def similar_groups(texts: DataFrame, similarity: float = SIMILARITY, families: i
                   for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
             yield {"a": batch.column("a").filter(pa.array(ok)), "b": batch.column("b").filter(pa.array(ok))}
 
-    points = stored(map_arrow(texts.select("t", "words"), prints, "t long, family int, fp long"))
+    words = texts.select("t", "words")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+        both = pairs.join(words.toDF("a", "x"), "a").join(words.toDF("b", "y"), "b")
+        return stored(map_arrow(both, checked, "a long, b long"))
+
+    points = stored(map_arrow(words, prints, "t long, family int, fp long"))
     nodes = stored(points.groupBy("family", "fp").agg(F.min("t").alias("first"), F.count(F.lit(1)).alias("n")))
     edges = covering_edges(nodes, "fp", family="family", complete=COMPLETE)
     first = nodes.select("family", F.col("fp").alias("a"), F.col("first").alias("fa"))
     second = first.toDF("family", "b", "fb")
     across = edges.join(first, ["family", "a"]).join(second, ["family", "b"]).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
     within = points.join(nodes.filter("n > 1"), ["family", "fp"]).filter("t <> first").select(F.col("first").alias("a"), F.col("t").alias("b"))
-    pairs = stored(across.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
-    words = texts.select("t", "words")
-    both = pairs.join(words.toDF("a", "x"), "a").join(words.toDF("b", "y"), "b")
-    return components(map_arrow(both, checked, "a long, b long")).select(F.col("node").alias("t"), "root")
+    found = links(across.union(within))
+    dropped(points)
+    roots = components(found).select(F.col("node").alias("t"), "root")
+
+    cast = texts.sparkSession.sparkContext.broadcast(common_shingles(words))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        common = cast.value
+        for batch in batches:
+            sets = [shingle_set(np.frombuffer(w, np.uint16)) for w in batch.column(2).to_pylist()]
+            p = [prefix(h, common, similarity) if len(h) else h for h in sets]
+            n = [len(h) for h in p]
+            yield {"h": np.concatenate(p).view(np.int64), "t": np.repeat(batch.column(0).to_numpy(), n), "root": np.repeat(batch.column(1).to_numpy(), n),
+                   "n": np.repeat([len(h) for h in sets], n).astype(np.int32), "pos": np.concatenate([np.arange(k, dtype=np.int32) for k in n])}
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        return rows.join(roots, "t", "left").withColumn("root", F.coalesce("root", "t"))
+
+    rows = map_arrow(rooted(words).select("t", "root", "words"), prefixes, "h long, t long, root long, n int, pos int") \
+        .repartition(shuffle_width(texts.sparkSession), "h").sortWithinPartitions("h")
+    met = stored(map_arrow(rows, _prefix_pairs(similarity), "a long, b long, h long, pos int, hot boolean"))
+    found = found.union(links(met.filter("not hot").select("a", "b")))
+    roots = components(found).select(F.col("node").alias("t"), "root")
+    hot = met.filter("hot").select(F.col("a").alias("t"), "h", "pos")
+    if hot.isEmpty():
+        return roots
+    # Each text under its first such shingle, which joins most of a large group; then under all, without what is one group by now.
+    leads = hot.groupBy("t").agg(F.min("pos").alias("pos"))
+    for some in (hot.join(leads, ["t", "pos"]), hot):
+        now = stored(rooted(some.select("t", "h")))
+        live = now.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("g"), F.min("root").alias("lo"), F.max("root").alias("hi")) \
+            .filter("lo < hi").select("h", "g")
+        mine = now.join(live, "h").withColumn("c", F.expr("cast(pmod(xxhash64(t), g) as int)")) \
+            .select("h", "t", "root", "c", F.explode(F.expr("sequence(0, g - 1)")).alias("o"), "g").filter("g = 1 or c <> o")
+        blocks = mine.select("h", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "t", "root").join(words, "t") \
+            .select("h", "i", "j", "t", "root", "words").repartition(shuffle_width(texts.sparkSession), "h", "i", "j").sortWithinPartitions("h", "i", "j")
+        found = found.union(stored(map_arrow(blocks, _block_links(similarity), "a long, b long")))
+        roots = components(found).select(F.col("node").alias("t"), "root")
+    return roots
 
 
 def deduplicated(docs: DataFrame, item: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -52,6 +52,38 @@ def test_near_duplicates_against_brute_force(spark):
     assert len(groups) <= len(kept) <= len(groups) + 2
 
 
+def roots_of(spark, texts):
+    from dossier.llm.passages import word_codes
+    rows = [(i, bytearray(word_codes(t.encode()).tobytes())) for i, t in enumerate(texts)]
+    got = {r["t"]: r["root"] for r in simhash.similar_groups(spark.createDataFrame(rows, "t long, words binary")).collect()}
+    return [got.get(i, i) for i in range(len(texts))]
+
+
+def test_large_group_of_copies_that_only_meet_in_their_base(spark):
+    rnd = random.Random(3)
+    base = [f"w{rnd.randint(0, 9000)}" for _ in range(200)]
+    texts = []
+    for k in range(1500):
+        t = list(base)
+        for i in rnd.sample(range(8, 192, 6), 4):
+            t[i] = f"e{rnd.randint(0, 9000)}"
+        texts.append(" ".join(t))
+    texts.insert(900, " ".join(base))
+    assert sim(texts[0], texts[900]) >= .8 > .75 > sim(texts[0], texts[1])
+    assert set(roots_of(spark, texts)) == {0}
+
+
+def test_overlaps():
+    import numpy as np
+    rnd = np.random.default_rng(5)
+    sets = [np.unique(rnd.integers(0, 300, rnd.integers(0, 90))).astype(np.uint64) for _ in range(40)]
+    got = simhash.overlaps(sets)
+    for i in range(40):
+        for j in range(40):
+            if i != j:
+                assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
+
+
 def test_exact_copies_and_jaccard():
     import numpy as np
     from dossier.llm.passages import word_codes
