@@ -73,6 +73,25 @@ def test_large_group_of_copies_that_only_meet_in_their_base(spark):
     assert set(roots_of(spark, texts)) == {0}
 
 
+def test_block_edits(spark):
+    rnd = random.Random(4)
+    prose = lambda n: [f"w{rnd.randint(0, 9000)}" for _ in range(n)]
+    texts, footer = [], prose(60)
+    for g in range(40):
+        base, n = prose(rnd.randint(100, 300)), 0
+        n = int(len(base) * (.1 + .13 * g / 40))
+        at = rnd.choice([0, len(base) // 2, len(base)])
+        texts += [" ".join(base), " ".join(base[:at] + (footer[:n] if g % 3 == 0 else prose(n)) + base[at:])]
+    comp = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sim(texts[i], texts[j]) >= .8:
+                a, b = comp[i], comp[j]
+                comp = [min(a, b) if c in (a, b) else c for c in comp]
+    assert len(set(comp)) < 55
+    assert roots_of(spark, texts) == comp
+
+
 def test_overlaps():
     import numpy as np
     rnd = np.random.default_rng(5)
