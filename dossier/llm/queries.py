@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dossier.llm import align, bloom_lm, decontaminate, html, langid, nearest, packing, passages, secrets, simhash, urls
+from dossier.llm import align, bloom_lm, decontaminate, html, langid, nearest, packing, passages, secrets, simhash, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,3 +122,12 @@ def op13(spark, sf_dir):
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
     return align.judged(found.withColumn("groups", digest).withColumnRenamed("groups", "groups_sha256")).select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op12_toxicity")
+def op12(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = remainder("doc_id", 4) == 2
+    model = toxicity.train(docs.filter(~held), table(spark, sf_dir, "labels"))
+    return docs.select("doc_id", held.alias("held_out"), toxicity.predict(F.col("text"), model).alias("score")).withColumn(
+        "predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
