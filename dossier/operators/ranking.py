@@ -2,8 +2,10 @@
 
 Layout of the lexical path: a first pass counts the vocabulary (counts combine
 in each task); a second one scores the chunks where they lie against the query
-weights and keeps k rows per query and task. Query sets beyond the broadcast
-bound go through the postings join instead, hash-partitioned by chunk once.
+weights, pruned by bounds (``operators/lexical.py``), and keeps k rows per query
+and task. A stored index holds inverted lists, of which a search reads those of
+its terms. Query sets beyond the broadcast bound go through the postings join
+instead, hash-partitioned by chunk once.
 """
 from __future__ import annotations
 
@@ -12,16 +14,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from dossier.functions.text import overlap_from_counts, tokenize
+from dossier.operators import lexical as L
 from dossier.operators.bounds import top_k
+from dossier.operators.lexical import K1, B, TIE
 from dossier.session import materialise
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
-MAX_QUERY_TERMS = 2_000_000  # broadcast bound for the query side
-TIE = 9  # scores equal to this many places are ties, broken by key
+EPSILON = 0.25  # fixed value: floor of a negative idf, as a share of the mean
+MAX_QUERY_TERMS = 2_000_000  # broadcast bound for the query side, rows
+MAX_QUERY_BYTES = 128 << 20  # and bytes of its terms
+SEGMENT = 16_384  # chunks of an inverted segment
 
 
 def _slots(df: DataFrame) -> int:
@@ -85,8 +89,10 @@ def query_terms(queries: DataFrame, qid: str, qtext: str, tenant: str | None = N
     return qs.filter(F.col("term").isNotNull()).groupBy(qid, *t, "qd", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def _few(df: DataFrame, rows: int) -> bool:
-    return df.limit(rows + 1).count() <= rows
+def _fits(qt: DataFrame, rows: int = MAX_QUERY_TERMS) -> bool:
+    """Whether query terms may be sent to every task: by rows and by bytes, one job."""
+    r = qt.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("term")).alias("b")).first()
+    return r["n"] <= rows and (r["b"] or 0) <= MAX_QUERY_BYTES
 
 
 def lexical_scores(chunks: DataFrame | LexicalIndex, queries: DataFrame, key: list[str], text: str = "text",
@@ -108,7 +114,7 @@ def lexical_scores(chunks: DataFrame | LexicalIndex, queries: DataFrame, key: li
         vocab = materialise(vocabulary(toks, tenant))
     idf = term_weights(vocab, tenant)
     qt = query_terms(queries, qid, qtext, tenant)
-    hint = F.broadcast if _few(qt, MAX_QUERY_TERMS) else (lambda d: d)
+    hint = F.broadcast if _fits(qt) else (lambda d: d)
     w = hint(qt).join(idf, [*t, "term"]).select(
         qid, *t, "term", "qd", "avgdl", (F.col("qtf") * F.col("idf")).alias("w"))
     part = F.col("w") * F.col("tf") * (K1 + 1) / (
@@ -128,17 +134,18 @@ def ranked(scores: DataFrame, qid: str, score: str, key: list[str], k: int) -> D
     return top_k(scores, [qid], [F.round(F.col(score), TIE).desc(), *[F.col(c) for c in key]], k)
 
 
-MAX_WEIGHT_CELLS = 16_000_000  # broadcast bound of the term x query matrix
-
-
-MAX_INLINE_TERMS = 20_000  # query terms that the scan filters token lists by before they leave the JVM
-
-
 @dataclass(frozen=True)
 class LexicalIndex:
-    """A corpus tokenised once: chunk rows with token list, length and distinct count, and the vocabulary with its counts."""
+    """A corpus tokenised once.
+
+    ``chunks``: chunk rows with token list, length and distinct count;
+    ``vocabulary``: its counts; ``postings``: inverted segments, per term the
+    chunks' places and impacts with the highest impact of every block, and one
+    row of the empty term with the segment's chunks.
+    """
     chunks: DataFrame
     vocabulary: DataFrame
+    postings: DataFrame
     key: list[str]
     tenant: str | None
 
@@ -159,6 +166,7 @@ def build_index(chunks: DataFrame, key: list[str], path: str, text: str = "text"
     toks = spark.read.schema(t.schema).parquet(f"{path}/chunks")
     v = vocabulary(toks, tenant)
     v.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    _invert(toks, v, key, tenant, path)
     meta = spark.createDataFrame([(list(key), tenant)], "key array<string>, tenant string")
     meta.write.mode("overwrite").json(f"{path}/meta")
     return load_index(spark, path)
@@ -166,140 +174,164 @@ def build_index(chunks: DataFrame, key: list[str], path: str, text: str = "text"
 
 def load_index(spark, path: str) -> LexicalIndex:
     m = spark.read.schema("key array<string>, tenant string").json(f"{path}/meta").first()
-    return LexicalIndex(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/vocabulary"), list(m["key"]), m["tenant"])
+    chunks, vocab, post = (spark.read.parquet(f"{path}/{x}") for x in ("chunks", "vocabulary", "postings"))
+    return LexicalIndex(chunks, vocab, post, list(m["key"]), m["tenant"])
+
+
+def _average_length(vocab: DataFrame, tenant: str | None) -> DataFrame:
+    return vocab.filter("term = ''").select(*([tenant] if tenant else []), (F.col("dl_sum") / F.col("df")).alias("_avgdl"))
+
+
+def _invert(toks: DataFrame, vocab: DataFrame, key: list[str], tenant: str | None, path: str, segment: int = SEGMENT) -> None:
+    """Write the postings: tasks invert what they read in segments of at most about ``segment`` chunks of one tenant; no shuffle.
+
+    A chunk of a null tenant is met by no query and gets no postings.
+    """
+    spark = toks.sparkSession
+    number = [f.name for f in toks.schema if f.name not in (*key, "toks", "dl", "dt") and isinstance(f.dataType, T.NumericType)]
+    head = list(dict.fromkeys([*key, *number, "dt"]))
+    avg = _average_length(spark.read.parquet(f"{path}/vocabulary"), tenant)
+    t = [tenant] if tenant else []
+    src = toks.select(*dict.fromkeys([*head, *t, "dl", "toks"]))
+    src = src.join(avg, tenant) if tenant else src.withColumn("_avgdl", avg.select("_avgdl").scalar())
+    fields = [*[toks.schema[c] for c in t], T.StructField("segment", T.LongType()), T.StructField("term", T.StringType()),
+              T.StructField("rows", T.ArrayType(T.IntegerType())), T.StructField("sat", T.ArrayType(T.DoubleType())),
+              T.StructField("tops", T.ArrayType(T.DoubleType())), T.StructField("head", T.ArrayType(T.StructType([toks.schema[c] for c in head])))]
+    schema = T.StructType(fields)
+    from pyspark.sql.pandas.types import to_arrow_schema
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        from pyspark import TaskContext
+        at, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def flush():
+            nonlocal at, held, size
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            for value, part in L.by_tenant(whole, tenant):
+                terms, off, rows, sat = L.inverted(part, np.asarray(part.column("_avgdl"))[0])
+                tops, tops_at = L.block_tops(off, sat)
+                lists = lambda o, v, ty: pa.ListArray.from_arrays(pa.array(np.r_[0, o].astype(np.int32)), pa.array(v, ty))
+                n = len(terms) + 1
+                chunks = pa.StructArray.from_arrays([part.column(c) for c in head], fields=list(arrow.field("head").type.value_type))
+                cols = {"segment": pa.array(np.full(n, at)), "term": pa.array(["", *terms]), "rows": lists(off, rows.astype(np.int32), pa.int32()),
+                        "sat": lists(off, sat, pa.float64()), "tops": lists(tops_at, tops, pa.float64()),
+                        "head": pa.ListArray.from_arrays(pa.array(np.r_[0, np.full(n, len(chunks))].astype(np.int32)), chunks)}
+                if tenant:
+                    cols[tenant] = pa.array([value] * n, arrow.field(tenant).type)
+                yield pa.RecordBatch.from_arrays([cols[f.name].cast(f.type) for f in arrow], schema=arrow)
+                at += 1
+            held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= segment:
+                yield from flush()
+        if size:
+            yield from flush()
+    src.mapInArrow(run, schema).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
 
 
 def lexical_topk(chunks: DataFrame | LexicalIndex, queries: DataFrame, key: list[str], k: int, bm25_weight: float = 1.0,
                  overlap_weight: float = 0.0, boost: str | None = None, text: str = "text", qid: str = "query_id",
-                 qtext: str = "text", tenant: str | None = None, max_cells: int = MAX_WEIGHT_CELLS) -> DataFrame:
+                 qtext: str = "text", tenant: str | None = None, max_cells: int = MAX_QUERY_TERMS, work: bool = False) -> DataFrame:
     """Best ``k`` chunks per query by bm25_weight * bm25 + overlap_weight * overlap (+ a chunk column).
 
-    While terms x queries stay below the checked bound, their weights go to
-    every task as one matrix and the corpus is scored where it lies: a batch of
-    token lists times the matrix, the task's own k best per query passed on. No
-    token is shuffled. Beyond the bound the same scores come from the postings
-    join. ``chunks`` may be a stored index, which is then neither tokenised nor
-    counted again. Token lists lose what no query asks for before they leave
-    the JVM.
+    While the (query, term) rows stay below a checked bound, they go to every
+    task. A stored index is then searched in its postings: those of the query
+    terms alone are read, segment by segment, and walked with exact bounds. A
+    chunk table is scored where it lies: each batch of token lists is inverted
+    for the query terms and walked in the same way. Each task passes on its own
+    k best per query; no token is shuffled. Beyond the bound the same scores
+    come from the postings join. Chunks whose boost is null are not ranked by
+    the first two ways. ``work`` returns (blocks, read) per task in place of the
+    hits: how many blocks of postings the queries have and how many were read.
     """
     index = chunks if isinstance(chunks, LexicalIndex) else None
     chunks = index.chunks if index else chunks
     t = [tenant] if tenant else []
     qt = query_terms(queries, qid, qtext, tenant)
-    size = qt.agg(F.countDistinct(qid, *t).alias("q"), F.countDistinct("term").alias("t")).first()
-    cols = [*key, *t, *([boost] if boost else [])]
-    cols = list(dict.fromkeys(cols))
+    cols = list(dict.fromkeys([*key, *t, *([boost] if boost else [])]))
     mix = bm25_weight * F.col("bm25") + overlap_weight * F.col("overlap")
-    if size["q"] * size["t"] > max_cells:
+    if not _fits(qt, max_cells):
         s = lexical_scores(index or chunks, queries, key, text, qid, qtext, tenant)
         if boost:
             s = s.join(chunks.select(*key, boost), key)
             mix = mix + F.col(boost)
         return ranked(s.withColumn("score", mix), qid, "score", key, k)
     if index:
-        toks, vocab = index.chunks.select(*cols, "toks", "dl", "dt"), index.vocabulary
+        vocab = index.vocabulary
     else:
         toks = chunks.select(*cols, tokenize(F.col(text)).alias("toks")).select(
             *cols, "toks", F.size("toks").alias("dl"), F.size(F.array_distinct("toks")).alias("dt"))
         vocab = materialise(vocabulary(toks, tenant))
     idf = term_weights(vocab, tenant)
     w = F.broadcast(qt).join(idf, [*t, "term"]).select(qid, *t, "term", "qd", "avgdl", (F.col("qtf") * F.col("idf")).alias("w")).toPandas()
-    model = _weight_matrix(w, qid, tenant)
-    bc = chunks.sparkSession.sparkContext.broadcast(model)
-    if len(model["terms"]) <= MAX_INLINE_TERMS:
-        asked = [str(x) for x in model["terms"]]
-        toks = toks.withColumn("toks", F.filter("toks", lambda x: x.isin(asked)))
+    bc = chunks.sparkSession.sparkContext.broadcast(L.Asked.of(w, qid, tenant))
     qtype, types = queries.schema[qid].dataType.simpleString(), {f.name: f.dataType.simpleString() for f in chunks.schema}
-    schema = ", ".join([f"{qid} {qtype}", *[f"{c} {types[c]}" for c in key], "bm25 double", "overlap double", "score double"])
+    schema = "blocks long, read long" if work else ", ".join(
+        [f"{qid} {qtype}", *[f"{c} {types[c]}" for c in key], "bm25 double", "overlap double", "score double"])
+
+    def told(search, held):
+        if work:
+            yield pa.RecordBatch.from_arrays([pa.array([search.blocks]), pa.array([search.read])], ["blocks", "read"])
+        else:
+            yield from held.batches(qid)
 
     def scan(batches):
-        m = bc.value
-        if not len(m["qids"]):
-            return
-        floor, held = np.full(len(m["qids"]), -np.inf), []
+        search = L.Search(bc.value, k, bm25_weight, overlap_weight)
+        held, terms = L.Held(search, key), pa.array(bc.value.terms, pa.string())
         for batch in batches:
-            for part in _row_slices(batch, max(1, 4_000_000 // max(1, len(m["terms"])))):
-                bm, ov = _score_batch(part, m, tenant)
-                total = bm25_weight * bm + overlap_weight * ov
-                if boost:
-                    total = total + np.asarray(part.column(boost), dtype=np.float64)[:, None]
-                total = np.where(ov > 0, total, -np.inf)
-                r, c, sc, floor = _cell_topk(total, k, floor)
-                keep = np.isfinite(sc)
-                r, c, sc = r[keep], c[keep], sc[keep]
-                held.append((part.select(key).take(pa.array(r)), c, bm[r, c], ov[r, c], sc))
-            if sum(len(h[1]) for h in held) > 4 * k * len(floor) + 10_000:
-                floor = _held_floor(np.concatenate([h[1] for h in held]), np.concatenate([h[4] for h in held]), k, floor)
-                held = [_above(h, floor) for h in held]
-        for h in held:
-            keys, c, b, o, sc = _above(h, floor)
-            if len(c):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(m["qids"][c]), *keys.columns, pa.array(b), pa.array(o), pa.array(sc)], [qid, *key, "bm25", "overlap", "score"])
-    return ranked(toks.mapInArrow(scan, schema), qid, "score", key, k)
-
-
-def _weight_matrix(w: pd.DataFrame, qid: str, tenant: str | None) -> dict:
-    """Terms x queries: weights, membership; query sizes and average lengths beside them."""
-    terms, ti = np.unique(w["term"].to_numpy(dtype=object).astype(str), return_inverse=True) if len(w) else (np.array([], dtype=str), [])
-    own = [qid, tenant] if tenant else [qid]  # one column per query, and per tenant that it is asked in
-    q = w.drop_duplicates(own)
-    qids = q[qid].to_numpy()
-    qi = w.groupby(own, sort=False, dropna=False).ngroup().to_numpy()
-    mat = np.zeros((len(terms), len(qids)))
-    mat[ti, qi] = w["w"].to_numpy()
-    member = np.zeros((len(terms), len(qids)), dtype=np.float32)
-    member[ti, qi] = 1
-    return {"terms": list(terms), "qids": qids, "w": mat, "member": member, "qd": q["qd"].to_numpy(dtype=np.float64),
-            "avgdl": q["avgdl"].to_numpy(dtype=np.float64), "tenant": q[tenant].to_numpy() if tenant else None}
-
-
-def _row_slices(batch, rows: int):
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
-
-
-def _score_batch(batch, m: dict, tenant: str | None):
-    """(bm25, overlap) of a batch of token lists against every query; no shared term gives overlap 0."""
-    toks = batch.column("toks")
-    flat, n, width = toks.flatten(), batch.num_rows, len(m["terms"])
-    rows = np.repeat(np.arange(n), np.asarray(pc.fill_null(pc.list_value_length(toks), 0)))
-    lens = np.asarray(pc.fill_null(batch.column("dl"), 0))
-    tid = np.asarray(pc.fill_null(pc.index_in(flat, value_set=pa.array(m["terms"], pa.string())), -1))
-    hit = tid >= 0
-    tf = np.bincount(rows[hit] * width + tid[hit], minlength=n * width).reshape(n, width).astype(np.float64)
-    dt = np.asarray(pc.fill_null(batch.column("dt"), 0)).astype(np.float64)
-    own = None
-    if tenant:
-        own = np.asarray(batch.column(tenant).to_pylist(), dtype=object)[:, None] == m["tenant"][None, :]
-        avgdl = np.where(own.any(axis=1), (own * m["avgdl"][None, :]).max(axis=1), 1.0)
+            for value, part in L.by_tenant(batch, tenant):
+                c = bc.value.columns(value)
+                if len(c):
+                    held.add(part, search.segment(L.token_segment(part, bc.value, terms, bc.value.avgdl[c[0]], boost), c))
+        yield from told(search, held)
+
+    def walk(batches):
+        search = L.Search(bc.value, k, bm25_weight, overlap_weight)
+        held, number, now, rows = L.Held(search, key), {x: i for i, x in enumerate(bc.value.terms)}, None, []
+
+        def done():
+            head, *post = rows  # the empty term sorts first, the others ascend as their numbers do
+            n, m = (np.zeros(len(number) + 1, np.int64) for _ in range(2))
+            for r in post:
+                i = number[r["term"]] + 1
+                n[i], m[i] = len(r["rows"]), len(r["tops"])
+            join = lambda f: np.concatenate([r[f] for r in post]) if post else np.empty(0, np.int64)
+            chunk = pa.RecordBatch.from_struct_array(head["head"])
+            s = L.Segment(np.cumsum(n), join("rows"), join("sat"), join("tops"), np.cumsum(m),
+                          np.asarray(chunk.column("dt")).astype(float), L.added(chunk, boost))
+            held.add(chunk, search.segment(s, bc.value.columns(head["tenant"])))
+        for batch in batches:
+            seg, term = np.asarray(batch.column("segment")), batch.column("term").to_pylist()
+            lists = {f: (batch.column(f), np.asarray(batch.column(f).offsets), np.asarray(batch.column(f).values)) for f in ("rows", "sat", "tops")}
+            for i in range(batch.num_rows):
+                if seg[i] != now:
+                    if rows:
+                        done()
+                    now, rows = seg[i], []
+                row = {"term": term[i], **{f: v[o[i]:o[i + 1]] for f, (_, o, v) in lists.items()}}
+                if not term[i]:
+                    row |= {"head": batch.column("head")[i].values, "tenant": batch.column(tenant)[i].as_py() if tenant else None}
+                rows.append(row)
+        if rows:
+            done()
+        yield from told(search, held)
+
+    if index and set(cols) <= {*index.postings.columns, *(f.name for f in index.postings.schema["head"].dataType.elementType)}:
+        asked = chunks.sparkSession.createDataFrame([("",), *[(x,) for x in bc.value.terms]], "term string")
+        post = index.postings.join(F.broadcast(asked), "term")
+        if tenant:
+            who = chunks.sparkSession.createDataFrame([(x,) for x in w[tenant].drop_duplicates().tolist()], T.StructType([queries.schema[tenant]]))
+            post = post.join(F.broadcast(who), tenant)
+        hits = post.repartition(_slots(post), "segment").sortWithinPartitions("segment", "term").select(
+            *t, "segment", "term", "rows", "sat", "tops", "head").mapInArrow(walk, schema)
     else:
-        avgdl = np.full(n, m["avgdl"][0])
-    norm = K1 * (1 - B + B * lens / avgdl)
-    sat = np.divide(tf * (K1 + 1), tf + norm[:, None], out=np.zeros_like(tf), where=tf > 0)
-    bm = sat @ m["w"]
-    common = (tf > 0).astype(np.float32) @ m["member"]
-    ov = 0.75 * common / m["qd"][None, :] + 0.25 * common / np.maximum(10.0, np.sqrt(dt))[:, None]
-    if own is not None:
-        ov = np.where(own, ov, 0.0)
-    return bm, ov
-
-
-def _held_floor(c: np.ndarray, s: np.ndarray, k: int, floor: np.ndarray) -> np.ndarray:
-    """Raise each query's floor to the k-th best of the rows held, wherever k are held."""
-    o = np.lexsort((-s, c))
-    c, s = c[o], s[o]
-    start = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.empty(0, np.int64)
-    kth = start[np.diff(np.r_[start, len(c)]) >= k] + k - 1
-    floor = floor.copy()
-    floor[c[kth]] = np.maximum(floor[c[kth]], s[kth])
-    return floor
-
-
-def _above(h, floor):
-    keys, c, b, o, sc = h
-    ok = sc >= floor[c] - 10.0 ** -TIE
-    return keys.take(pa.array(np.nonzero(ok)[0])), c[ok], b[ok], o[ok], sc[ok]
+        if index:
+            toks = index.chunks.select(*cols, "toks", "dl", "dt")
+        hits = toks.mapInArrow(scan, schema)
+    return hits if work else ranked(hits, qid, "score", key, k)
 
 
 def bm25_topk(chunks, queries, key, k=5, **kw) -> DataFrame:
@@ -550,6 +582,7 @@ def rank_of_first(hits: DataFrame, qid: str, match: Column) -> DataFrame:
     return hits.groupBy(qid).agg(F.min(F.when(match, F.col("rank"))).alias("first_rank"))
 
 
+# Names of the modes.
 MODES = ("semantic_dense", "bm25_lexical", "semantic_dense_rerank", "hybrid_dense_bm25", "hybrid_dense_bm25_rerank")
 
 
