@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dossier.functions.text import let, tokenize
-from dossier.operators.bounds import best_per_key, broadcast_if_small, top_k
+from dossier.operators.bounds import best_per_key, top_k
+from dossier.operators.matching import contains_pairs, route_scores
 from dossier.session import materialise
 
 
@@ -17,37 +17,10 @@ def first_wins(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return best_per_key(df, keys, [order.asc()])
 
 
-def _windows(text: Column, width: int) -> Column:
-    return let(text, lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - width + 1, F.lit(1))),
-                                                            lambda i: F.substring(s, i, F.lit(width)))))
-
-
 def containment_join(docs: DataFrame, needles: DataFrame, doc_key: str, doc_text: str, needle_key: str,
                      needle_text: str) -> DataFrame:
-    """(doc, needle) where the document holds the needle word by word.
-
-    A needle is looked up by its longest token from the inside (the tokens at
-    its edges may be cut inside a word of the document), which makes the search
-    an equi-join on distinct tokens; ids alone travel, and the exact test runs
-    on the candidates, which go to the documents while they are few. Needles
-    without an inside token are looked up by their first three characters, or
-    all they have, among the windows of that length. An empty needle is in no
-    document.
-    """
-    n = needles.select(F.col(needle_key), F.col(needle_text).alias("_n"), tokenize(F.col(needle_text)).alias("_t"))
-    d = docs.select(F.col(doc_key), F.col(doc_text).alias("_d"))
-    inner = F.slice("_t", 2, F.greatest(F.size("_t") - 2, F.lit(1)))
-    longest = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("l"), t.alias("t"))))["t"]
-    anchors = n.filter(F.size("_t") > 2).select(needle_key, longest.alias("_g"))
-    cand = d.select(doc_key, F.explode(F.array_distinct(tokenize(F.col("_d")))).alias("_g")).join(
-        broadcast_if_small(anchors), "_g").select(doc_key, needle_key)
-    short = n.filter((F.size("_t") <= 2) & (F.length("_n") > 0)).withColumn("_w", F.least(F.length("_n"), F.lit(3)))
-    for width in sorted(r[0] for r in short.select("_w").distinct().collect()):  # of 1, 2 and 3
-        wins = _windows(F.col("_d"), width)
-        cand = cand.unionByName(d.select(doc_key, F.explode(wins).alias("_g")).join(
-            broadcast_if_small(short.filter(F.col("_w") == width).select(needle_key, F.substring("_n", 1, width).alias("_g"))), "_g").select(doc_key, needle_key))
-    return d.join(broadcast_if_small(materialise(cand)), doc_key).join(broadcast_if_small(n.select(needle_key, "_n")), needle_key).filter(
-        F.col("_d").contains(F.col("_n"))).select(doc_key, needle_key)
+    """(doc, needle) where the document holds the needle as a plain substring; an empty needle is in no document."""
+    return contains_pairs(docs, doc_key, doc_text, needles, needle_key, needle_text)
 
 
 def attach_record(hits: DataFrame, records: DataFrame, text: str, record_id: str, order: str) -> DataFrame:
@@ -86,11 +59,10 @@ def primary_source(sources: DataFrame, key: str, priority: str, real: Column, ti
                                          real.desc(), F.col(tie).asc()])
 
 
-def route_documents(questions: DataFrame, doc_terms: DataFrame, qid: str, words: str, doc: str, cap: int = 4,
+def route_documents(questions: DataFrame, doc_terms: DataFrame, qid: str, blob: str, doc: str, cap: int = 4,
                     fallback: str | None = None) -> DataFrame:
-    """Question words x document terms (weights added up); keep within one of the best, at most ``cap``."""
-    q = questions.select(qid, F.explode(F.array_distinct(words)).alias("term"))
-    s = q.join(doc_terms, "term").groupBy(qid, doc).agg(F.sum("weight").alias("route_score"))
+    """Documents whose terms (``term``, ``weight``) a question's text contains, weights added up; keep within one of the best, at most ``cap``."""
+    s = materialise(route_scores(questions, qid, blob, doc_terms, doc, "term", "weight"))
     best = s.groupBy(qid).agg(F.max("route_score").alias("_m"))
     kept = s.join(best, qid).filter(F.col("route_score") >= F.greatest(F.lit(1), F.col("_m") - 1)).drop("_m")
     out = top_k(kept, [qid], [F.col("route_score").desc(), F.col(doc)], cap, "route_rank")

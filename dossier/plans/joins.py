@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dossier.operators import classify as CL, joins as J
+from dossier.operators import classify as CL, joins as J, matching as M
+from dossier.operators.bounds import top_k
 from dossier.plans.base import query, table
 
 
@@ -198,18 +199,23 @@ def routing_alignment(spark, sf):
     return a.join(b, "k", "full_outer").filter(~F.col("feasible").eqNullSafe(F.col("ready")))
 
 
-ROUTE = r"""dt AS (SELECT DISTINCT source, term, 3 AS weight FROM (SELECT source, unnest(list_slice(regexp_extract_all(lower(text), '([a-z]{6,})', 1), 1, 3)) AS term FROM documents)),
-qw AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '([a-z]{6,})', 1))) AS term FROM benchmark),
-sc AS (SELECT item_id, source, sum(weight) AS s FROM qw JOIN dt USING (term) GROUP BY ALL), kp AS (SELECT *, max(s) OVER (PARTITION BY item_id) AS m FROM sc),
+ROUTE = r"""wc AS (SELECT source, term, count(*) AS n FROM (SELECT source, unnest(regexp_extract_all(lower(text), '([a-z]{6,})', 1)) AS term FROM documents) GROUP BY ALL),
+tr AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, term) AS r FROM wc), dt AS (SELECT source, term, CASE WHEN r <= 5 THEN 3 ELSE 2 END AS weight FROM tr WHERE r <= 20),
+sc AS (SELECT item_id, source, sum(weight) AS s FROM benchmark JOIN dt ON contains(lower(text), term) GROUP BY ALL), kp AS (SELECT *, max(s) OVER (PARTITION BY item_id) AS m FROM sc),
 rt AS (SELECT item_id, source, s, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, source) AS r FROM kp WHERE s >= greatest(1, m - 1)),
 al AS (SELECT item_id, source, CAST(s AS BIGINT) AS route_score, r AS route_rank FROM rt WHERE r <= 4 UNION ALL SELECT item_id, 'src0', 0, 1 FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM rt))"""
 
 
+def source_terms(spark, sf):
+    """A registry of the sources: of all long words of all their texts the five most frequent as domains (3), the next fifteen as topics (2)."""
+    words = table(spark, sf, "documents").select("source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{6,})"), F.lit(1))).alias("term"))
+    counts = words.groupBy("source", "term").agg(F.count(F.lit(1)).alias("n"))
+    return top_k(counts, ["source"], [F.col("n").desc(), F.col("term")], 20, "r").select("source", "term", F.when(F.col("r") <= 5, 3).otherwise(2).alias("weight"))
+
+
 def routed(spark, sf):
-    rx, one = F.lit("([a-z]{6,})"), F.lit(1)
-    terms = table(spark, sf, "documents").select("source", F.explode(F.slice(F.regexp_extract_all(F.lower("text"), rx, one), 1, 3)).alias("term")).distinct().withColumn("weight", F.lit(3))
-    q = table(spark, sf, "benchmark").select("item_id", "text", F.regexp_extract_all(F.lower("text"), rx, one).alias("words"))
-    return q, J.route_documents(q, terms, "item_id", "words", "source", 4, "src0")
+    q = table(spark, sf, "benchmark").select("item_id", "text")
+    return q, J.route_documents(q, source_terms(spark, sf), "item_id", "text", "source", 4, "src0")
 
 
 @query("document_routing", f"WITH {ROUTE} SELECT item_id, source, route_score, route_rank FROM al")
@@ -226,11 +232,33 @@ def evidence_plans(spark, sf):
         "item_id", "kind", F.array_join("primary_documents", ",").alias("docs"), "answer_mode", "needs_merge")
 
 
-@query("logical_documents", """WITH h AS (SELECT p_partkey, split_part(p_name, ' ', 2) AS hint FROM part), c AS (SELECT DISTINCT p_name AS doc FROM part)
-SELECT hint, min(doc) AS doc, count(*) AS n_docs FROM (SELECT DISTINCT hint FROM h) JOIN c ON split_part(doc, ' ', 2) = hint GROUP BY hint""")
+LOGICAL = """d AS (SELECT DISTINCT replace(p_name, ' ', CASE p_partkey % 7 WHEN 0 THEN '_Impact_' WHEN 1 THEN '_governance_' ELSE '_' END) || '_' || p_partkey % 20 || CASE p_partkey % 3 WHEN 0 THEN '_pdf' WHEN 1 THEN '_XML' ELSE '_json' END AS doc FROM part),
+h AS (SELECT DISTINCT split_part(p_name, ' ', 2) || '-' || p_type AS logical, CASE WHEN p_partkey % 2 = 0 THEN upper(substr(split_part(p_name, ' ', 2), 2)) ELSE substr(replace(p_name, ' ', '_'), 2, 6) END AS hint,
+ CASE substr(p_type, 1, 1) WHEN 'E' THEN 'sustainability_report' WHEN 'S' THEN 'governance_report' WHEN 'P' THEN 'dart_filing' END AS kind FROM part),
+m AS (SELECT logical, doc, lower(doc) AS l, hint, kind FROM h JOIN d ON contains(lower(doc), lower(hint))),
+s AS (SELECT logical, doc, max(length(hint) + CASE WHEN kind = 'sustainability_report' AND (contains(l, 'impact') OR contains(l, 'sustain')) THEN 40 ELSE 0 END + CASE WHEN kind = 'sustainability_report' AND ends_with(l, '_pdf') THEN 8 ELSE 0 END
+ + CASE WHEN kind IN ('governance_report', 'dart_filing') AND (contains(l, 'governance') OR contains(l, 'dart')) THEN 35 ELSE 0 END + CASE WHEN kind IN ('governance_report', 'dart_filing') AND ends_with(l, '_xml') THEN 6 ELSE 0 END
+ - CASE WHEN ends_with(l, '_json') THEN 5 ELSE 0 END)::DOUBLE AS score FROM m GROUP BY ALL)"""
+
+
+def logical_matches(spark, sf):
+    p, key = table(spark, sf, "part"), F.col("p_partkey")
+    part = lambda v: F.replace("p_name", F.lit(" "), v)
+    infix = F.when(key % 7 == 0, "_Impact_").when(key % 7 == 1, "_governance_").otherwise("_")
+    docs = p.select(F.concat(part(infix), F.lit("_"), (key % 20).cast("string"), F.when(key % 3 == 0, "_pdf").when(key % 3 == 1, "_XML").otherwise("_json")).alias("doc"))
+    word, first = F.split_part("p_name", F.lit(" "), F.lit(2)), F.left("p_type", F.lit(1))
+    hints = p.select(F.concat(word, F.lit("-"), "p_type").alias("logical"),
+                     F.when(key % 2 == 0, F.upper(F.substring(word, 2, 1000))).otherwise(F.substring(part(F.lit("_")), 2, 6)).alias("hint"),
+                     F.when(first == "E", "sustainability_report").when(first == "S", "governance_report").when(first == "P", "dart_filing").alias("kind"))
+    return M.matching_documents(docs, "doc", hints, "logical", "hint", "kind")
+
+
+@query("logical_documents", f"WITH {LOGICAL} SELECT logical, doc, score FROM s WHERE score >= 1")
 def logical_documents(spark, sf):
-    """Hint contained in a document id: ids are cut in words, so containment becomes an equi-join."""
-    p = table(spark, sf, "part")
-    hints = p.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("hint")).distinct()
-    d = p.select(F.col("p_name").alias("doc")).distinct().select("doc", F.explode(F.array_distinct(F.split("doc", " "))).alias("hint"))
-    return d.join(hints, "hint").groupBy("hint").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n_docs"))
+    """Every document id that contains a hint of a logical document, scored by the hint and the wanted kind."""
+    return logical_matches(spark, sf)
+
+
+@query("logical_document_best", f"WITH {LOGICAL} SELECT logical, doc, score FROM (SELECT *, row_number() OVER (PARTITION BY logical ORDER BY score DESC, doc) AS r FROM s WHERE score >= 1) WHERE r = 1")
+def logical_document_best(spark, sf):
+    return M.best_document(logical_matches(spark, sf), "doc", "logical")
