@@ -2,9 +2,11 @@
 from __future__ import annotations
 
 import html as _html
+import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
@@ -226,21 +228,23 @@ def token_estimate(c: Column) -> Column:
 
 
 def occurrences(c: Column, pattern: str, context: int) -> Column:
-    """Array of struct(match, snippet) for every place of a pattern, with characters around it.
+    """Array of struct(match, snippet) for every place of a pattern, with characters around it, left to right.
 
-    Places come from one split of the text, so the cost is linear; a pattern
-    with the context inside it would try every start again.
+    One run over each text that holds the pattern at all, by Arrow batch; the
+    others do not leave the JVM. Classes such as ``\\d`` and ``\\w`` are those of ASCII.
     """
-    found = let(F.split(c, pattern), lambda parts: let(
-        F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1)), lambda ms: F.transform(ms, lambda m, i: let(
-            _lengths(F.slice(parts, 1, i + 1)) + _lengths(F.slice(ms, 1, i)), lambda at: F.struct(
-                m.alias("match"), F.substring(c, F.greatest(at - context, F.lit(0)) + 1,
-                                              F.length(m) + F.least(at, F.lit(context)) + context).alias("snippet"))))))
-    return F.when(c.rlike(pattern), found).otherwise(F.array().cast("array<struct<match:string,snippet:string>>"))
-
-
-def _lengths(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
+    find = re.compile(pattern, re.ASCII).finditer
+
+    def places(texts: pa.Array) -> pa.Array:
+        at, match, snippet = [0], [], []
+        for t in texts.to_pylist():
+            for m in find(t or ""):
+                match.append(m.group())
+                snippet.append(t[max(m.start() - context, 0):m.end() + context])
+            at.append(len(match))
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(
+            [pa.array(match, pa.string()), pa.array(snippet, pa.string())], ["match", "snippet"]))
+    return F.arrow_udf(places, "array<struct<match:string,snippet:string>>")(F.when(c.rlike(pattern), c))
 
 
 def strip_header_lines(c: Column, prefixes=("record_id:", "doc_id:", "company:", "year:", "source:", "source_path:")) -> Column:

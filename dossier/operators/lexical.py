@@ -167,6 +167,17 @@ class Search:
         return (np.repeat([c for c, _ in found], [len(r[0]) for _, r in found]), *[np.concatenate([r[i] for _, r in found]) for i in range(4)])
 
 
+def held_floor(c: np.ndarray, score: np.ndarray, k: int, floor: np.ndarray) -> np.ndarray:
+    """Raise each query's floor to the k-th best of the rows held, wherever k are held."""
+    o = np.lexsort((-score, c))
+    c, score = c[o], score[o]
+    start = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.empty(0, np.int64)
+    kth = start[np.diff(np.r_[start, len(c)]) >= k] + k - 1
+    floor = floor.copy()
+    floor[c[kth]] = np.maximum(floor[c[kth]], score[kth])
+    return floor
+
+
 class Held:
     """What a task has found so far; cut down to the floors now and then."""
 
@@ -180,12 +191,7 @@ class Held:
         self.parts.append((keys.select(self.key).take(pa.array(r)), c, bm, ov, sc))
         self.size += len(c)
         if self.size > 4 * self.s.k * len(self.s.floor) + 10_000:
-            every, score = np.concatenate([p[1] for p in self.parts]), np.concatenate([p[4] for p in self.parts])
-            o = np.lexsort((-score, every))
-            every, score = every[o], score[o]
-            start = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
-            kth = start[np.diff(np.r_[start, len(every)]) >= self.s.k] + self.s.k - 1
-            self.s.floor[every[kth]] = np.maximum(self.s.floor[every[kth]], score[kth])
+            self.s.floor = held_floor(np.concatenate([p[1] for p in self.parts]), np.concatenate([p[4] for p in self.parts]), self.s.k, self.s.floor)
             self.parts = [self.above(p) for p in self.parts]
             self.size = sum(len(p[1]) for p in self.parts)
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from dossier.functions.text import overlap_from_counts, tokenize
 from dossier.operators import lexical as L
 from dossier.operators.bounds import top_k
-from dossier.operators.lexical import K1, B, TIE
+from dossier.operators.lexical import K1, B, TIE, held_floor as _held_floor  # noqa: F401
 from dossier.session import materialise
 
 EPSILON = 0.25  # fixed value: floor of a negative idf, as a share of the mean

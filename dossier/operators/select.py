@@ -99,11 +99,19 @@ def sequence_ids(df: DataFrame, keys: list[str], order: str, prefix: Column, wid
 
 
 def merge_tagged(parts: list[DataFrame], key: str, tags: str) -> DataFrame:
-    """Union of pools, one row per unit, tags of all pools merged."""
+    """Union of pools, one row per unit, the distinct tags of all pools merged and sorted; units without tags stay, with an empty list.
+
+    Rows without a key stand for no unit that could be merged and are passed
+    through. Other columns keep a value of one of the unit's rows. Distinct tags
+    combine before the shuffle, so a unit that many pools hold stays small.
+    """
     u = reduce(lambda a, b: a.unionByName(b), parts)
+    none = F.array().cast(u.schema[tags].dataType)
+    clean = lambda c: F.sort_array(F.array_distinct(F.array_compact(F.coalesce(c, none))))
     others = [c for c in u.columns if c not in (key, tags)]
-    t = u.select(key, F.explode(tags).alias("_t")).groupBy(key).agg(F.sort_array(F.collect_set("_t")).alias(tags))
-    return u.groupBy(key).agg(*[F.first(c, ignorenulls=True).alias(c) for c in others]).join(t, key)
+    t = u.filter(F.col(key).isNotNull()).withColumn("_t", F.explode_outer(clean(F.col(tags)))).groupBy(key).agg(
+        F.sort_array(F.collect_set("_t")).alias(tags), *[F.first(c, ignorenulls=True).alias(c) for c in others])
+    return t.select(*u.columns).unionByName(u.filter(F.col(key).isNull()).withColumn(tags, clean(F.col(tags))))
 
 
 def prefer_earlier(parts: list[DataFrame], keys: list[str], order: str | None = None) -> DataFrame:

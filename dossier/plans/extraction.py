@@ -24,7 +24,7 @@ def row_match(spark, sf):
         "p_partkey", F.round("m.score", 6).alias("score"))
 
 
-@query("row_match_overlap", rf"""WITH b AS (SELECT item_id, list_filter(list_distinct({sql_tokens('text')}), lambda t: t NOT IN ('the', 'of', 'and', 'total', 'number', 'rate', 'ratio', 'amount') AND length(t) >= 2) AS q, list_slice({sql_tokens('text')}, 1, 5) AS lt FROM benchmark),
+@query("row_match_overlap", rf"""WITH b AS (SELECT item_id, list_filter(list_distinct({sql_tokens('text')}), lambda t: t NOT IN ('the', 'of', 'and', 'total', 'number', 'rate', 'ratio', 'amount') AND length(t) >= 2) AS q, {sql_tokens('text')} AS lt FROM benchmark),
 l AS (SELECT item_id, q, list_filter(list_distinct(list_append(lt, 'zq')), lambda t: t NOT IN ('the', 'of', 'and', 'total', 'number', 'rate', 'ratio', 'amount') AND length(t) >= 2) AS t FROM b),
 s AS (SELECT item_id, len(q) AS nq, len(list_intersect(q, t)) AS c, len(t) - len(list_intersect(q, t)) AS x FROM l), o AS (SELECT *, greatest(0.0::DOUBLE, c / greatest(1, nq) - 0.15 * x) AS ov FROM s)
 SELECT item_id, round(CASE WHEN nq = 0 OR c = 0 THEN 0 WHEN ov < 0.35 THEN ov ELSE least(0.75, ov) END, 6) AS score, CASE WHEN nq = 0 THEN 'no_specific_query_tokens' WHEN c = 0 THEN 'no_specific_overlap' WHEN ov < 0.35 THEN 'token_overlap_weak' ELSE 'token_overlap' END AS reason,
@@ -32,7 +32,7 @@ SELECT item_id, round(CASE WHEN nq = 0 OR c = 0 THEN 0 WHEN ov < 0.35 THEN ov EL
 def row_match_overlap(spark, sf):
     from dossier.functions.text import tokenize
     b = table(spark, sf, "benchmark")
-    label = F.concat_ws(" ", F.slice(tokenize(F.col("text")), 1, 5), F.lit("zq"))
+    label = F.concat_ws(" ", tokenize(F.col("text")), F.lit("zq"))
     e, n = F.array().cast("array<string>"), F.lit("")
     m = b.select("item_id", "text", label.alias("label")).withColumn("m", X.row_match(F.col("label"), n, n, e, e, F.col("text")))
     return m.select("item_id", F.round("m.score", 6).alias("score"), "m.reason",

@@ -474,11 +474,11 @@ def rank_of_expected(spark, sf):
     return items(spark, sf).select("query_id").join(r, "query_id", "left").select("query_id", F.col("first_rank").cast("long").alias("first_rank"))
 
 
-@query("snippet_rank", BM + rk() + f""", h AS (SELECT query_id, rank, {TEXT_SQL} AS t, substr(q.text, 1, 60) AS snip FROM rk JOIN documents d USING (doc_id) JOIN benchmark q ON q.item_id = query_id WHERE rank <= 20),
+@query("snippet_rank", BM + rk() + f""", h AS (SELECT query_id, rank, {TEXT_SQL} AS t, q.text AS snip FROM rk JOIN documents d USING (doc_id) JOIN benchmark q ON q.item_id = query_id WHERE rank <= 20),
 r AS (SELECT query_id, min(CASE WHEN contains(t, snip) THEN rank END) AS first_rank FROM h GROUP BY ALL)
 SELECT query_id, first_rank, CASE WHEN first_rank = 1 THEN 'ok' WHEN first_rank <= 5 THEN 'rank_low' WHEN first_rank IS NOT NULL THEN 'below_top5' ELSE 'not_retrieved' END AS failure FROM r""")
 def snippet_rank(spark, sf):
-    q = items(spark, sf).select("query_id", F.substring("text", 1, 60).alias("snip"))
+    q = items(spark, sf).select("query_id", F.col("text").alias("snip"))
     h = with_text(spark, sf, hits(spark, sf, 20)).join(q, "query_id")
     r = R.rank_of_first(h, "query_id", F.col("text").contains(F.col("snip")))
     f = F.col("first_rank")

@@ -54,11 +54,35 @@ def html_sections(spark, sf):
         "page_id", "s.heading", F.md5("s.body").alias("body_md5"))
 
 
-@query("html_blocks")
+def sql_plain(c):
+    return f"trim(regexp_replace({sql_unescape_found(f"regexp_replace({c}, '<[^>]+>', ' ', 'g')")}, '[ \\t\\n\\r\\f]+', ' ', 'g'), ' ')"
+
+
+BLOCKS_SQL = rf"""WITH c AS (SELECT page_id, regexp_replace(coalesce(html, ''), '<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>', ' ', 'gis') AS h FROM pages),
+m AS (SELECT page_id, h, string_split('t' || regexp_replace(regexp_replace(regexp_replace(h, '<h[1-4]\b[^>]*>(.*?)</h[1-4]\s*>', chr(1) || 'h\1' || chr(1) || 't', 'gis'),
+ '<tr\b[^>]*>(.*?)</tr\s*>', chr(1) || 'r\1' || chr(1) || 't', 'gis'), '</?table\b[^>]*>', chr(1) || 't', 'gi'), chr(1)) AS ps FROM c),
+e AS (SELECT page_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM m),
+t AS (SELECT page_id, i, p[1] AS k, {sql_plain('p[2:]')} AS x FROM e),
+w AS (SELECT *, coalesce(last_value(CASE WHEN k = 'h' AND x <> '' THEN x END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS heading FROM t WHERE x <> ''),
+b AS (SELECT page_id, i, heading, CASE k WHEN 'h' THEN 'heading' ELSE 'text' END AS kind, CASE WHEN k = 'h' THEN '## ' || x WHEN heading <> '' THEN '[' || heading || '] ' || x ELSE x END AS text FROM w),
+n AS (SELECT page_id, sum(length(text) + 1) - 1 AS size FROM b GROUP BY page_id)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS pos, kind, heading, md5(text) AS text_md5 FROM b JOIN n USING (page_id) WHERE size >= 40
+UNION ALL SELECT page_id, 0, 'plain', '', md5({sql_plain('h')}) FROM c LEFT JOIN n USING (page_id) WHERE coalesce(size, -1) < 40"""
+
+
+@query("html_blocks", BLOCKS_SQL)
 def html_blocks(spark, sf):
     return P.html_blocks(table(spark, sf, "pages"), "page_id", "html").select("page_id", "pos", "kind", "heading", F.md5("text").alias("text_md5"))
 
 
+@query("html_blocks_sql", BLOCKS_SQL)
+def html_blocks_sql(spark, sf):
+    """The same table function called from SQL."""
+    p = table(spark, sf, "pages").select("page_id", "html")
+    P.register_blocks(spark, p.schema["page_id"].dataType)
+    return spark.sql("SELECT key AS page_id, pos, kind, heading, md5(text) AS text_md5 FROM html_blocks(TABLE(SELECT * FROM {p}) PARTITION BY page_id)", p=p)
+
+
 @query("xml_walk", """SELECT o_orderkey, 'status: st-' || o_orderstatus || chr(10) || 'price (cur=usd): ' || printf('%.2f', o_totalprice) || chr(10) || 'tail ' || o_orderpriority AS lines FROM orders""")
 def xml_walk(spark, sf):
     """Order rows as small XML documents with attributes and a namespace, walked back to lines."""

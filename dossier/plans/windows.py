@@ -54,10 +54,10 @@ def cluster_anchor_salted(spark, sf):
     return B.salted_join(d, a, ["lang"], F.col("doc_id"), "inner", threshold=50, salts=8).select("doc_id", "anchor_id")
 
 
-@query("distinct_fact_dedupe", """WITH d AS (SELECT doc_id, n_chars, lower(substr(trim(text), 1, 55)) AS q, source AS fact FROM documents), g AS (SELECT q, count(DISTINCT fact) AS f FROM d GROUP BY q)
+@query("distinct_fact_dedupe", """WITH d AS (SELECT doc_id, n_chars, lower(trim(text)) AS q, source AS fact FROM documents), g AS (SELECT q, count(DISTINCT fact) AS f FROM d GROUP BY q)
 SELECT doc_id FROM (SELECT d.*, f, row_number() OVER (PARTITION BY d.q ORDER BY n_chars DESC, doc_id) AS r FROM d JOIN g ON d.q = g.q) WHERE f > 1 OR r = 1""")
 def distinct_fact_dedupe(spark, sf):
-    d = docs(spark, sf).select("doc_id", "n_chars", F.lower(F.substring(F.trim("text"), 1, 55)).alias("q"), F.col("source").alias("fact"))
+    d = docs(spark, sf).select("doc_id", "n_chars", F.lower(F.trim("text")).alias("q"), F.col("source").alias("fact"))
     return S.dedupe_distinct_facts(d, "q", "fact", "n_chars", "doc_id").select("doc_id")
 
 
@@ -175,11 +175,12 @@ def gap_actions(spark, sf):
 
 
 # ---- sets -----------------------------------------------------------------------
-@query("pool_union", """WITH u AS (SELECT doc_id, 'en' AS tag FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 'long' FROM documents WHERE n_chars > 2000 UNION ALL SELECT doc_id, 'src1' FROM documents WHERE source = 'src1')
-SELECT doc_id, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM u GROUP BY doc_id""")
+@query("pool_union", """WITH u AS (SELECT doc_id, 'en' AS tag FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 'long' FROM documents WHERE n_chars > 2000 UNION ALL SELECT doc_id, 'src1' FROM documents WHERE source = 'src1' UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id % 3 = 0)
+SELECT doc_id, coalesce(string_agg(DISTINCT tag, ',' ORDER BY tag), '') AS tags FROM u GROUP BY doc_id""")
 def pool_union(spark, sf):
     d = docs(spark, sf).select("doc_id", "lang", "source", "n_chars")
     p = [d.filter(c).withColumn("tags", F.array(F.lit(t))) for c, t in (("lang = 'en'", "en"), ("n_chars > 2000", "long"), ("source = 'src1'", "src1"))]
+    p.append(d.filter("doc_id % 3 = 0").withColumn("tags", F.array().cast("array<string>")))  # a pool that tags nothing
     return S.merge_tagged(p, "doc_id", "tags").select("doc_id", F.array_join("tags", ",").alias("tags"))
 
 

@@ -115,3 +115,42 @@ def test_ingest_and_answer(spark, tmp_path):
     assert [e["source"] for e in got[1]["evidence"]] == ["s2"]  # the filter holds
     assert {e["source"] for e in got[2]["evidence"]} == {"s1", "s2"}  # none fits: all stay
     assert got[3]["insufficient"] and got[3]["confidence"] == "low"
+
+
+def test_units_without_tags_and_keys_stay(spark):
+    a = spark.createDataFrame([(1, ["x"]), (2, []), (3, None), (None, ["n", "n"]), (None, None)], "u long, tags array<string>")
+    b = spark.createDataFrame([(1, ["b", "x"]), (2, [None])], "u long, tags array<string>")
+    got = sorted(((r["u"] or 0, r["tags"]) for r in S.merge_tagged([a, b], "u", "tags").collect()), key=str)
+    assert got == [(0, ['n']), (0, []), (1, ['b', 'x']), (2, []), (3, [])]
+    more = S.merge_tagged([a.withColumn("v", F.col("u") * 2)], "u", "tags").collect()
+    assert sorted(r["v"] for r in more if r["v"]) == [2, 4, 6] and more[0].__fields__ == ["u", "tags", "v"]
+
+
+def test_facts_under_questions_with_one_opening_stay(spark):
+    head = "the same long opening of two questions that differ after it, "
+    d = spark.createDataFrame([(1, head + "a", "f", 1), (2, head + "b", "f", 1), (3, head + "b", "f", 2)], "i long, q string, f string, r long")
+    assert sorted(r["i"] for r in S.dedupe_distinct_facts(d, "q", "f", "r", "i").collect()) == [1, 3]
+
+
+def test_hundred_thousand_matches_in_one_text(spark):
+    from dossier.functions.text import occurrences
+    import time
+    d = spark.createDataFrame([("key value é " * 100_000,), (None,), ("none",)], "t string")
+    t0 = time.time()
+    got = d.select(occurrences(F.col("t"), "key", 4).alias("o")).select(F.size("o").alias("n"), F.get("o", F.lit(1)).alias("e")).collect()
+    assert [r["n"] for r in got] == [100_000, 0, 0] and got[0]["e"]["snippet"] == "e é key val" and time.time() - t0 < 20
+
+
+def test_page_blocks(spark):
+    from dossier.sources import pages as P
+    page = ("<!-- <h1>no</h1> --><script>var a = '<h2>x</h2>';</script>lead &amp; text<h2 class='header'>Head <b>one</b></h2>under it is a paragraph"
+            "<table><tr><th>a</th><td>1 &lt; 2</td></tr><tr></tr></table>after<h3> </h3>still under one")
+    d = spark.createDataFrame([(1, page), (None, None), (3, ""), (4, "<p>short</p>"), (5, "x \x01h broken <td> <h1> open" + "y" * 40)], "k long, pos string").repartition(3)
+    got = {}
+    for r in P.html_blocks(d, "k", "pos").collect():
+        got.setdefault(r["k"], []).append((r["pos"], r["kind"], r["heading"], r["text"]))
+    assert sorted(got[1]) == [(0, "text", "", "lead & text"), (1, "heading", "Head one", "## Head one"), (2, "text", "Head one", "[Head one] under it is a paragraph"),
+                              (3, "row", "Head one", "a | 1 < 2"), (4, "text", "Head one", "[Head one] after"), (5, "text", "Head one", "[Head one] still under one")]
+    assert got[None] == got[3] == [(0, "plain", "", "")] and got[4] == [(0, "plain", "", "short")] and len(got[5]) == 1
+    P.register_blocks(spark, d.schema["k"].dataType)
+    assert spark.sql("SELECT * FROM html_blocks(TABLE(SELECT * FROM {d}) PARTITION BY k)", d=d).count() == sum(map(len, got.values()))
