@@ -8,7 +8,7 @@ from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from dossier.session import checkpoint_dir
 
@@ -43,6 +43,16 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hash63(*cols) -> Column:
+    """A hash from 0 to 2^63 - 1, to draw rows by."""
+    return F.xxhash64(*cols).bitwiseAND(F.lit((1 << 63) - 1))
+
+
+def hash_limit(rows: int, have: int) -> int:
+    """What ``hash63`` must not exceed so that about ``rows`` of ``have`` pass; never zero at any size, all where there are fewer."""
+    return (1 << 63) - 1 if have <= rows else (rows << 63) // have
+
+
 def byte_words(text: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes, A-Z in lower case; bytes methods know ASCII only."""
     return text.lower().split()

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dossier.llm.common import map_arrow
+from dossier.llm.common import hash63, hash_limit, map_arrow
 
 KINDS = ["assign", "access", "hex", "random"]
 # The base patterns with their least lengths.
@@ -41,8 +41,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _free(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
-    return all(e <= start or end <= s for s, e, _ in spans)
+def free(tokens: Iterator[re.Match], spans: list[tuple[int, int, int]]) -> Iterator[re.Match]:
+    """Tokens, given from left to right, that touch no span; one walk over both."""
+    ends: list[tuple[int, int]] = []  # of the spans, overlapping ones merged
+    for s, e, _ in sorted(spans):
+        if ends and s <= ends[-1][1]:
+            ends[-1] = (ends[-1][0], max(e, ends[-1][1]))
+        else:
+            ends.append((s, e))
+    i = 0
+    for m in tokens:
+        while i < len(ends) and ends[i][1] <= m.start():
+            i += 1
+        if i == len(ends) or ends[i][0] >= m.end():
+            yield m
 
 
 def codes(token: str) -> np.ndarray:
@@ -85,16 +97,15 @@ def train(docs: DataFrame, item: str = "doc_id", text: str = "text", rows: int =
                 for s, e, k in spans:
                     c = codes(ASSIGN.match(t[s:e])[1].replace(".", "-") if k == 0 else t[s:e])
                     np.add.at(n[1], c[:-1] * size + c[1:], 1)
-                for m in SAMPLE_TOKEN.finditer(t):
-                    if _free(m.start(), m.end(), spans):
-                        c = codes(m[0])
-                        np.add.at(n[0], c[:-1] * size + c[1:], 1)
+                for m in free(SAMPLE_TOKEN.finditer(t), spans):
+                    c = codes(m[0])
+                    np.add.at(n[0], c[:-1] * size + c[1:], 1)
         label, pair = np.nonzero(n)
         yield {"label": label.astype(np.int32), "pair": pair.astype(np.int32), "n": n[label, pair]}
 
-    share = min(1.0, rows / max(1, docs.count()))
+    limit = hash_limit(rows, docs.count())
     part = docs.select(F.col(text).alias("t"), F.col(item).alias("i")).filter("t is not null").filter(
-        F.pmod(F.xxhash64("i", "t"), F.lit(1_000_000)) < int(share * 1_000_000)).select("t")
+        hash63("i", "t") <= limit).select("t")
     counts = np.zeros((2, size, size))
     for r in map_arrow(part, run, "label int, pair int, n long").groupBy("label", "pair").agg(F.sum("n").alias("n")).collect():
         counts[r["label"], r["pair"] // size, r["pair"] % size] = r["n"]
@@ -123,11 +134,10 @@ def find(docs: DataFrame, item: str = "doc_id", text: str = "text", model: np.nd
 def all_spans(text: str, llr: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
     found = base_spans(text)
     more = []
-    for m in TOKEN.finditer(text):
-        if _free(m.start(), m.end(), found):
-            c = codes(m[0])
-            if llr[c[:-1], c[1:]].sum() >= threshold:
-                more.append((m.start(), m.end(), 3))
+    for m in free(TOKEN.finditer(text), found):
+        c = codes(m[0])
+        if llr[c[:-1], c[1:]].sum() >= threshold:
+            more.append((m.start(), m.end(), 3))
     return sorted(found + more, key=lambda x: (x[0], x[2]))
 
 

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dossier.llm.common import map_arrow, stored, worker_cache
+from dossier.llm.common import hash63, hash_limit, map_arrow, stored, worker_cache
 
 BITS = 18  # of a bucket's number
 TRAIN_ROWS = 20_000  # labelled rows of each class that the model is fitted on, at most about
@@ -104,17 +104,12 @@ def sampled(labels: DataFrame, item: str, label: str, rows: int) -> tuple[DataFr
     one = labels.select(F.col(item).alias("_k"), (F.col(label) > 0).cast("int").alias("y")).filter("_k is not null and y is not null").groupBy(
         "_k").agg(F.max("y").alias("y"))
     sizes = {r["y"]: r["n"] for r in one.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    limit = {y: threshold(rows, n) for y, n in sizes.items()}
-    draw = F.xxhash64(F.lit("toxicity"), F.col("_k")).bitwiseAND(F.lit((1 << 63) - 1))
+    limit = {y: hash_limit(rows, n) for y, n in sizes.items()}
+    draw = hash63(F.lit("toxicity"), F.col("_k"))
     least = F.when(F.col("y") == 1, F.lit(limit.get(1, 0))).otherwise(F.lit(limit.get(0, 0)))
     return one.filter(draw <= least), {y: n / sum(sizes.values()) for y, n in sizes.items()}
 
 
-def threshold(rows: int, have: int) -> int:
-    """Of a hash of 63 bits, so that about ``rows`` of ``have`` pass; all pass where there are fewer."""
-    return (1 << 63) - 1 if have <= rows else (rows << 63) // have
-
-
 def fit(y: np.ndarray, weight: np.ndarray, at: list[np.ndarray], x: list[np.ndarray], scale: np.ndarray, rank: int = RANK,
         epochs: int = EPOCHS, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
     """Weighted logistic loss by adaptive gradient steps over small batches."""

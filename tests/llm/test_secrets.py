@@ -5,6 +5,8 @@ import random
 import re
 import string
 
+import numpy as np
+
 from dossier.llm import queries, secrets
 
 CASES = [None, "", "x" * 200_000, "password=abc", "PassWord : 'abcdef'", "token=token:abcdefgh", "api_key = \"AbC123.-/+\" secret=zzzzzz",
@@ -51,3 +53,19 @@ def test_redaction_and_empty(spark):
     got = [r[0] for r in df.orderBy("doc_id").select(secrets.redacted(df["text"], model)).collect()]
     assert got == ["a [SECRET] b", None, "clean"]
     assert secrets.find(df.limit(0)).count() == 0
+
+
+def test_free_tokens_against_every_span_and_in_linear_time():
+    import random
+    import re
+    import time
+    rnd = random.Random(3)
+    for _ in range(200):
+        text = "".join(rnd.choices("ab ", k=60))
+        spans = [(s, s + rnd.randint(1, 9), 0) for s in rnd.choices(range(60), k=rnd.randint(0, 6))]
+        want = [m.span() for m in re.finditer("[ab]+", text) if all(e <= m.start() or m.end() <= s for s, e, _ in spans)]
+        assert [m.span() for m in secrets.free(re.finditer("[ab]+", text), spans)] == want
+    text = "".join(f"password = s3cr3tvalue{i:06d} plain{i:030d} " for i in range(100_000))
+    t0 = time.time()
+    found = secrets.all_spans(text, np.zeros((68, 68)), 1.0)
+    assert sum(k == 0 for _, _, k in found) == 100_000 and time.time() - t0 < 30

@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from dossier.llm import queries, toxicity
+from dossier.llm.common import hash_limit
 
 
 def test_score_is_the_sum_over_pairs():
@@ -26,8 +27,8 @@ def test_values_count_words_and_their_beginnings():
 
 
 def test_share_of_the_sample_never_reaches_zero():
-    assert toxicity.threshold(20_000, 10 ** 15) > 0 and toxicity.threshold(5, 5) == (1 << 63) - 1
-    assert abs(toxicity.threshold(10, 1000) / 2 ** 63 - .01) < 1e-9
+    assert hash_limit(20_000, 10 ** 15) > 0 and hash_limit(5, 5) == (1 << 63) - 1
+    assert abs(hash_limit(10, 1000) / 2 ** 63 - .01) < 1e-9
 
 
 def table(spark, rows):
