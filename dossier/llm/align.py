@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate, repeat
 from pathlib import Path
 
 import numpy as np
@@ -32,23 +34,24 @@ SPACE = "▁"  # how pieces write a space
 
 
 class Byte:
-    """Ids and byte lengths of a byte-level vocabulary (the ``.tiktoken`` file beside the ``.json`` one); ids equal those of ``tokenizers``."""
+    """Ids and token bytes of a byte-level vocabulary (the ``.tiktoken`` file beside the ``.json`` one); ids equal those of ``tokenizers``."""
 
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).with_suffix(".tiktoken").read_bytes().splitlines())}
         self.bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.text = {i: b for b, i in ranks.items()}
+        self.text = [b""] * (max(ranks.values()) + 1)
+        for b, i in ranks.items():
+            self.text[i] = b
         self.splits = True
 
-    def encode(self, text: str) -> tuple[list[int], list[bytes]]:
-        ids = self.bpe.encode_ordinary(text)
-        return ids, [self.text[i] for i in ids]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return list(map(self.bpe.encode_ordinary, texts))
 
 
 class Piece:
-    """Ids and bytes of a sentencepiece vocabulary, which writes a space before the text by itself."""
+    """Ids and token bytes of a sentencepiece vocabulary, which writes a space before the text by itself."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -57,27 +60,14 @@ class Piece:
         self.text = [bytes([int(p[1:-1], 16)]) if m.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in pieces)  # no piece crosses from a word into the next space
 
-    def encode(self, text: str) -> tuple[list[int], list[bytes]]:
-        """``text`` begins with the space that the model adds."""
-        ids = self.model.encode(text[1:], num_threads=1)
-        return ids, [self.text[i] for i in ids]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The texts begin with the space that the model adds."""
+        return self.model.encode([t[1:] for t in texts], num_threads=1)
 
 
-def ends(pieces: list[bytes]) -> dict[int, int]:
-    """Cumulative byte end -> index of the token that ends there (the last of them)."""
-    at, out = 0, {}
-    for i, p in enumerate(pieces):
-        at += len(p)
-        out[at] = i
-    return out
-
-
-def slices(a: dict[int, int], b: dict[int, int]) -> Iterator[tuple[int, int, int, int]]:
-    """(first A, past A, first B, past B) of every group, in order."""
-    i = j = 0
-    for e in sorted(a.keys() & b.keys()):
-        yield i, a[e] + 1, j, b[e] + 1
-        i, j = a[e] + 1, b[e] + 1
+def ends(lengths: list[int], ids: list[int]) -> dict[int, int]:
+    """Cumulative byte end -> number of tokens up to it. Tokens are never empty, so ends differ."""
+    return dict(zip(accumulate([lengths[i] for i in ids]), range(1, len(ids) + 1)))
 
 
 class Aligner:
@@ -85,40 +75,42 @@ class Aligner:
 
     def __init__(self, a: str, b: str):
         self.a, self.b = Byte(a), Piece(b)
+        self.sizes = [list(map(len, x.text)) for x in (self.a, self.b)]
+        self.names = list(map(str, range(max(map(len, self.sizes)))))
         self.cut = re.compile(f"(?<=[{PLAIN}])(?= [{PLAIN}])").split if self.a.splits and self.b.splits else lambda t: [t]
         self.known: dict[str, tuple | None] = {}
 
-    def word(self, text: str) -> tuple[int, int, int, str, bytes] | None:
+    def word(self, text: str, ids_a: list[int], ids_b: list[int]) -> tuple[int, int, int, str, bytes] | None:
         """None where either side's bytes are not those of the text."""
-        raw = text.encode()
-        ids_a, bytes_a = self.a.encode(text)
-        ids_b, bytes_b = self.b.encode(text)
-        if b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
+        raw, text_a, text_b, names = text.encode(), self.a.text, self.b.text, self.names
+        if b"".join([text_a[i] for i in ids_a]) != raw or b"".join([text_b[i] for i in ids_b]) != raw:
             return None
-        groups, links = [], []
-        for a0, a1, b0, b1 in slices(ends(bytes_a), ends(bytes_b)):
-            groups.append(f"{','.join(map(str, ids_a[a0:a1]))}|{','.join(map(str, ids_b[b0:b1]))}")
-            links.append(ids_a[a1 - 1] << 32 | ids_b[b1 - 1])  # tokens are never empty: one of each side ends with the slice
-        return len(ids_a), len(ids_b), len(groups), ";".join(groups), np.array(links, np.int64).tobytes()
+        ends_a, ends_b = ends(self.sizes[0], ids_a), ends(self.sizes[1], ids_b)
+        said_a, said_b = [names[i] for i in ids_a], [names[i] for i in ids_b]
+        groups, links, i, j = [], [], 0, 0
+        for e in sorted(ends_a.keys() & ends_b.keys()):
+            k, l = ends_a[e], ends_b[e]  # noqa: E741
+            groups.append((said_a[i] if k - i == 1 else ",".join(said_a[i:k])) + "|" + (said_b[j] if l - j == 1 else ",".join(said_b[j:l])))
+            links.append(ids_a[k - 1] << 32 | ids_b[l - 1])  # one token of each side ends with the slice
+            i, j = k, l
+        return len(ids_a), len(ids_b), len(groups), ";".join(groups), array("q", links).tobytes()
+
+    def learn(self, words: list[str]) -> dict[str, tuple | None]:
+        found = dict(zip(words, map(self.word, words, self.a.encode(words), self.b.encode(words))))
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        self.known.update((w, v) for w, v in found.items() if len(w) <= CACHE_CHARS)
+        return found
 
     def align(self, text: str | None) -> tuple[int, int, int, str, np.ndarray] | None:
         """None for null and empty texts and those that an encoding does not give back."""
         if not text:
             return None
-        words, known = self.cut(f" {text}"), self.known
-        try:
-            parts = [known[w] for w in words]
-        except KeyError:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            parts = []
-            for w in words:
-                if w in known:
-                    parts.append(known[w])
-                else:
-                    parts.append(self.word(w))
-                    if len(w) <= CACHE_CHARS:
-                        known[w] = parts[-1]
+        words = self.cut(f" {text}")
+        parts = list(map(self.known.get, words, repeat(0)))
+        if 0 in parts:
+            new = self.learn(list(dict.fromkeys([w for w, p in zip(words, parts) if p == 0])))
+            parts = [new[w] if p == 0 else p for w, p in zip(words, parts)]
         if None in parts:
             return None
         n_a, n_b, n, groups, links = zip(*parts)
