@@ -64,7 +64,17 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], row_id: Colum
 NULL_PIECE = 1 << 40  # rows without an order value come after all others
 
 
-def order_bucket(df: DataFrame, order: Column, target_rows: int = 1_000_000) -> DataFrame:
+def _cuts(df: DataFrame, order: Column, target_rows: int) -> list | None:
+    """Approximate quantiles that cut the rows in pieces of about ``target_rows``; None where all rows, nulls included, fit in one (one count)."""
+    n, every = df.agg(F.count(order), F.count(F.lit(1))).first()
+    pieces = max(1, -(-int(n) // target_rows))
+    if every <= target_rows:
+        return None
+    return [] if pieces == 1 else sorted(set(df.agg(F.percentile_approx(
+        order, [i / pieces for i in range(1, pieces)], max(10_000, 20 * pieces))).first()[0] or []))
+
+
+def order_bucket(df: DataFrame, order: Column, target_rows: int = 1_000_000, cuts: list | None = None) -> DataFrame:
     """Add ``_b``: ranges of a numeric order key that hold about ``target_rows`` each, so a hot group is cut in pieces.
 
     Cut points are approximate quantiles, so clustered keys are cut as well;
@@ -73,10 +83,7 @@ def order_bucket(df: DataFrame, order: Column, target_rows: int = 1_000_000) ->
     up to). Null order values are a piece of their own, after the others. A row
     is compared with about twice the square root of the number of pieces.
     """
-    n = df.agg(F.count(order)).first()[0]
-    pieces = max(1, -(-int(n) // target_rows))
-    cuts = [] if pieces == 1 else sorted(set(df.agg(F.percentile_approx(
-        order, [i / pieces for i in range(1, pieces)], max(10_000, 20 * pieces))).first()[0] or []))
+    cuts = (_cuts(df, order, target_rows) or []) if cuts is None else cuts
     step = max(1, int(len(cuts) ** 0.5))
     groups = [cuts[i:i + step] for i in range(0, len(cuts), step)]
     below = lambda xs: F.size(F.filter(F.array(*[F.lit(x) for x in xs]), lambda x: x < order)) if xs else F.lit(0)
@@ -94,9 +101,13 @@ def number_rows(df: DataFrame, keys: list[str], order_cols: list[Column], bucket
     """Row number per key (null is a key) for groups of any size; rows without ``bucket_on`` come last.
 
     ``bucket_on`` is the leading numeric order key. Each (key, piece) is ordered
-    on its own; piece sizes, one row each, give the offsets.
+    on its own; piece sizes, one row each, give the offsets. A table that fits
+    in one piece, nulls included, is numbered by one window.
     """
-    b = order_bucket(df, bucket_on, target_rows)
+    cuts = _cuts(df, bucket_on, target_rows)
+    if cuts is None:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(bucket_on.isNull(), *order_cols)).cast("long"))
+    b = order_bucket(df, bucket_on, target_rows, cuts)
     sizes = b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
@@ -109,9 +120,14 @@ def forward_fill(df: DataFrame, keys: list[str], order: Column, cols: list[str],
     """Last non-null value so far per key (null is a key), for groups of any size; rows without an order value come last.
 
     A window runs inside each (key, piece); the last value of every piece is
-    carried into the later ones through a table with one row per piece.
+    carried into the later ones through a table with one row per piece. A table
+    that fits in one piece, nulls included, needs one window alone.
     """
-    b = order_bucket(df, order, target_rows)
+    cuts = _cuts(df, order, target_rows)
+    if cuts is None:
+        w = Window.partitionBy(*keys).orderBy(order.asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
+    b = order_bucket(df, order, target_rows, cuts)
     w = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     last = b.groupBy(*keys, "_b").agg(*[
         F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(f"_l_{c}") for c in cols])
