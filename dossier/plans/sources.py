@@ -9,7 +9,7 @@ from dossier.functions import signals as S, text as T
 from dossier.plans.base import WS, query, sql_pad, table
 from dossier.plans.text import _sql_unescape
 from dossier.session import checkpoint_dir
-from dossier.sources import files as FI, pages as P, records as RC, sinks as SK
+from dossier.sources import files as FI, pages as P, records as RC, sinks as SK, stored as ST
 
 
 def scratch(spark, name):
@@ -441,3 +441,27 @@ def corpus_file_filter(spark, sf):
     ext = F.when((k % 3 == 0) | F.col("url").contains("page="), "md").otherwise("exe")
     l = table(spark, sf, "pages").select("page_id", F.concat(F.lit("d/"), k.cast("string"), F.lit("."), ext).alias("rel"), F.lit("x").alias("name"), ext.alias("ext"))
     return FI.corpus_files(l, l.select("rel")).select("page_id")
+
+
+def stored_documents(spark, sf, name):
+    path = scratch(spark, name)
+    d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars", "source")
+    ST.create(d, path, ["lang"], "source")
+    return d, path
+
+
+@query("delete_in_place", "SELECT lang, source, count(*) AS n, sum(doc_id) AS ids, (SELECT count(*) FROM documents WHERE source IN ('src1', 'src7')) AS removed FROM documents WHERE source NOT IN ('src1', 'src7') GROUP BY ALL")
+def delete_in_place(spark, sf):
+    """Two sources taken out of a stored table; the partitions that hold them are rewritten."""
+    d, path = stored_documents(spark, sf, "inplace")
+    removed, _ = ST.delete_keys(spark, path, ["lang"], "source", d.filter(F.col("source").isin("src1", "src7")).select("source"))
+    return ST.open_table(spark, path).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids")).withColumn("removed", F.lit(removed).cast("long"))
+
+
+@query("replace_in_place", """SELECT lang, source, count(*) AS n, sum(n_chars) AS chars FROM (SELECT lang, source, n_chars FROM documents WHERE source <> 'src3' UNION ALL SELECT 'new', 'src3', n_chars + 1 FROM documents WHERE source = 'src3') GROUP BY ALL""")
+def replace_in_place(spark, sf):
+    """All rows of a source give way to new ones, which lie in another partition."""
+    d, path = stored_documents(spark, sf, "inplace")
+    new = d.filter("source = 'src3'").select("doc_id", F.lit("new").alias("lang"), (F.col("n_chars") + 1).alias("n_chars"), "source")
+    ST.replace_keys(spark, path, ["lang"], "source", new)
+    return ST.open_table(spark, path).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
