@@ -15,6 +15,13 @@ PAGES = [
     (f"<article><p>{LONG}</p><script>if (a < b) {{ x('</p>') }}</script><style>p{{}}</style><!-- gone --><p>z</p></article>", f"{LONG.strip()}\nz"),
     (f"<article><p><b>{LONG}<br><p>next</p></article><footer>x</footer>", f"{LONG.strip()}\nnext"),
     (f"<article><p>{LONG}</p><p>cut he</p><foot", f"{LONG.strip()}\ncut he"),
+    (f"<article><p>{LONG}</p></article><div class=ad>{LONG}</div><article><h2>Two</h2><p>{LONG}</p><p>z</p></article>",
+     f"{LONG.strip()}\nTwo\n{LONG.strip()}\nz"),
+    (f"<article><div class='entry-header'><h1>T</h1><p>lead</p></div><p>{LONG}</p></article>", f"T\nlead\n{LONG.strip()}"),
+    (f"<div id=page><div class='post-header'><h1>T</h1></div><div class=lead><p>{LONG}</p></div><div class=text>{f'<p>{LONG}</p>' * 8}<p>z</p></div></div>",
+     "\n".join(["T"] + [LONG.strip()] * 9 + ["z"])),
+    (f"<div><p>{LONG}</p><p>{LONG}</p>{'<li><a href=x>more of it</a></li>' * 5}</div>", f"{LONG.strip()}\n{LONG.strip()}"),
+    (f"<article><p>{LONG}</p><p>{LONG}</p></article><article><p><a href=x>Next</a> one</p></article>", f"{LONG.strip()}\n{LONG.strip()}"),
     (f"<article><p>{LONG}</p><table><tr><td>a<td>b<tr><td>c</table></article>", f"{LONG.strip()}\na b\nc"),
 ]
 
@@ -24,6 +31,19 @@ def test_pages(page, text):
     assert html.main_text(page) == text
 
 
+def test_the_ratios_decide(monkeypatch):
+    body = "".join(f"<div><p>{t}</p></div>" for t in ("x", "y", LONG, LONG, LONG, "z", "w"))
+    assert html.main_text(body) == "\n".join([LONG.strip()] * 3)
+    found = html.ratios
+    monkeypatch.setattr(html, "ratios", lambda lines: found(lines)[[2, 3, 4, 0, 1, 5, 6]])
+    assert html.main_text(body) == "\n".join(["x", "y", LONG.strip()])
+
+
+def test_equal_regions_are_both_kept():
+    part = f"<section><h2>H</h2><p>{LONG}</p></section>"
+    assert html.main_text(part * 2) == "\n".join(["H", LONG.strip()] * 2)
+
+
 def test_deep_and_long():
     assert html.main_text("<div>" * 50_000 + LONG) == LONG.strip()
     assert len(html.main_text(f"<p>{LONG * 20_000}</p>")) > 5_000_000
