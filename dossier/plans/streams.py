@@ -8,6 +8,7 @@ from dossier.operators.chunking import chunk_chars
 from dossier.functions.text import content_id
 from dossier.plans.base import query, sql_char_chunks, table
 from dossier.plans.sources import scratch
+from dossier.streaming import changes as CH
 
 
 def stream_of(spark, sf, name):
@@ -56,3 +57,20 @@ def stream_sessions(spark, sf):
 SELECT user_id, count(*) AS n FROM s GROUP BY user_id, sid""")
 def batch_sessions(spark, sf):
     return table(spark, sf, "events").groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", "n")
+
+
+@query("stream_source_changes", f"""WITH c AS ({sql_char_chunks()}), lo AS (SELECT min(source) AS s FROM documents)
+SELECT c.source, count(DISTINCT (c.doc_id, c.chunk_id, c.text)) AS chunks FROM c JOIN documents d ON c.doc_id = d.doc_id, lo
+WHERE c.source IS DISTINCT FROM lo.s OR d.lang = 'en' GROUP BY c.source""")
+def stream_source_changes(spark, sf):
+    """Every document is added, one source is deleted, its English documents come back; then all of it is replayed."""
+    gone = F.col("source") == F.lit(table(spark, sf, "documents").agg(F.min("source")).first()[0])
+    event = lambda op, n: F.struct(F.lit(op).alias("op"), F.lit(n).alias("seq"))
+    e = stream_of(spark, sf, "documents").select(
+        "doc_id", "source", "text", F.explode(F.filter(F.array(
+            event("add", 1), F.when(gone, event("delete", 2)), F.when(gone & (F.col("lang") == "en"), event("add", 3))), lambda x: x.isNotNull())).alias("e")).select(
+        "doc_id", "source", "text", "e.*")
+    out = scratch(spark, "chg")
+    for name in ("ck", "ck"):  # two checkpoints: the second run replays all events
+        ST.run_once(spark, e, out, scratch(spark, name), batch=CH.merge_changes(out))
+    return CH.live_chunks(spark.read.parquet(out)).groupBy("source").agg(F.count(F.lit(1)).alias("chunks"))
