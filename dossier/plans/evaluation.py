@@ -3,10 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dossier.operators import classify as CL, evaluation as E, joins as J
+from dossier.operators import classify as CL, evaluation as E, joins as J, measures as MS
 from dossier.plans.base import WS, query, sql_tokens, table
 from dossier.plans.ranking import BM, EXPECT, expected, hits, items, rk
 from dossier.plans.text import PAIRS, _grams, turn_pairs
+from dossier.session import materialise
 
 
 @query("source_match", BM + EXPECT + rk() + """, h AS (SELECT rk.query_id, rank, rk.doc_id, d.source, ex.doc_id IS NOT NULL AS is_exp FROM rk JOIN documents d USING (doc_id) LEFT JOIN ex ON ex.query_id = rk.query_id AND ex.doc_id = rk.doc_id WHERE rank <= 10),
@@ -319,3 +320,29 @@ def fusion_failures(spark, sf):
     g = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.countDistinct("l_suppkey").alias("docs"), F.count(F.lit(1)).alias("n"), (F.max("l_quantity") - F.min("l_quantity")).alias("sp"))
     st = ladder([(F.col("n") < 20, "extraction"), (F.col("docs") < 2, "single_source"), (F.col("sp") > 48, "equivalence")], "ok")
     return g.groupBy(st.alias("stage")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("merged_measures", """WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, user_id, value FROM events),
+l AS (SELECT 'all' AS level, 'all' AS part, * FROM e UNION ALL SELECT 'day', day, * FROM e UNION ALL SELECT 'type', event_type, * FROM e)
+SELECT level, part, count(*) AS n_rows, count(value) AS n, round(avg(value), 6) AS mean_value, min(value) AS least, max(value) AS most,
+ true AS p50_in_bounds, true AS p95_in_bounds, true AS users_in_bounds FROM l GROUP BY ALL""")
+def merged_measures(spark, sf):
+    """One measure table by day and type, merged to three levels; sketches are held against exact ranks and counts of the rows."""
+    e = table(spark, sf, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    kept = materialise(MS.measure(e, ["day", "event_type"], "value", "user_id"))
+    levels = {"all": F.lit("all"), "day": F.col("day"), "type": F.col("event_type")}
+    parts = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), c.alias("part")) for k, c in levels.items())))
+    merged = MS.roll_up(kept.withColumn("_l", parts).select("_l.*", *MS.COLUMNS), ["level", "part"]).select(
+        "level", "part", "n_rows", "n", F.round(MS.mean(), 6).alias("mean_value"), "least", "most",
+        MS.quantile(0.5).alias("p50"), MS.quantile(0.95).alias("p95"), MS.distinct().alias("users"))
+    exact = e.withColumn("_l", parts).select("_l.*", "value", "user_id").join(merged.select("level", "part", "p50", "p95"), ["level", "part"])
+    share = lambda c, op: F.avg(F.when(op, 1.0).otherwise(0.0))
+    ranks = exact.groupBy("level", "part").agg(
+        *(share(p, F.col("value") < F.col(p)).alias(f"{p}_below") for p in ("p50", "p95")),
+        *(share(p, F.col("value") <= F.col(p)).alias(f"{p}_upto") for p in ("p50", "p95")), F.countDistinct("user_id").alias("true_users"))
+    # Twice the error of 99 in 100; a group of n values has ranks no finer than 1 / n.
+    slack = 2 * MS.rank_error() + 1 / F.col("n")
+    ok = [((F.col(f"{p}_below") <= s + slack) & (F.col(f"{p}_upto") >= s - slack)).alias(f"{p}_in_bounds") for p, s in (("p50", .5), ("p95", .95))]
+    return merged.join(ranks, ["level", "part"]).select(
+        "level", "part", "n_rows", "n", "mean_value", "least", "most", *ok,
+        (F.abs(F.col("users") - F.col("true_users")) <= F.col("true_users") * MS.distinct_error()).alias("users_in_bounds"))
