@@ -13,7 +13,8 @@ from dossier.streaming import changes as CH
 
 def stream_of(spark, sf, name):
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    s = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # A pattern, as a plain path to one file is refused by streams; a table may be one file or a folder of files.
+    s = spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
     return s.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in s.columns else s
 
 
