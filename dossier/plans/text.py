@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dossier.functions import numbers as N, signals as S, text as T
-from dossier.operators.bounds import spread
+from dossier.operators.bounds import ordered_sum, spread
 from dossier.plans.base import WS, query, sql_tokens, table
 
 TOK = sql_tokens("text")
@@ -172,7 +172,8 @@ r AS (SELECT y.o_custkey, y, v, doc_year, row_number() OVER (PARTITION BY y.o_cu
 SELECT o_custkey, CAST(v AS BIGINT) AS value FROM r WHERE off = least(2, n - 1)""")
 def period_offset(spark, sf):
     """Yearly sums rendered as period fields; the value two terms back, or the oldest."""
-    y = table(spark, sf, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.round(F.sum("o_totalprice")).alias("v"))
+    y = ordered_sum(table(spark, sf, "orders").withColumn("y", F.year("o_orderdate")), ["o_custkey", "y"], "o_totalprice", "o_orderkey", "v").withColumn(
+        "v", F.round("v"))
     doc = y.groupBy("o_custkey").agg(
         F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("term "), F.col("y").cast("string")),
                                                    F.concat(F.format_string("%,d", F.col("v").cast("long")), F.lit(" KRW"))))).alias("m"),
