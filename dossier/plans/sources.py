@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from dossier.functions import signals as S, text as T
+from dossier.operators.bounds import ordered_sum
 from dossier.plans.base import WS, query, sql_pad, table
 from dossier.plans.text import _sql_unescape
 from dossier.session import checkpoint_dir
@@ -253,8 +254,8 @@ def workbook_registry(spark, sf):
 @query("wide_to_long", """WITH p AS (SELECT o_custkey, year(o_orderdate) AS y, sum(o_totalprice) AS v FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1998 GROUP BY ALL)
 SELECT o_custkey, y AS year, CASE WHEN v < 200000 THEN '' ELSE CAST(CAST(round(v) AS BIGINT) AS VARCHAR) END AS value, CASE WHEN v < 200000 THEN 'Not disclosed' ELSE 'matched' END AS disclosure_status FROM p""")
 def wide_to_long(spark, sf):
-    y = table(spark, sf, "orders").withColumn("y", F.year("o_orderdate")).groupBy("o_custkey").pivot(
-        "y", [1996, 1997, 1998]).agg(F.sum("o_totalprice"))
+    o = table(spark, sf, "orders").withColumn("y", F.year("o_orderdate"))
+    y = ordered_sum(o, ["o_custkey", "y"], "o_totalprice", "o_orderkey", "v").groupBy("o_custkey").pivot("y", [1996, 1997, 1998]).agg(F.first("v"))
     cols = []
     for k in (1996, 1997, 1998):
         v = F.col(str(k))
