@@ -17,7 +17,7 @@ import base64
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate, repeat
+from itertools import accumulate, chain, repeat
 from pathlib import Path
 
 import numpy as np
@@ -76,6 +76,7 @@ class Aligner:
     def __init__(self, a: str, b: str):
         self.a, self.b = Byte(a), Piece(b)
         self.sizes = [list(map(len, x.text)) for x in (self.a, self.b)]
+        self.lengths = [np.array(x, np.int64) for x in self.sizes]
         self.names = list(map(str, range(max(map(len, self.sizes)))))
         self.cut = re.compile(f"(?<=[{PLAIN}])(?= [{PLAIN}])").split if self.a.splits and self.b.splits else lambda t: [t]
         self.known: dict[str, tuple | None] = {}
@@ -95,8 +96,33 @@ class Aligner:
             i, j = k, l
         return len(ids_a), len(ids_b), len(groups), ";".join(groups), array("q", links).tobytes()
 
+    def many(self, words: list[str], ids_a: list[list[int]], ids_b: list[list[int]]) -> list[tuple | None]:
+        """``word`` for all of them laid end to end: the ends of words are ends of both sides. One by one if some bytes differ."""
+        raw = [w.encode() for w in words]
+        a, b = list(chain.from_iterable(ids_a)), list(chain.from_iterable(ids_b))
+        whole = b"".join(raw)
+        if b"".join([self.a.text[i] for i in a]) != whole or b"".join([self.b.text[i] for i in b]) != whole:
+            return list(map(self.word, words, ids_a, ids_b))
+        x, y = np.array(a, np.int64), np.array(b, np.int64)
+        end_a, end_b = np.cumsum(self.lengths[0][x]), np.cumsum(self.lengths[1][y])
+        end = np.cumsum(list(map(len, raw)))
+        n_a, n_b = list(map(len, ids_a)), list(map(len, ids_b))
+        if not all(np.array_equal(np.r_[0, e][np.cumsum(n)], end) for e, n in ((end_a, n_a), (end_b, n_b))):
+            return list(map(self.word, words, ids_a, ids_b))
+        to_b = np.searchsorted(end_b, end_a)
+        last_a = np.flatnonzero(end_b[to_b] == end_a)  # both sides end with the text, so every place is one
+        last_b = to_b[last_a]
+        links = (x[last_a] << 32 | y[last_b]).tobytes()
+        said_a, said_b = [self.names[i] for i in a], [self.names[i] for i in b]
+        groups, i, j = [], 0, 0
+        for k, l in zip((last_a + 1).tolist(), (last_b + 1).tolist()):  # noqa: E741
+            groups.append((said_a[i] if k - i == 1 else ",".join(said_a[i:k])) + "|" + (said_b[j] if l - j == 1 else ",".join(said_b[j:l])))
+            i, j = k, l
+        upto = np.searchsorted(end_a[last_a], end, "right").tolist()
+        return [(m, n, v - u, ";".join(groups[u:v]), links[8 * u:8 * v]) for m, n, u, v in zip(n_a, n_b, [0, *upto], upto)]
+
     def learn(self, words: list[str]) -> dict[str, tuple | None]:
-        found = dict(zip(words, map(self.word, words, self.a.encode(words), self.b.encode(words))))
+        found = dict(zip(words, self.many(words, self.a.encode(words), self.b.encode(words))))
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         self.known.update((w, v) for w, v in found.items() if len(w) <= CACHE_CHARS)
