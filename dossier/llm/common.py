@@ -62,6 +62,11 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def few(batch: pa.RecordBatch, rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces, so that Python holds the values of a few rows beside it and not all of them twice."""
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
 def worker_cache(name: str, make):
     """A value kept by the Python worker process between tasks. Functions travel by value, so their globals do not stay.
 
@@ -95,6 +100,7 @@ def map_arrow(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [v if isinstance(v, pa.Array) else pa.array(v, f.type, from_pandas=False) for v, f in
                  ((cols[f.name], f) for f in arrow)], schema=arrow)
+        pa.default_memory_pool().release_unused()  # what the task's batches took; the worker lives on
 
     return df.mapInArrow(run, out)
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dossier.llm.common import hash63, hash_limit, map_arrow, worker_cache
+from dossier.llm.common import few, hash63, hash_limit, map_arrow, worker_cache
 
 CHUNK = 4096  # starts of a word looked up at once
 MODEL_CELLS = 64_000_000  # languages x pieces, at most; they go to every worker
@@ -122,7 +122,8 @@ def as_bytes(word: str) -> bytes:
 
 def forward(pieces: Pieces, words: list[bytes], logp: np.ndarray) -> np.ndarray:
     """(word, language): log probability of all segmentations. Words have one length; the last positions alone are kept."""
-    n, size = len(words[0]), pieces.longest + 1
+    n = len(words[0])
+    size = min(pieces.longest, n) + 1
     ring = np.full((size, len(words), logp.shape[1]), -np.inf)
     ring[0] = 0.0
     for i, edges in pieces.starts(words):
@@ -160,7 +161,7 @@ def expected(counts: dict[bytes, np.ndarray], pieces: Pieces, logp: np.ndarray,
     for ws in by_length(counts):
         f = forward_all(pieces, ws, logp)
         n = np.stack([counts[w] for w in ws])
-        ring = np.full((pieces.longest + 1, len(ws), logp.shape[1]), -np.inf)  # backward, the next positions alone
+        ring = np.full((min(pieces.longest, len(ws[0])) + 1, len(ws), logp.shape[1]), -np.inf)  # backward, the next positions alone
         ring[len(ws[0]) % len(ring)] = 0.0
         for i, edges in pieces.starts(ws, back=True):
             b = np.full(ring[0].shape, -np.inf)
@@ -222,7 +223,7 @@ def train(docs: DataFrame, vocabulary: str, text: str = "text", lang: str = "lan
             out = np.zeros((len(names), size))
             seen: dict[bytes, np.ndarray] = {}
             for batch in batches:
-                for lab, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for lab, t in (row for x in few(batch) for row in zip(x.column(0).to_pylist(), x.column(1).to_pylist())):
                     for w in words_of(t):
                         s = as_bytes(w)
                         if s not in seen:
@@ -294,13 +295,14 @@ def predict(text: Column, model: Model) -> Column:
             scorer.clear()
             scorer[model.key] = Scorer(model)
         out, some, size = [], [], 0
-        for t in col.to_pylist():
+        for t in (t for i in range(0, len(col), 128) for t in col.slice(i, 128).to_pylist()):
             some.append(t)
             size += len(t or "")
             if size > 1_000_000:
                 out += scorer[model.key].score(some)
                 some, size = [], 0
         out += scorer[model.key].score(some)
+        pa.default_memory_pool().release_unused()
         return pa.StructArray.from_arrays([pa.array([a for a, _ in out], pa.string()), pa.array([b for _, b in out], pa.float64())],
                                           ["lang_pred", "score"])
     return F.arrow_udf(of, "struct<lang_pred:string,score:double>")(text)

@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dossier.llm.common import byte_words, components, dropped, fresh, map_arrow, runs, shuffle_width, stored, utf8
+from dossier.llm.common import byte_words, components, dropped, few, fresh, map_arrow, runs, shuffle_width, stored, utf8, worker_cache
 
 BITS = 64
 SEED = 42
@@ -414,15 +414,16 @@ def similar_groups(texts: DataFrame, similarity: float = SIMILARITY, families: i
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         table = family_table(families)
         for batch in batches:
-            f = [family_fingerprints(np.frombuffer(w, np.uint16), table) for w in batch.column(1).to_pylist()]
+            f = [family_fingerprints(np.frombuffer(w, np.uint16), table) for x in few(batch) for w in x.column(1).to_pylist()]
             yield {"t": np.repeat(batch.column(0).to_numpy(), families), "family": np.tile(np.arange(families, dtype=np.int32), len(f)),
                    "fp": np.concatenate(f)}
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             ok = [jaccard(shingle_set(np.frombuffer(x, np.uint16)), shingle_set(np.frombuffer(y, np.uint16))) >= similarity
-                  for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
-            yield {"a": batch.column("a").filter(pa.array(ok)), "b": batch.column("b").filter(pa.array(ok))}
+                  for p in few(batch) for x, y in zip(p.column("x").to_pylist(), p.column("y").to_pylist())]
+            ok = pa.array(ok, pa.bool_())
+            yield {"a": batch.column("a").filter(ok), "b": batch.column("b").filter(ok)}
 
     words = texts.select("t", "words")
 
@@ -491,8 +492,9 @@ def deduplicated(docs: DataFrame, item: str = "doc_id", text: str = "text", simi
     digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        worker_cache("", lambda: None)  # drop what an earlier stage has left in the worker
         for batch in batches:
-            yield {"item": batch.column(0), "key": batch.column(1), "words": [word_codes(t).tobytes() for t in utf8(batch.column(2))]}
+            yield {"item": batch.column(0), "key": batch.column(1), "words": pa.array((word_codes(t).tobytes() for x in few(batch) for t in utf8(x.column(2))), pa.binary())}
 
     kind = docs.schema[item].dataType.simpleString()
     rows = map_arrow(docs.select(F.col(item).alias("item"), digest.alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")), coded,
