@@ -26,3 +26,12 @@ def test_counts_leave_a_task_in_parts():
     parts = list(L.text_counts(iter([batch]), 10))
     assert len(parts) > 5 and max(p.num_rows for p in parts) <= 13
     assert sum(r["df"] for p in parts for r in p.to_pylist() if r["term"] == "") == 100
+
+
+def test_tokens_of_a_column_are_those_of_its_texts():
+    points = [chr(i) for i in range(1, 0x30000) if not 0xD800 <= i < 0xE000]
+    texts = [*(f"Ab{c}C_9{c} K{c}" for c in points), "", None, "가나Xy 다", "힣가", "x", "x", None]
+    for column in (pa.array(texts), pa.array(texts).slice(5), pa.array(texts, pa.large_string()).slice(len(points)), pa.array([None, ""], pa.string()), pa.array([], pa.string())):
+        want = [tokens_of(t or "") for t in column.to_pylist()]
+        got, number = L.tokens(column)
+        assert number.tolist() == [len(w) for w in want] and got.to_pylist() == [t for w in want for t in w]
