@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dossier.functions.rules import contains_any, first_match, first_reason, issue_array, ladder
 from dossier.functions.signals import cleanliness, n_matches
-from dossier.functions.text import char_ngrams, cluster_fingerprint, containment, norm_ws, pad_id, qc_overlap, strip
+from dossier.functions.text import char_ngrams, cluster_fingerprint, containment, let, norm_ws, pad_id, qc_overlap, strip
 from dossier.operators.bounds import best_per_key
 from dossier.operators.select import collapse_clusters
 
@@ -97,12 +97,16 @@ def qc_status(question: Column, answer: Column, context: Column, min_q: int = 12
 def silver_rubric(question: Column, answer: Column, span: Column, unit_text: Column, duplicate: Column) -> Column:
     """Three scores of 0..2 and the decision."""
     faith = F.when(unit_text.contains(span) & span.contains(answer), 2).when(unit_text.contains(answer), 1).otherwise(0)
-    rel = F.when(containment(char_ngrams(question), char_ngrams(answer)) >= 0.3, 2).when(
-        containment(char_ngrams(question), char_ngrams(answer)) >= 0.15, 1).otherwise(0)
-    ground = F.when(containment(char_ngrams(answer), char_ngrams(unit_text)) >= 0.9, 2).when(
-        containment(char_ngrams(answer), char_ngrams(unit_text)) >= 0.6, 1).otherwise(0)
-    dec = ladder([(duplicate, "reject_duplicate"), (faith == 0, "reject"), ((faith == 2) & (ground == 2) & (rel >= 1), "promote")], "revise")
-    return F.struct(faith.alias("faithfulness"), rel.alias("relevancy"), ground.alias("groundedness"), dec.alias("decision"))
+    grams = F.struct(char_ngrams(question).alias("q"), char_ngrams(answer).alias("n"), char_ngrams(unit_text).alias("u"))
+    shares = let(grams, lambda g: F.struct(containment(g["q"], g["n"]).alias("rel"), containment(g["n"], g["u"]).alias("ground")))
+
+    def judged(s: Column) -> Column:
+        dec = ladder([(duplicate, "reject_duplicate"), (s["faith"] == 0, "reject"),
+                      ((s["faith"] == 2) & (s["ground"] == 2) & (s["rel"] >= 1), "promote")], "revise")
+        return F.struct(s["faith"].alias("faithfulness"), s["rel"].alias("relevancy"), s["ground"].alias("groundedness"), dec.alias("decision"))
+    return let(let(shares, lambda s: F.struct(
+        faith.alias("faith"), F.when(s["rel"] >= 0.3, 2).when(s["rel"] >= 0.15, 1).otherwise(0).alias("rel"),
+        F.when(s["ground"] >= 0.9, 2).when(s["ground"] >= 0.6, 1).otherwise(0).alias("ground"))), judged)
 
 
 def span_check(span: Column, answer: Column, unit_text: Column, question: Column, weak: str, min_overlap: float = 0.5) -> Column:
