@@ -1,7 +1,8 @@
 """Work that grows with the input is done once."""
 from pyspark.sql import functions as F
 
-from dossier.operators import curation as CU
+from dossier.operators import curation as CU, ranking as R
+from dossier.plans import QUERIES
 
 
 def test_grams_of_a_rubric_are_made_once(spark):
@@ -10,3 +11,11 @@ def test_grams_of_a_rubric_are_made_once(spark):
     r = d.select(CU.silver_rubric(F.col("q"), F.col("n"), F.col("u"), F.col("u"), F.col("dup")).alias("r"))
     assert r._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 3
     assert [tuple(x.r) for x in r.collect()] == [(2, 2, 2, "promote"), (2, 0, 2, "reject_duplicate"), (2, 0, 0, "revise")]
+
+
+def test_planned_chunks_share_the_count_of_the_corpus(spark, sf, monkeypatch):
+    count, made = R.text_vocabulary, []
+    monkeypatch.setattr(R, "text_vocabulary", lambda *a: made.append(a) or count(*a))
+    for name in ("role_topk", "single_doc_retrieval"):
+        QUERIES[name](spark, sf)
+    assert len(made) == 2
