@@ -12,6 +12,13 @@ A passage made of common lines may have other first and last holders for each
 of its seeds. Stretches of repeated seeds that no passage covers are therefore
 linked once more by longer keys, pairs and runs of neighbouring seeds, which
 only texts with the same order of lines share (``_key_rows``).
+
+First and last holders do not meet every partner. What passages have linked so
+so far makes classes of stretches; two texts of one class at a place need no link
+of their own there, like copies. The rest is exact: two seeds that lie near each
+other are a key, and all its holders of unlike classes are compared, in cells of
+bounded size (``_rest``). So any two holders of a key that make a passage around
+it are of one class there.
 """
 from __future__ import annotations
 
@@ -22,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from dossier.llm.common import byte_words, dropped, map_arrow, runs, shuffle_width, stored, utf8
+from dossier.llm.common import byte_words, components, dropped, map_arrow, runs, shuffle_width, stored, utf8
 
 K = 6
 WINDOW = 8
@@ -31,6 +38,9 @@ SIMILARITY = 0.8
 GAP = 0.15  # cost of each skipped word, on either side
 EDGE = K + WINDOW  # a passage may reach this far beyond its outer seeds
 MARGIN = 2 * EDGE
+FAR = 4  # times the least words of a passage: the outer seeds of some part of it are no further apart
+CELL = 2048  # holders of a key on either side of a cell
+BINS = 64  # of the counts of words that bound a distance from below
 MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -259,6 +269,121 @@ def _key_rows(longest: int):
     return _by_text(work)
 
 
+def _placed_rows(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict:
+    """Rows of ``_laid`` with the node they lie in: the start of the overlapping passages around them, below 0 for a
+    seed that no passage covers."""
+    node = np.empty(len(rows), np.int64)
+    for i, j in zip(starts, ends):
+        pos, end = rows[i:j, 1], rows[i:j, 2]
+        most = np.maximum.accumulate(end)
+        new = (end > 0) & (pos >= np.r_[0, most[:-1]])
+        start = np.maximum.accumulate(np.where(new, pos, -1))
+        node[i:j] = np.where((end > 0) | (most >= pos + K), start, -1 - pos)
+    return {"t": rows[:, 0], "pos": rows[:, 1], "node": node, "h": rows[:, 3], "seed": rows[:, 2] == 0}
+
+
+def _far_rows(near: int, far: int):
+    """Keys of any two seeds of a text that lie ``near`` to ``far`` words apart; rows are (text, position, hash, class)."""
+    def work(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict:
+        t, pos, h, c = rows.T
+        h = np.ascontiguousarray(h).view(np.uint64)
+        out, n = [[np.empty(0, np.int64)] * 6], 1
+        with np.errstate(over="ignore"):
+            while n < len(t):
+                i = np.flatnonzero((t[n:] == t[:-n]) & (pos[n:] - pos[:-n] <= far))
+                if not len(i):
+                    break
+                i = i[pos[i + n] - pos[i] >= near]
+                k = (h[i] * MUL ^ h[i] >> np.uint64(29) ^ h[i + n]) * MUL
+                out.append([(k ^ k >> np.uint64(31)).view(np.int64), t[i], pos[i], pos[i + n], c[i], c[i + n]])
+                n += 1
+        return dict(zip(("k", "t", "pos", "pos2", "c1", "c2"), (np.concatenate(x) for x in zip(*out))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for cols in _by_text(work)(batches):
+            yield cols | {c: cols[c].astype(np.int32) for c in ("pos", "pos2")}
+    return run
+
+
+def _reach(same: np.ndarray) -> np.ndarray:
+    """``grown`` of many pairs at once, from what is alike."""
+    score = np.cumsum(np.where(same, np.int8(1), np.int8(-2)), axis=1, dtype=np.int8)
+    best = score.argmax(1)
+    return np.where(score[np.arange(len(best)), best] > 0, best + 1, 0)
+
+
+def _cell(split: int, t, pos, pos2, c1, c2, at, w, min_words: int, similarity: float) -> list[tuple]:
+    """Passages around one key between rows of unlike classes, as many as join the classes: rows before ``split`` with
+    the others, or all with all if there are none before."""
+    n, core = len(t), pos2 - pos + K
+    words = [np.frombuffer(x, np.uint16) for x in w]
+    around = np.repeat(-1 - np.arange(n, dtype=np.int32)[:, None], 64, axis=1)  # beyond the text no row is like another
+    before, after = around[:, :MARGIN], around[:, MARGIN:2 * MARGIN]
+    bag = np.empty((n, BINS), np.uint16)
+    for i, (a, x, y) in enumerate(zip(words, pos - at, pos - at + core)):
+        before[i, :x], after[i, :len(a) - y] = a[:x][::-1], a[y:]
+        bag[i] = np.bincount(a[x:y] % BINS, minlength=BINS)
+    root: dict = {}
+
+    def find(x):
+        while x in root:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    out, every = [], np.arange(n)
+    for i in range(split or n):
+        j = every[split or i + 1:]
+        j = j[(c1[j] != c1[i]) & (c2[j] != c2[i]) & (t[j] != t[i])]
+        # What cannot become a passage: one side too short, too few words alike to grow by, too many left over in bags.
+        j = j[np.minimum(core[i], core[j]) + 2 * MARGIN >= (np.maximum(core[i], core[j]) + 2 * MARGIN) * similarity]
+        alike = np.bitwise_count(np.packbits(around[j] == around[i], axis=1).view(np.uint64)[:, 0]).astype(np.int64)
+        j = j[3 * alike >= 2 * (min_words - np.maximum(core[i], core[j]))]
+        apart = np.maximum(core[i], core[j]) - np.minimum(bag[i], bag[j]).sum(1, dtype=np.int64)
+        ok = 1 - apart / (np.maximum(core[i], core[j]) + 2 * MARGIN) >= similarity
+        j, apart = j[ok], apart[ok]
+        if not len(j):
+            continue
+        before_j, after_j = _reach(before[j] == before[i]), _reach(after[j] == after[i])
+        size, least = np.maximum(core[i], core[j]) + before_j + after_j, np.minimum(core[i], core[j]) + before_j + after_j
+        ok = (size >= min_words) & (least >= np.maximum(min_words, size) * similarity) & (1 - apart / size >= similarity)
+        for j, size, x, y in zip(*(x[ok].tolist() for x in (j, size, before_j, after_j))):
+            links = [(a, b) for s, c in ((1, c1), (2, c2)) if (a := find((s, c[i]))) != (b := find((s, c[j])))]
+            if not links:
+                continue
+            p, q = (i, j) if t[i] < t[j] else (j, i)
+            q0, q1, r0, r1 = (int(v) for o in (p, q) for v in (pos[o] - x, pos[o] + core[o] + y))
+            d = distance(words[p][q0 - at[p]:q1 - at[p]], words[q][r0 - at[q]:r1 - at[q]])
+            if 1 - d / size >= similarity:
+                out.append((int(t[p]), int(t[q]), q0, q1, r0, r1, d))
+                root.update(links)
+    return out
+
+
+def _compared(min_words: int, similarity: float):
+    """Rows sorted by cell (k, lo, hi) and group to passages; a task holds one cell."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        def work(table: pa.Table) -> list[tuple]:
+            lo, hi, g, *cols = (table.column(i).to_numpy() for i in range(1, 10))
+            split = int((g == lo[0]).sum()) if lo[0] < hi[0] else 0
+            if lo[0] < hi[0] and split in (0, len(g)):
+                return []
+            return _cell(split, *(c.astype(np.int64) for c in cols), table.column(10).to_pylist(), min_words, similarity)
+
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            if not table.num_rows:
+                continue
+            s, e = runs(np.column_stack([table.column(i).to_numpy() for i in range(3)]))
+            held, out = table.slice(s[-1]), [x for i, j in zip(s[:-1], e[:-1]) for x in work(table.slice(i, j - i))]
+            yield dict(zip(("t", "u", "q0", "q1", "r0", "r1", "d"), zip(*out) if out else ([],) * 7))
+        out = work(held) if held is not None else []
+        yield dict(zip(("t", "u", "q0", "q1", "r0", "r1", "d"), zip(*out) if out else ([],) * 7))
+    return run
+
+
 def _chain_rows(least: int):
     """Matches sorted by (t, u) to chains that span at least ``least`` words on both sides."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -332,9 +457,13 @@ def repeated(docs: DataFrame, item: str = "doc_id", text: str = "text", min_word
     texts = stored(own.withColumn("t", F.monotonically_increasing_id()))
     found = stored(map_arrow(texts.filter(F.col("n") >= min_words * similarity).select("t", "words"), _seed_rows, "h long, t long, pos int"))
     ends = stored(_holders(found))
-    spans = _spans(found.join(ends, "h"), texts, min_words, similarity, max(2, min_words - 2 * EDGE))
+    held = stored(found.join(ends, "h"))
+    dropped(found)
+    dropped(ends)
+    spans = _spans(held, texts, min_words, similarity, max(2, min_words - 2 * EDGE))
     # A key is an order of seeds already, so its two ends are chain enough; the alignment grows it to its size.
-    spans = spans.union(_spans(_relinked(found, ends, spans, min_words), texts, min_words, similarity, K + 1)).distinct()
+    spans = stored(spans.union(_spans(_relinked(held, spans, min_words), texts, min_words, similarity, K + 1)).distinct())
+    spans = spans.union(_rest(held, spans, texts, min_words, similarity))
     names = texts.select("t", "item")
     cols = [F.col(c).alias(n) for c, n in (("q0", "start"), ("q1", "end"), ("r0", "other_start"), ("r1", "other_end"), ("d", "distance"))]
     passages = spans.join(names, "t").withColumnRenamed("item", "_i").join(names.withColumnRenamed("t", "u"), "u").select(
@@ -371,22 +500,28 @@ def _spans(linked: DataFrame, texts: DataFrame, min_words: int, similarity: floa
     return spans
 
 
-def _relinked(found: DataFrame, ends: DataFrame, spans: DataFrame, min_words: int) -> DataFrame:
-    """Links by longer keys for what no passage covers.
+def _laid(held: DataFrame, spans: DataFrame) -> DataFrame:
+    """Repeated seeds (end 0) and passages of every text by position; a passage comes before the seed at its start.
 
-    The seeds of bare stretches are looked up in all texts, covered or not, so a
-    partner is found wherever it lies. Intervals of a text are merged by start
-    first: a text that many others share has no more of them than words.
+    Intervals of a text are merged by start first: a text that many others share
+    has no more of them than words.
     """
-    width = shuffle_width(found.sparkSession)
     sides = spans.select("t", F.col("q0").alias("pos"), F.col("q1").alias("end")).union(spans.select("u", "r0", "r1"))
     cover = sides.groupBy("t", "pos").agg(F.max("end").alias("end")).select(*(F.col(c).cast("long") for c in ("t", "pos", "end")), F.lit(0).cast("long").alias("h"))
-    seeded = found.join(ends.select("h"), "h").select("t", F.col("pos").cast("long").alias("pos"), F.lit(0).cast("long").alias("end"), "h")
-    # A passage comes before the seed at its start.
-    rows = seeded.union(cover).repartition(width, "t").sortWithinPartitions("t", "pos", F.desc("end"))
-    bare = stored(map_arrow(rows, _bare_rows(max(2, min_words - 2 * EDGE)), "h long").distinct())
-    held = found.join(bare, "h").select("t", F.col("pos").cast("long").alias("pos"), "h")
-    keys = stored(map_arrow(held.repartition(width, "t").sortWithinPartitions("t", "pos"), _key_rows(2 * min_words),
+    seeded = held.select("t", F.col("pos").cast("long").alias("pos"), F.lit(0).cast("long").alias("end"), "h")
+    return seeded.union(cover).repartition(shuffle_width(held.sparkSession), "t").sortWithinPartitions("t", "pos", F.desc("end"))
+
+
+def _relinked(held: DataFrame, spans: DataFrame, min_words: int) -> DataFrame:
+    """Links by longer keys for what no passage covers.
+
+    The seeds of bare stretches are looked up in all texts, covered or not, so a
+    partner is found wherever it lies.
+    """
+    width = shuffle_width(held.sparkSession)
+    bare = stored(map_arrow(_laid(held, spans), _bare_rows(max(2, min_words - 2 * EDGE)), "h long").distinct())
+    seeded = held.join(bare, "h").select("t", F.col("pos").cast("long").alias("pos"), "h")
+    keys = stored(map_arrow(seeded.repartition(width, "t").sortWithinPartitions("t", "pos"), _key_rows(2 * min_words),
                             "h long, t long, pos int, pos2 int"))
     both = keys.join(_holders(keys, "pos2"), "h")
     at = lambda o, p: F.struct(F.col(f"{o}.t").alias("t"), F.col(f"{o}.{p}").alias("pos"))
@@ -395,6 +530,38 @@ def _relinked(found: DataFrame, ends: DataFrame, spans: DataFrame, min_words: in
                                                 for p in ("pos", "pos2")))).alias("m")).select("t", "m.*")
 
 
+def _rest(held: DataFrame, spans: DataFrame, texts: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """Passages between stretches that ``spans`` leave in unlike classes, from all holders of every key of two seeds."""
+    width = shuffle_width(held.sparkSession)
+    placed = stored(map_arrow(_laid(held, spans), _by_text(_placed_rows), "t long, pos long, node long, h long, seed boolean"))
+    of = F.xxhash64("t", "node")
+    starts = placed.filter("not seed").select("t", "pos", of.alias("x"))
+    edges = spans.join(starts.withColumnRenamed("pos", "q0"), ["t", "q0"]).select("u", "r0", "x").join(
+        starts.select(F.col("t").alias("u"), F.col("pos").alias("r0"), F.col("x").alias("y")), ["u", "r0"])
+    classes = components(edges, "x", "y").withColumnRenamed("node", "x")
+    seeded = placed.filter("seed").select("t", "pos", "h", of.alias("x")).join(classes, "x", "left").select(
+        "t", "pos", "h", F.coalesce("root", "x").alias("c"))
+    # A seed whose holders are all of one class has nothing left to link.
+    unlike = seeded.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("h")
+    left = seeded.join(unlike, "h").select("t", "pos", "h", "c")
+    keys = stored(map_arrow(left.repartition(width, "t").sortWithinPartitions("t", "pos"), _far_rows(max(K, min_words - 2 * EDGE - K), FAR * min_words),
+                            "k long, t long, pos int, pos2 int, c1 long, c2 long"))
+    ends = [f(c).alias(f"{n}{c}") for c in ("c1", "c2") for n, f in (("a", F.min), ("b", F.max))]
+    many = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *ends).filter("ac1 <> bc1 and ac2 <> bc2").select(
+        "k", F.ceil(F.col("n") / CELL).alias("groups"))
+    begin = F.greatest(F.col("pos") - MARGIN, F.lit(0))
+    rows = keys.join(many, "k").join(texts.select("t", "words"), "t").select(
+        "k", F.pmod(F.xxhash64("t"), F.col("groups")).alias("g"), "groups", "t", "pos", "pos2", "c1", "c2", begin.alias("at"),
+        F.substring("words", 2 * begin + 1, 2 * (F.col("pos2") + K + MARGIN - begin)).alias("w"))
+    met = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).select(
+        "k", F.least("g", "o").alias("lo"), F.greatest("g", "o").alias("hi"), "g", "t", "pos", "pos2", "c1", "c2", "at", "w")
+    cells = met.repartition(width, "k", "lo", "hi").sortWithinPartitions("k", "lo", "hi", "g", "t", "pos")
+    rest = stored(map_arrow(cells, _compared(min_words, similarity), "t long, u long, q0 int, q1 int, r0 int, r1 int, d int").distinct())
+    dropped(placed)
+    dropped(keys)
+    return rest
+
+
 def _copies(keyed: DataFrame, texts: DataFrame, item: str, min_words: int) -> DataFrame:
     """One row for every row beyond the one that stands for its text."""
     many = texts.filter((F.col("rows") > 1) & (F.col("n") >= min_words)).select(F.col("key").alias("_key"), F.col("item").alias("other"), "n")

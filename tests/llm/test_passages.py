@@ -2,6 +2,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from dossier.llm import passages as ps
 
@@ -133,3 +134,96 @@ def test_passages_of_common_lines(spark):
         r = next(r for r in got if {r["doc_id"], r["other"]} == {a, b})
         x, y = docs[r["doc_id"]][r["start"]:r["end"]], docs[r["other"]][r["other_start"]:r["other_end"]]
         assert levenshtein(x, y) == r["distance"] <= .2 * max(len(x), len(y))
+
+
+def test_all_holders_of_a_key_meet(spark):
+    """Against all pairs of holders of all seeds: whatever makes a passage is of one class where it lies."""
+    rnd = random.Random(10)
+    prose = lambda n: [f"w{rnd.randint(0, 30000)}" for _ in range(n)]
+    lines = [prose(14) for _ in range(50)]
+    docs = [prose(20) + line + prose(20) for line in lines for _ in range(30)]
+    planted = []
+    for _ in range(100):
+        order, pair = rnd.sample(lines, 6), []
+        for _ in range(2):
+            body = sum(([*line, *prose(1)] for line in order), [])
+            for i in rnd.sample(range(len(body)), 3):
+                body[i:i + 1] = prose(1)
+            pair.append(len(docs))
+            docs.append(prose(rnd.randint(0, 30)) + body + prose(rnd.randint(0, 30)))
+        planted.append(tuple(pair))
+    rnd.shuffle(docs := list(enumerate(docs)))
+    got = ps.repeated(spark.createDataFrame([(i, " ".join(d)) for i, d in docs], "doc_id long, text string")).collect()
+    codes = {i: ps.word_codes(" ".join(d).encode()) for i, d in docs}
+    holders = {}
+    for i, c in codes.items():
+        for p, h in zip(*(x.tolist() for x in ps.seeds(c))):
+            holders.setdefault(h, []).append((i, p))
+    matches = {}
+    for at in holders.values():
+        for i, p in at:
+            for j, q in at:
+                if i < j:
+                    matches.setdefault((i, j), []).append((p, q))
+    chained = [(i, j, *c[4:], 0, 0, codes[i].tobytes(), codes[j].tobytes()) for (i, j), m in matches.items() if len(m) > 1
+               for c in ps.chains(*(np.array(x) for x in zip(*sorted(m)))) if min(c[1] - c[0], c[3] - c[2]) >= 22]
+    batch = pa.RecordBatch.from_pydict(dict(zip(("t", "u", "qs", "rs", "ns", "qa", "ra", "qw", "rw"), map(list, zip(*chained)))))
+    brute = next(ps._aligned(50, .8)(iter([batch])))
+    brute = [((t, a, b), (u, x, y)) for t, u, a, b, x, y in zip(*(brute[c] for c in ("t", "u", "q0", "q1", "r0", "r1")))]
+    assert len({(a[0], b[0]) for a, b in brute} & set(planted)) >= 80
+    found = [((r["doc_id"], r["start"], r["end"]), (r["other"], r["other_start"], r["other_end"])) for r in got]
+    root = {}
+
+    def find(x):
+        while x in root:
+            x = root[x]
+        return x
+
+    def join(a, b):
+        if (a := find(a)) != (b := find(b)):
+            root[a] = b
+    spans = {}
+    for pair in found:
+        for s in pair:
+            spans.setdefault(s[0], set()).add(s)
+        join(*pair)
+    for of in spans.values():
+        of = sorted(of)
+        for i, a in enumerate(of):
+            for b in of[i + 1:]:
+                if b[1] < a[2]:
+                    join(a, b)
+    classes = lambda s: {find(x) for x in spans.get(s[0], ()) if x[1] < s[2] and s[1] < x[2]}
+    assert [p for p in brute if not classes(p[0]) & classes(p[1])] == []
+
+
+def test_cells_of_a_key_that_many_hold():
+    """A key with more holders than a cell has is compared across all its cells."""
+    rnd = random.Random(11)
+    codes = lambda n: np.array([rnd.randint(0, 65535) for _ in range(n)], np.uint16)
+    core, want = codes(28), set()
+    rows = []
+    for i in range(60):
+        w = np.r_[codes(28), core, codes(28)]
+        if i % 2:
+            w[:28] = rows[-1][-1][:28]  # neighbours go on alike before the core
+            want.add((i - 1, i))
+        rows.append((i, 28, 50, 2 * i, 2 * i + 1, 0, w))
+    cols = ("t", "pos", "pos2", "c1", "c2", "at")
+    whole = ps._cell(0, *(np.array([r[k] for r in rows]) for k in range(len(cols))), [r[-1].tobytes() for r in rows], 50, .8)
+    assert {(r[0], r[1]) for r in whole} == want and all(r[2:] == (0, 56, 0, 56, 0) for r in whole)
+    group, met = [i * 7 % 3 for i in range(60)], set()
+    cell = lambda lo, hi: [(7, lo, hi, group[i], *r[:-1], r[-1].tobytes()) for g in dict.fromkeys((lo, hi)) for i, r in enumerate(rows) if group[i] == g]
+    every = [x for lo in range(3) for hi in range(lo, 3) for x in cell(lo, hi)]
+    names = ("k", "lo", "hi", "g", *cols, "w")
+    batches = (pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*every[i:i + 7]))))) for i in range(0, len(every), 7))
+    for out in ps._compared(50, .8)(batches):
+        met |= set(zip(out["t"], out["u"]))
+    assert met == want
+
+
+def test_reach_is_growth():
+    rnd = np.random.default_rng(12)
+    a, b = rnd.integers(0, 2, (2, 3000, ps.MARGIN))
+    a[:1500], b[:1500] = np.where(rnd.random((1500, ps.MARGIN)) < .8, 1, a[:1500]), 1
+    assert ps._reach(a == b).tolist() == [ps.grown(x, y) for x, y in zip(a, b)]
