@@ -254,15 +254,17 @@ def workbook_registry(spark, sf):
 @query("wide_to_long", """WITH p AS (SELECT o_custkey, year(o_orderdate) AS y, sum(o_totalprice) AS v FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1998 GROUP BY ALL)
 SELECT o_custkey, y AS year, CASE WHEN v < 200000 THEN '' ELSE CAST(CAST(round(v) AS BIGINT) AS VARCHAR) END AS value, CASE WHEN v < 200000 THEN 'Not disclosed' ELSE 'matched' END AS disclosure_status FROM p""")
 def wide_to_long(spark, sf):
+    """A sum of nulls is a dash in the wide table: a value that was found and is no number."""
     o = table(spark, sf, "orders").withColumn("y", F.year("o_orderdate"))
-    y = ordered_sum(o, ["o_custkey", "y"], "o_totalprice", "o_orderkey", "v").groupBy("o_custkey").pivot("y", [1996, 1997, 1998]).agg(F.first("v"))
+    v = F.col("v")
+    cell = F.when(v.isNull(), "-").when(v < 200000, "Not disclosed").otherwise(F.round(v).cast("long").cast("string"))
+    y = ordered_sum(o, ["o_custkey", "y"], "o_totalprice", "o_orderkey", "v").groupBy("o_custkey").pivot("y", [1996, 1997, 1998]).agg(F.first(cell))
     cols = []
     for k in (1996, 1997, 1998):
-        v = F.col(str(k))
-        cols += [F.when(v < 200000, "Not disclosed").otherwise(F.round(v).cast("long").cast("string")).alias(f"{k}_value"),
-                 F.when(v.isNotNull(), "src").alias(f"{k}_source"), F.lit(None).cast("string").alias(f"{k}_basis")]
+        c = F.col(str(k))
+        cols += [c.alias(f"{k}_value"), F.when(c.isNotNull(), "src").alias(f"{k}_source"), F.lit(None).cast("string").alias(f"{k}_basis")]
     return RC.wide_to_long(y.select("o_custkey", *cols), ["o_custkey"], [1996, 1997, 1998]).select(
-        "o_custkey", F.col("year").cast("long").alias("year"), "value", "disclosure_status")
+        "o_custkey", F.col("year").cast("long").alias("year"), F.nullif("value", F.lit("-")).alias("value"), "disclosure_status")
 
 
 SIG = "len(regexp_extract_all(text, 'the ')) "
